@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, media, packing
+from . import bpe, exact_dedup, labelled, licenses, media, packing, quality, secret_scan, toxicity
 from .common import documents
 
 #: Folder of the public tokenizers' files.
@@ -19,6 +19,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), VOCABULARY)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rows = labelled.sample(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", quality.FOLDS, quality.HELD, quality.SAMPLE)
+    return quality.scored(docs, quality.fit(rows))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), VOCABULARY, RANKS)
 
@@ -27,11 +33,28 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Field:
+    return toxicity.fit(labelled.sample(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", toxicity.FOLDS, toxicity.HELD, toxicity.SAMPLE))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.scored(docs, toxicity_model(spark, docs, sf_dir))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op3_packing, op4_exact_dedup, op10_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_quality, op3_packing, op4_exact_dedup, op6_secrets, op8_licenses, op9_toxicity, op10_media)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": """
