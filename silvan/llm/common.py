@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 import zlib
 
 import pyarrow as pa
@@ -17,18 +20,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; only an unset one (tests) gets a local folder."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="silvan-checkpoint-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; only where it is unset (tests), a local one."""
+    global _local
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if _local is None:
+        _local = tempfile.mkdtemp(prefix="silvan-")
+        atexit.register(shutil.rmtree, _local, ignore_errors=True)
+    return f"file://{_local}"
+
+
+_local: str | None = None
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and cut from its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, written as a table to the shared folder and read again: cut from its lineage, and safe from lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/silvan/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fold(doc_id: Column, n: int) -> Column:

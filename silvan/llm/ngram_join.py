@@ -265,6 +265,16 @@ def join_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is their component's smallest, one row for each such id; rows without doc_id all stay."""
+    found = join_components(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_doc")).agg(F.count(F.lit(1)).alias("kept_rows"))
+    found = cut(found)
+    out = docs.join(found, F.col("doc_id").cast("long") == F.col("kept_doc"), "left_semi")
+    if found.where("kept_rows > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def open_pairs(lists: DataFrame, matches: DataFrame, of: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs (a, b) of representatives in different components that share as many prefix tokens as they need, and are near enough in size.
 

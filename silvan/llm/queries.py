@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, labelled, licenses, media, ngram_join, packing, quality, secret_scan, toxicity
+from . import bpe, brown_lm, exact_dedup, labelled, licenses, media, ngram_join, packing, quality, secret_scan, toxicity
 from .common import documents
 
 #: Folder of the public tokenizers' files.
@@ -41,6 +41,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
 
 
+def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.scores(documents(spark, sf_dir))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
@@ -58,7 +62,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_quality, op3_packing, op4_exact_dedup, op5_ngram_join, op6_secrets, op8_licenses, op9_toxicity, op10_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_quality, op3_packing, op4_exact_dedup, op5_ngram_join, op6_secrets, op7_brown_lm, op8_licenses, op9_toxicity, op10_media)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_ngram_join": """
