@@ -121,11 +121,6 @@ class Block:
         self.q = np.frombuffer(get("q"), "<i8") if layout.query else None
         self.pos = np.frombuffer(get("pos"), "<i8") if layout.query else None
 
-    def queries(self) -> Iterator[slice]:
-        edges = np.flatnonzero(np.diff(self.q)) + 1
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), self.n], strict=True):
-            yield slice(a, b)
-
 
 def run(blocks: DataFrame, layout: Layout, features: list[int], kernel: Callable[[Iterator[Block]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """The kernel over the blocks of each task. Only the columns of `features` are read."""

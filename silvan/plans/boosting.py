@@ -52,12 +52,13 @@ class Gradients:
             return (score - y) * w[:, None], np.repeat(w[:, None], score.shape[1], 1)
         if p.objective in RANKING:
             g, h = np.zeros(block.n), np.zeros(block.n)
-            for part in block.queries():
-                if p.objective == "lambdarank":
-                    bias = np.array([self.bias.get(int(k), 0.0) for k in block.pos[part]]) if self.bias else None
-                    g[part], h[part] = ranking.lambda_gradients(score[part, 0], block.y[part, 0], p, self.gain, bias)
+            draw = draws.uniform(block.key, p.objective_seed, self.iteration) if p.objective == "rank_xendcg" else None
+            for rows in ranking.by_length(block.q, p.lambdarank_truncation_level):
+                if draw is None:
+                    bias = np.vectorize(lambda k: self.bias.get(int(k), 0.0), otypes=[float])(block.pos[rows]) if self.bias else None
+                    g[rows], h[rows] = ranking.lambda_gradients(score[rows, 0], y[rows, 0], p, self.gain, bias)
                 else:
-                    g[part], h[part] = ranking.xendcg_gradients(score[part, 0], block.y[part, 0], draws.uniform(block.key[part], p.objective_seed, self.iteration))
+                    g[rows], h[rows] = ranking.xendcg_gradients(score[rows, 0], y[rows, 0], draw[rows])
             return (g * w)[:, None], (h * w)[:, None]
         target = NumpyOps.sign(y[:, 0]) * np.sqrt(np.abs(y[:, 0])) if p.reg_sqrt else y[:, 0]
         weight = 1.0 if p.objective == "cross_entropy_lambda" and (w == 1).all() else w

@@ -1,3 +1,3 @@
 """Queries over the test tables, with SQL twins."""
 
-from . import metric_queries, training_queries  # noqa: F401
+from . import metric_queries, model_queries, training_queries  # noqa: F401
