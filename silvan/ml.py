@@ -37,10 +37,10 @@ class GbtEstimator(Estimator):
     def __init__(self, label: str = "label", weight: str | None = None, group: str | None = None, categorical: list[str] | None = None, order: list[str] | None = None, output: str = "prediction", valid: DataFrame | None = None, class_weight: dict | str | None = None, eval_metric: Callable | None = None, callbacks: list[Callable] = (), **params: Any):
         super().__init__()
         self.label, self.weight, self.group, self.categorical, self.order, self.output, self.valid, self.class_weight = label, weight, group, categorical, order, output, valid, class_weight
-        self.eval_metric, self.callbacks, self.params = eval_metric, list(callbacks), {"objective": self.objective, **params}
+        self.eval_metric, self.callbacks, self.settings = eval_metric, list(callbacks), {"objective": self.objective, **params}
 
     def _prepare(self, df: DataFrame) -> tuple[DataFrame, list[Any] | None, dict]:
-        return df, None, self.params
+        return df, None, self.settings
 
     def _fit(self, dataset: DataFrame) -> GbtModelTransformer:
         df, classes, params = self._prepare(dataset)
@@ -80,7 +80,7 @@ class GbtClassifier(GbtEstimator):
 
     def _prepare(self, df: DataFrame) -> tuple[DataFrame, list[Any], dict]:
         classes = [r[0] for r in df.select(self.label).where(F.col(self.label).isNotNull()).distinct().orderBy(self.label).collect()]
-        params = dict(self.params)
+        params = dict(self.settings)
         if len(classes) > 2:
             params |= {"num_class": len(classes), "objective": params["objective"] if params["objective"] in ("multiclass", "multiclassova") else "multiclass"}
         return self._coded(df, classes), classes, params

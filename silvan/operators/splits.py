@@ -231,7 +231,8 @@ class Scanner:
             left = (g[t], h[t], n[t])
             return self._split(i, float(gain[t] - shift), t + 1, False, left, (leaf.g - g[t], leaf.h - h[t], leaf.n - n[t]), leaf, p.lambda_l2, [t + 1])
         used = np.flatnonzero(n >= p.cat_smooth)
-        order = used[np.argsort(g[used] / (h[used] + p.cat_smooth), kind="stable")]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            order = used[np.argsort(np.nan_to_num(g[used] / (h[used] + p.cat_smooth)), kind="stable")]
         most = min(p.max_cat_threshold, (len(order) + 1) // 2)
         l2 = p.lambda_l2 + p.cat_l2
         pick = int(draw.integers(0, max(1, min(most, len(order)) - 1))) if draw is not None else None

@@ -164,7 +164,7 @@ class TreeJob:
         place = {i: k for k, i in enumerate(inner)}
         code = lambda i: place[i] if i in place else ~i
         return Nodes(
-            np.array([self.nodes[i].split.feature for i in inner], np.int64), np.array([self.scanner.goes_left(self.nodes[i].split) for i in inner], bool).reshape(len(inner), -1),
+            np.array([self.nodes[i].split.feature for i in inner], np.int64), np.array([self.scanner.goes_left(self.nodes[i].split) for i in inner], bool).reshape(len(inner), self.scanner.width),
             np.array([code(self.nodes[i].children[0]) for i in inner], np.int64), np.array([code(self.nodes[i].children[1]) for i in inner], np.int64), np.zeros(len(self.nodes)),
         )
 
@@ -214,7 +214,7 @@ class TreeJob:
                 if self.nodes[child].split and self.nodes[child].children:
                     heapq.heappush(queue, (*key(place, child), child))
         table = Nodes(
-            np.array([self.nodes[i].split.feature for i in picked], np.int64), np.array([self.scanner.goes_left(self.nodes[i].split) for i in picked], bool).reshape(len(picked), -1),
+            np.array([self.nodes[i].split.feature for i in picked], np.int64), np.array([self.scanner.goes_left(self.nodes[i].split) for i in picked], bool).reshape(len(picked), self.scanner.width),
             np.array(tree.left, np.int64), np.array(tree.right, np.int64), np.array(tree.leaf_value),
         )
         return tree, table

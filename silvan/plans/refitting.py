@@ -29,7 +29,7 @@ def refit(model: GbtModel, data: Any, decay: float) -> GbtModel:
     frame = ds.df.select(*[f"`{f}`" for f in model.features], *dict.fromkeys(roles))
     if ds.group:
         frame = ds.df.select(*[f"`{f}`" for f in model.features], *dict.fromkeys([*roles, *ds.order])).repartition(ds.group).sortWithinPartitions(ds.group, *ds.order)
-    frame = frame.persist()
+    frame, label_weight, ranked = frame.persist(), ds.weight, ds.group
     for i in range(0, len(out.trees), k):
         before, now = out.trees[:i], out.trees[i : i + k]
         handle = frame.sparkSession.sparkContext.broadcast((before, now))
@@ -38,13 +38,13 @@ def refit(model: GbtModel, data: Any, decay: float) -> GbtModel:
             before, now = handle.value
             total = [np.zeros((t.leaves, 3)) for t in now]
             # a query may lie in several batches, so ranked data is taken a partition at a time
-            for batch in ([pa.Table.from_batches(list(batches))] if ds.group else batches):
+            for batch in (_whole(batches) if ranked else batches):
                 if not batch.num_rows:
                     continue
                 x = np.column_stack([np.asarray(batch.column(j).to_pandas(), np.float64) for j in range(width)])
                 y = np.asarray(batch.column(width).to_pandas().tolist(), np.float64).reshape(len(x), -1)
-                w = np.asarray(batch.column(ds.weight).to_pandas(), np.float64) if ds.weight else np.ones(len(x))
-                q = np.asarray(batch.column(ds.group).to_pandas(), np.int64) if ds.group else None
+                w = np.asarray(batch.column(label_weight).to_pandas(), np.float64) if label_weight else np.ones(len(x))
+                q = np.asarray(batch.column(ranked).to_pandas(), np.int64) if ranked else None
                 score = np.zeros((len(x), k))
                 for j, t in enumerate(before):
                     score[:, j % k] += t.output(x)
@@ -67,6 +67,11 @@ def refit(model: GbtModel, data: Any, decay: float) -> GbtModel:
     return out
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> list[pa.Table]:
+    held = list(batches)
+    return [pa.Table.from_batches(held)] if held else []
+
+
 class _Rows:
     """Rows as gradients read them."""
 

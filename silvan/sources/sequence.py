@@ -26,16 +26,14 @@ def read_sequences(spark: SparkSession, sequences: list[Any], names: list[str],
     """Rows of the sequences, one below the other. Batches are read by tasks: only their numbers are dealt out."""
     jobs = [(i, at, min(at + s.batch_size, len(s)), sum(len(x) for x in sequences[:i])) for i, s in enumerate(sequences) for at in range(0, len(s), s.batch_size)]
     columns = [*names, *(["label"] if label is not None else [])]
-    handle = spark.sparkContext.broadcast((sequences, label))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, y = handle.value
         for batch in batches:
             for i, a, b, base in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                x = np.asarray(parts[i][a:b], np.float64).reshape(b - a, -1)
+                x = np.asarray(sequences[i][a:b], np.float64).reshape(b - a, -1)
                 data = [pa.array(np.ascontiguousarray(x[:, j])) for j in range(x.shape[1])]
-                if y is not None:
-                    data.append(pa.array(np.asarray(y[base + a : base + b], np.float64)))
+                if label is not None:
+                    data.append(pa.array(np.asarray(label[base + a : base + b], np.float64)))
                 yield pa.RecordBatch.from_arrays(data, columns)
 
     plan = spark.createDataFrame(jobs, "part int, first long, end long, base long").repartition(max(1, min(len(jobs), 64)))
