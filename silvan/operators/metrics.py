@@ -1,7 +1,7 @@
 """Evaluation metrics as aggregations and windows over scored rows.
 
 Every function takes a frame and column expressions and returns a frame of one row, `value`. Point-wise metrics are one
-hash aggregate; the ones that rank use windows whose partitions are queries, or distinct scores combined beforehand.
+hash aggregate; the ones that rank use windows whose partitions are queries, or buckets of distinct scores.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.backend import SparkOps
 from ..params import default_label_gain
+from .running import before
 
 EPSILON = 1e-15
 
@@ -98,12 +99,11 @@ def r2(df: DataFrame, y: Column, s: Column, w: Column | None = None) -> DataFram
 
 
 def _by_score(df: DataFrame, positive: Column, s: Column, w: Column | None) -> DataFrame:
-    """Positive and negative weight of each distinct score, and the same of all higher ones. Ties are combined before the
-    window, so it holds distinct scores only."""
+    """Positive and negative weight of each distinct score, and the same of all higher ones."""
     w = F.lit(1.0) if w is None else w
     ties = df.groupBy(s.alias("s")).agg(F.sum(F.when(positive, w).otherwise(0.0)).alias("pos"), F.sum(F.when(positive, 0.0).otherwise(w)).alias("neg"))
-    above = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
-    return ties.select("s", "pos", "neg", F.coalesce(F.sum("pos").over(above), F.lit(0.0)).alias("pos_above"), F.coalesce(F.sum("neg").over(above), F.lit(0.0)).alias("neg_above"))
+    found = before(ties, "s", ["pos", "neg"])
+    return found.select("s", "pos", "neg", F.col("pos_before").alias("pos_above"), F.col("neg_before").alias("neg_above"))
 
 
 def auc(df: DataFrame, positive: Column, s: Column, w: Column | None = None) -> DataFrame:
@@ -145,8 +145,7 @@ def auc_mu(df: DataFrame, y: Column, p: Column, classes: int, weights: list[list
     dot = F.aggregate(F.zip_with(F.col("pair.v"), F.col("p"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     scored = long.select(F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), (F.col("y") == F.col("pair.i")).alias("first"), (t() * dot).alias("d"), "w")
     ties = scored.groupBy("i", "j", "d").agg(F.sum(F.when(F.col("first"), F.col("w")).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("first"), 0.0).otherwise(F.col("w"))).alias("b"))
-    below = Window.partitionBy("i", "j").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ties.withColumn("b_above", F.coalesce(F.sum("b").over(below), F.lit(0.0)))
+    ranked = before(ties, "d", ["b"], ["i", "j"], descending=False).withColumnRenamed("b_before", "b_above")
     each = ranked.groupBy("i", "j").agg(F.sum(F.col("a") * (F.col("b_above") + 0.5 * F.col("b"))).alias("area"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
     return each.agg((F.sum(F.col("area") / (F.col("na") * F.col("nb"))) * 2.0 / (classes * (classes - 1))).alias("value"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import before
+
 #: Hashes are compared with a fraction of this.
 GRAIN = 1 << 20
 
@@ -25,12 +27,12 @@ def balanced_bagging(df: DataFrame, u: Column, positive: Column, pos_fraction: f
 def goss(df: DataFrame, size: Column, u: Column, top_rate: float, other_rate: float) -> DataFrame:
     """Rows with the greatest `size`, and a sample of the rest whose weight makes up for those left out: column `amplify`.
 
-    The threshold is the value at a rank of the sorted sizes, one row, which is broadcast.
+    The threshold is the value at a rank, from running counts of distinct sizes: one row, which is broadcast.
     """
     n = df.count()
     top, other = max(1, int(n * top_rate)), max(1, int(n * other_rate))
-    # the rank's value: order by size and take one row behind `top - 1` others
-    threshold = df.select(size.alias("size")).orderBy(F.desc("size")).offset(top - 1).limit(1)
+    ties = df.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("rows"))
+    threshold = before(ties, "size", ["rows"]).where(F.col("rows_before") + F.col("rows") >= top).agg(F.max("size").alias("size"))
     rows = df.withColumn("size", size).join(F.broadcast(threshold.select(F.col("size").alias("bar"))))
     keep = F.col("size") >= F.col("bar")
     rest = n - top

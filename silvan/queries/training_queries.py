@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import histogram, sampling
+from ..operators.running import before
 from .registry import add, query, table
 
 #: Rows of the histogram queries: leaf, four binned features, gradients.
@@ -166,7 +167,7 @@ add("union_rows", lambda s, d: picked(table(s, d, "lineitem").where("l_linenumbe
 @query("WITH r AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_orderkey AS q, n AS size, (sum(n) OVER (ORDER BY l_orderkey) - n)::BIGINT AS start FROM r")
 def query_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("q")).agg(F.count(F.lit(1)).alias("size"))
-    return sizes.select("q", "size", (F.sum("size").over(Window.orderBy("q").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("start"))
+    return before(sizes, "q", ["size"], descending=False).select("q", "size", F.col("size_before").alias("start"))
 
 
 add("query_weights", lambda s, d: table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("q")).agg(F.round(F.avg("l_quantity"), 6).alias("weight")), "SELECT l_orderkey AS q, round(avg(l_quantity), 6) AS weight FROM lineitem GROUP BY 1")
