@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import histogram, sampling
@@ -136,13 +136,18 @@ add("feature_median_iqr", lambda s, d: table(s, d, "lineitem").agg(F.round(F.per
 
 # sampling and folds
 _U = "((l_orderkey * 31 + l_linenumber * 7 + l_partkey) % 1000) / 1000.0"
-U = F.pmod(F.col("l_orderkey") * 31 + F.col("l_linenumber") * 7 + F.col("l_partkey"), F.lit(1000)) / 1000.0
+
+
+def u() -> Column:
+    return F.pmod(F.col("l_orderkey") * 31 + F.col("l_linenumber") * 7 + F.col("l_partkey"), F.lit(1000)) / 1000.0
+
+
 _PICK = "SELECT count(*) AS n, round(sum(l_quantity), 2) AS total FROM lineitem WHERE "
 picked = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("total"))
-add("bagging_hash", lambda s, d: picked(sampling.bagging(table(s, d, "lineitem"), U, 0.3)), _PICK + f"{_U} < 0.3")
-add("balanced_bagging", lambda s, d: picked(sampling.balanced_bagging(table(s, d, "lineitem"), U, F.col("l_returnflag") == "R", 0.8, 0.1)), _PICK + f"{_U} < CASE WHEN l_returnflag = 'R' THEN 0.8 ELSE 0.1 END")
+add("bagging_hash", lambda s, d: picked(sampling.bagging(table(s, d, "lineitem"), u(), 0.3)), _PICK + f"{_U} < 0.3")
+add("balanced_bagging", lambda s, d: picked(sampling.balanced_bagging(table(s, d, "lineitem"), u(), F.col("l_returnflag") == "R", 0.8, 0.1)), _PICK + f"{_U} < CASE WHEN l_returnflag = 'R' THEN 0.8 ELSE 0.1 END")
 add("query_bagging", lambda s, d: picked(sampling.bagging(table(s, d, "lineitem"), F.pmod(F.col("l_orderkey") * 17, F.lit(100)) / 100.0, 0.5)), _PICK + "(l_orderkey * 17 % 100) / 100.0 < 0.5")
-add("goss_topset", lambda s, d: sampling.goss(table(s, d, "lineitem"), F.abs(F.col("l_extendedprice") - 30000.0), U, 0.2, 0.1).groupBy("amplify").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("total")), f"""
+add("goss_topset", lambda s, d: sampling.goss(table(s, d, "lineitem"), F.abs(F.col("l_extendedprice") - 30000.0), u(), 0.2, 0.1).groupBy("amplify").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("total")), f"""
   WITH f AS (SELECT *, abs(l_extendedprice - 30000.0) AS size, {_U} AS u FROM lineitem), c AS (SELECT count(*) AS n, greatest(1, floor(count(*) * 0.2)::BIGINT) AS top, greatest(1, floor(count(*) * 0.1)::BIGINT) AS other FROM f),
   b AS (SELECT size AS bar FROM (SELECT size, row_number() OVER (ORDER BY size DESC) AS r FROM f) WHERE r = (SELECT top FROM c))
   SELECT amplify, count(*) AS n, round(sum(l_quantity), 2) AS total FROM (SELECT l_quantity, CASE WHEN size >= bar THEN 1.0::DOUBLE WHEN u < other / (n - top)::DOUBLE THEN (n - top) / other::DOUBLE END AS amplify FROM f, c, b) WHERE amplify IS NOT NULL GROUP BY amplify""")
