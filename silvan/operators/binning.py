@@ -8,7 +8,6 @@ from dataclasses import asdict, dataclass, field
 from typing import Any
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -281,11 +280,11 @@ def fit_bins(df: DataFrame, names: list[str], p: Params, categorical: set[str] =
     out = []
     for at in range(0, len(names), COLUMNS_AT_ONCE):
         part = names[at : at + COLUMNS_AT_ONCE]
-        frame: pd.DataFrame = picked.select(*[F.col(f"`{n}`").cast("double").alias(f"c{i}") for i, n in enumerate(part)]).toPandas()
+        sample = picked.select(*[F.col(f"`{n}`").cast("double").alias(f"c{i}") for i, n in enumerate(part)]).toArrow()
         for i, name in enumerate(part):
             k = at + i
             own = p.max_bin_by_feature[k] if k < len(p.max_bin_by_feature) else None
-            out.append(find_bins(name, frame[f"c{i}"].to_numpy(np.float64, na_value=np.nan), p, name in categorical, own, (forced or {}).get(k, ()), min_split))
+            out.append(find_bins(name, sample.column(i).to_numpy().astype(np.float64), p, name in categorical, own, (forced or {}).get(k, ()), min_split))
     if len(names) > COLUMNS_AT_ONCE:
         picked.unpersist()
     return BinModel(out)
