@@ -11,18 +11,20 @@ from .common import cut
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of links (a, b): the smallest node that it is connected with.
 
-    Each round takes the smallest label among the neighbours and then the label of that label, so labels travel over
-    distances that double; every round is checkpointed. Nothing but the number of changes comes to the driver. Sums by
-    node are combined before they are shuffled, and joins are on a node whose label is one row.
+    Each round points every node at its smallest neighbour (or itself) and at what that one points at, then replaces the
+    ends of all links by what they point at. Links within a node go, so the graph shrinks with each round until none is
+    left; the smallest node of a component always stays. Each round is written to the shared folder, and only the
+    question whether links are left comes to the driver.
     """
-    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")))
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("low"))
-        lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("component", "low").alias("component"), F.col("component").alias("was"))
-        lower = cut(lower)
-        roots = lower.select(F.col("node").alias("root"), F.col("component").alias("of_root"))
-        jumped = cut(lower.join(roots, F.col("component") == F.col("root")).select("node", F.least("component", "of_root").alias("component"), "was"))
-        if not jumped.where("component <> was").limit(1).count():
-            return jumped.select("node", "component")
-        labels = jumped.select("node", "component")
+    edges = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component")))
+    while edges.limit(1).count():
+        ends = edges.select("a", "b").union(edges.select("b", "a"))
+        low = cut(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("to")))
+        further = low.select(F.col("node").alias("mid"), F.col("to").alias("last"))
+        step = cut(low.join(further, F.col("to") == F.col("mid")).select("node", F.col("last").alias("to")))
+        of = lambda end: step.select(F.col("node").alias(f"{end}_node"), F.col("to").alias(f"{end}_to"))  # noqa: E731,B023
+        moved = edges.join(of("a"), F.col("a") == F.col("a_node")).join(of("b"), F.col("b") == F.col("b_node"))
+        edges = cut(moved.where("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct())
+        found = cut(found.join(of("c"), F.col("component") == F.col("c_node"), "left").select("node", F.coalesce("c_to", "component").alias("component")))
+    return found
