@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +30,7 @@ SPAN = 0.5
 HEAD = 4
 #: Letters, digits and all bytes beyond ASCII make words; A-Z count as a-z.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_SENTENCES = re.compile(rb"[.!?\n]+")
+_STOPS = re.compile(rb"[.!?\n]+")
 _RUNS = re.compile(rb"[^ ]+")
 
 
@@ -120,42 +120,57 @@ def fit(rows: list[tuple[bytes, int]]) -> Field:
     hardly ever have; it must do so between different neighbours, since what surrounds a toxic word in copies of one
     passage comes with it.
     """
-    split = [(text.translate(_WORDS).split(), y, text) for text, y in rows]
     n_toxic = sum(y for _, y in rows)
     n_clean = len(rows) - n_toxic
     if not n_toxic or not n_clean:
         return Field(link=(4.0 if n_toxic else -4.0, 0.0))
-    bad = _telling([(words, y) for words, y, _ in split], n_toxic / len(rows))
-    heads = _telling([([w[:HEAD] for w in words], y) for words, y, _ in split], n_toxic / len(rows))
-    is_bad = lambda w: w in bad or w[:HEAD] in heads
-    sentences, quiet = [], []
-    for _, y, text in split:
-        for part in _SENTENCES.split(text):
-            words = part.translate(_WORDS).split()
-            if words:
-                (sentences if y and any(map(is_bad, words)) else quiet).append(words[:64])
-    chosen = sentences[: SENTENCES // 2] + quiet[:: max(1, len(quiet) // (SENTENCES // 2))][: SENTENCES // 2]
+    bad = _telling(rows, lambda w: w)
+    heads = _telling(rows, lambda w: w[:HEAD])
+    marked = lambda words: any(w in bad or w[:HEAD] in heads for w in words)
+    # words are split anew in each pass: held all at once they would take many times the texts' memory
+    quiet = sum(1 for words, y in _sentences(rows) if not (y and marked(words)))
+    step, loud, chosen, seen = max(1, quiet // (SENTENCES // 2)), 0, [], 0
+    for words, y in _sentences(rows):
+        if y and marked(words):
+            loud += 1
+            if loud <= SENTENCES // 2:
+                chosen.append(words[:64])
+        else:
+            if not seen % step and seen // step < SENTENCES // 2:
+                chosen.append(words[:64])
+            seen += 1
     found = _ascend(chosen, sorted(bad), sorted(heads))
-    inputs = []
-    for words, _, _ in split:
-        inputs.append(1 - math.prod(1 - x for x in found.events(words)[1]))
+    inputs = [1 - math.prod(1 - x for x in found.events(text.translate(_WORDS).split())[1]) for text, _ in rows]
     found.link = _logistic(np.array(inputs), np.array([y for _, y in rows], float))
     return found
 
 
-def _telling(rows: list[tuple[list[bytes], int]], rate: float) -> set[bytes]:
-    """The words (or heads) that toxic documents have and clean ones hardly ever, too often for chance: a word that has
-    nothing to do with toxicity meets toxic documents alone with probability rate ** count, and there are many words."""
-    toxic, clean, around = Counter(), Counter(), set()
-    for words, y in rows:
-        (toxic if y else clean).update(set(words))
+def _sentences(rows: list[tuple[bytes, int]]) -> Iterator[tuple[list[bytes], int]]:
+    for text, y in rows:
+        for part in _STOPS.split(text):
+            words = part.translate(_WORDS).split()
+            if words:
+                yield words, y
+
+
+def _telling(rows: list[tuple[bytes, int]], form: Callable[[bytes], bytes]) -> set[bytes]:
+    """The words, in the form asked for, that toxic documents have and clean ones hardly ever, too often for chance: one that
+    has nothing to do with toxicity meets toxic documents alone with probability rate ** count, and there are many words."""
+    toxic, clean = Counter(), Counter()
+    for text, y in rows:
+        (toxic if y else clean).update(set(map(form, text.translate(_WORDS).split())))
+    many = sum(1 for n in toxic.values() if n >= 3)
+    rate = sum(y for _, y in rows) / len(rows)
+    least = max(3, math.ceil(math.log(20 * max(1, many)) / -math.log(rate)))
+    likely = {w for w, n in toxic.items() if n >= least and clean[w] <= n / 20}
+    around: dict[bytes, set[int]] = {w: set() for w in likely}
+    for text, y in rows:
         if y:
-            around.update(zip(words, [b"", *words], [*words[1:], b""], strict=False))
-    settings = Counter(w for w, _, _ in around)
-    often = [w for w, n in settings.items() if n >= 3]
-    least = max(3, math.ceil(math.log(20 * max(1, len(often))) / -math.log(rate)))
-    telling = [w for w in often if min(settings[w], toxic[w]) >= least and clean[w] <= toxic[w] / 20]
-    return set(sorted(telling, key=lambda w: (-toxic[w], w))[:LEXICON])
+            words = list(map(form, text.translate(_WORDS).split()))
+            for before, w, after in zip([b"", *words], words, [*words[1:], b""], strict=False):
+                if w in likely:
+                    around[w].add(hash((before, after)))
+    return set(sorted((w for w in likely if len(around[w]) >= least), key=lambda w: (-toxic[w], w))[:LEXICON])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
