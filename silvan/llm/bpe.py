@@ -30,7 +30,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 #: Marks that are pre-tokens of their own behind letters, at the end of a word.
 POINTS = (".", ",", ";", ":", "!", "?")
 #: Entries that a worker keeps of words and pre-tokens seen; beyond it the cache starts anew. It never changes a result.
-CACHE = 900_000
+CACHE = 300_000
 #: Longest word that is kept.
 CACHE_LENGTH = 64
 
@@ -52,12 +52,12 @@ class Bpe:
         model, byte_of = spec["model"], byte_alphabet()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: bytes(byte_of[c] for c in s) for s, i in model["vocab"].items()}
-        ids = {b: i for i, b in self.token.items()}
+        ids = {b: i for i, b in self.token.items()} if ranks is None else {}
         #: rank of each mergeable pair; rank and halves of what a merge makes. Bytes have no halves and are there from the start.
         self.rank: dict[tuple[int, int], int] = {}
-        self.born: dict[int, int] = dict.fromkeys(self.token, -1)
+        self.born: dict[int, int] = dict.fromkeys(self.token, -1) if ranks is None else {}
         self.halves: dict[int, tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
+        for rank, pair in enumerate(model["merges"] if ranks is None else ()):
             left, right = (model["vocab"][s] for s in (pair if isinstance(pair, list) else pair.split(" ")))
             self.rank[left, right] = rank
             made = ids[self.token[left] + self.token[right]]

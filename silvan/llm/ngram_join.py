@@ -34,7 +34,7 @@ MATCHES, VERIFY = 4, 20.0
 BUCKETS = (16, 22)
 SLICE = 1 << 14
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_CACHE = 1_000_000
+_CACHE = 300_000
 
 
 class _Words(dict):
@@ -159,7 +159,7 @@ def _bits(ids: np.ndarray, bits: int) -> np.ndarray:
 
 def _filter(ids: DataFrame) -> np.ndarray:
     """A Bloom filter of ids, of bounded size: false hits cost work, never results."""
-    bits = min(28, max(18, int(16 * ids.count()).bit_length()))
+    bits = min(26, max(18, int(16 * ids.count()).bit_length()))
     width = 1 << 18
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
