@@ -170,9 +170,11 @@ class Booster:
         return {"n": int(total[0]), "w": float(total[1]), "w_pos": float(total[2]), "sums": total[3 : 3 + max(k, 1)]}
 
     def _start(self) -> np.ndarray:
-        """Start value of each score."""
+        """Start value of each score; rows that bring start scores of their own begin with those."""
         p, s = self.p, self.stats
         out = np.zeros(self.k)
+        if self.train.init_score:
+            return out
         if callable(p.objective) or p.objective in (*RANKING, "custom") or not p.boost_from_average or not s["w"]:
             return out
         if p.objective == "multiclass":
@@ -361,7 +363,7 @@ class Booster:
         if bias is not None:
             for k, tree in enumerate(trees):
                 tree.shift(float(bias[k]))
-        if p.objective == "lambdarank" and p.lambdarank_position_bias_regularization > 0 or self.train.position:
+        if p.objective == "lambdarank" and self.train.position:
             self._position_bias()
         if len(self.pending.trees) >= p.refresh * self.k and p.boosting != "dart":
             self.refresh()
