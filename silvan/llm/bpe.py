@@ -222,6 +222,11 @@ class Bpe:
         first, *rest = text.split(" ")
         return self._word(first) + b"".join(self._stretches(rest, self.words, " "))
 
+    def forget(self) -> None:
+        """Empties the caches, for workers that go on to other operators."""
+        self.words.clear()
+        self.pieces.clear()
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; special tokens in the text get their own ids."""
         if self.specials is None or not any(s in text for s in self.special):

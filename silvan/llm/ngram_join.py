@@ -50,6 +50,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget() -> None:
+    """Empties this worker's cache. A function of the module: kernels travel with copies of the values that they name themselves."""
+    _words.clear()
+
+
 def hashed(text: bytes) -> np.ndarray:
     """64-bit hashes of a text's words."""
     words = text.lower().split()  # of bytes: A-Z only, and the six blanks of ASCII
@@ -92,6 +97,7 @@ def bucket_counts(docs: DataFrame, bits: int) -> np.ndarray:
             sets = [shingles(hashed(t)) for t in texts_of(batch.column(0))]
             if sets:
                 total += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        forget()
         used = [i for i in range(len(total) // width) if total[i * width : (i + 1) * width].any()]
         for i in used:
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([total[i * width : (i + 1) * width].tobytes()], pa.binary())], ["part", "counts"])
@@ -147,6 +153,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 matches.append(best)
                 heads.append(head.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(matches, pa.int32()), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "matches", "prefix"])
+        forget()  # the worker may go on to another operator
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(measure, "doc_id long, n long, sig binary, matches int, prefix array<long>")
 
@@ -215,6 +222,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             a, b, body_a, body_b = (batch.column(i).to_pylist() for i in range(4))
             yes = [linked(items(x, s), items(y, t)) for x, y, s, t in zip(a, b, body_a, body_b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
+        forget()
 
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pick, "id long, body binary")
     texts = cut(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]))

@@ -79,6 +79,7 @@ def pack(docs: DataFrame, path: str, ranks: str | None = None, length: int = LEN
                 sums.append([zlib.crc32(ids[at : at + 4 * length]) for at in range(0, len(ids), 4 * length)])
                 keys.append(zlib.crc32(f"{doc_id} {sums[-1]}".encode()) % groups)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], ["pack_group", "doc_id", "n", "sums"])
+        tokens.forget()
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "n"], kind="stable")
