@@ -79,6 +79,11 @@ def overlap(n: int) -> int:
     return -(-NEED * n // OF)
 
 
+def alone(n: int) -> bool:
+    """Whether a set of n links with equal ones only: it lacks too much even of one that has a single shingle more."""
+    return OF * n < NEED * (n + 1)
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     if OF * min(len(a), len(b)) < NEED * max(len(a), len(b)):
         return False
@@ -128,7 +133,7 @@ def prefix(items: np.ndarray, counts: np.ndarray, base: float) -> tuple[np.ndarr
 def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """doc_id, n, sig (digest of the set; null for the empty one), matches (l) and prefix; of equal sets in a task only the first has a prefix.
 
-    Sets below 7 shingles link with equal ones only, which their digests tell: they have no prefix.
+    Sets that link with equal ones only (below 6 shingles) have no prefix: their digests tell those.
     """
     handle = docs.sparkSession.sparkContext.broadcast(counts)
 
@@ -142,7 +147,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 sig = hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
                 n.append(len(items))
                 sigs.append(sig)
-                if len(items) - overlap(len(items)) < 1 or sig in seen:
+                if alone(len(items)) or sig in seen:
                     matches.append(None)
                     heads.append(None)
                     continue

@@ -191,6 +191,19 @@ def test_ngram_join_of_odd_rows(spark):
     assert ngram_join.join_components(empty(spark)).count() == 0
 
 
+def test_ngram_join_of_nested_sets(spark):
+    """n shingles and the same with one more, before or behind them, for every small n."""
+    texts = []
+    for n in range(1, 13):
+        for side in (0, 1):
+            words = [f"n{n}s{side}w{i}" for i in range(n + 4)]
+            texts += [" ".join(words), " ".join(words[side : n + 3 + side])]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_components(rows)
+    assert [n for n in range(1, 13) if got[4 * n - 4][1] == got[4 * n - 3][1]] == list(range(6, 13))
+
+
 def test_prefixes_of_linked_sets_share_enough():
     draw = np.random.default_rng(5)
     counts = draw.integers(1, 50, 1 << 16).astype(np.int32)
