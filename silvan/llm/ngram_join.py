@@ -131,7 +131,7 @@ def prefix(items: np.ndarray, counts: np.ndarray, base: float) -> tuple[np.ndarr
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, n, sig (digest of the set; null for the empty one), matches (l) and prefix; of equal sets in a task only the first has a prefix.
+    """doc_id, n, sig (digest of the set; null for the empty one), matches (l) and prefix; of equal sets in a task only the first with a doc_id has a prefix.
 
     Sets that link with equal ones only (below 6 shingles) have no prefix: their digests tell those.
     """
@@ -142,12 +142,12 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         base, seen = float(table.mean()), set()
         for batch in batches:
             n, sigs, matches, heads = [], [], [], []
-            for text in texts_of(batch.column(1)):
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 items = shingles(hashed(text))
                 sig = hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
                 n.append(len(items))
                 sigs.append(sig)
-                if alone(len(items)) or sig in seen:
+                if doc_id is None or alone(len(items)) or sig in seen:
                     matches.append(None)
                     heads.append(None)
                     continue
@@ -255,6 +255,9 @@ def join_components(docs: DataFrame) -> DataFrame:
     n_docs = docs.count()
     counts = bucket_counts(docs, min(BUCKETS[1], max(BUCKETS[0], n_docs.bit_length() + 2)))
     measured = cut(prefixes(docs, counts))
+    sets = F.coalesce("sig", F.lit(b""))
+    if measured.where("doc_id is not null").groupBy("doc_id").agg(F.min(sets).alias("low"), F.max(sets).alias("high")).where("low <> high").limit(1).count():
+        return _row_components(docs)
     usable = measured.where("sig is not null and doc_id is not null")
     same = cut(usable.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     nodes = cut(lookup(measured.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("sig")).alias("sig")), same, "sig", "copies"))
@@ -278,6 +281,24 @@ def join_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
+def _row_components(docs: DataFrame) -> DataFrame:
+    """join_components where a doc_id stands on rows with different sets: rows are numbered and joined by their numbers, then
+    the components that rows of one doc_id are in become one."""
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("own_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row")))
+    inner = cut(join_components(rows.select(F.when(F.col("own_id").isNotNull(), F.col("row")).alias("doc_id"), "text")))
+    owners = rows.where("own_id is not null").select("row", "own_id")
+    found = cut(inner.join(owners, F.col("doc_id") == F.col("row")).select(F.col("own_id").alias("doc_id"), "n_shingles", F.col("component_id").alias("part")))
+    pairs = found.select("doc_id", "part").distinct()
+    lows = pairs.groupBy(F.col("doc_id").alias("low_id")).agg(F.min("part").alias("a"))
+    tops = components(pairs.join(lows, F.col("doc_id") == F.col("low_id")).select("a", F.col("part").alias("b")))
+    parts = found.groupBy("part").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    parts = cut(parts.join(tops, F.col("part") == F.col("node"), "left").select("part", "low", "copies", F.coalesce("component", "part").alias("top")))
+    names = parts.groupBy(F.col("top").alias("name_top")).agg(F.min("low").alias("component_id"))
+    named = cut(parts.join(names, F.col("top") == F.col("name_top")).select("part", "component_id", "copies"))
+    out = lookup(found, named, "part", "copies").select("doc_id", "n_shingles", "component_id")
+    return out.union(inner.where("doc_id is null").select("doc_id", "n_shingles", "component_id"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id is their component's smallest, one row for each such id; rows without doc_id all stay."""
     found = join_components(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_doc")).agg(F.count(F.lit(1)).alias("kept_rows"))

@@ -204,6 +204,20 @@ def test_ngram_join_of_nested_sets(spark):
     assert [n for n in range(1, 13) if got[4 * n - 4][1] == got[4 * n - 3][1]] == list(range(6, 13))
 
 
+def test_ngram_join_of_rows_without_or_with_repeated_doc_id(spark):
+    a, b = ([f"{x}{i}" for i in range(30)] for x in "ab")
+    same, near, other, like = " ".join(a), " ".join(a[:-1]), " ".join(b), " ".join(b[:-1])
+    # the row without doc_id comes first in the one task
+    rows = [(None, same), (5, same), (6, near)]
+    got = {r.doc_id: r.component_id for r in ngram_join.join_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {None: None, 5: 5, 6: 5}
+    # 7 is one node with two texts, each with a near copy
+    rows = [(7, same), (7, other), (8, near), (9, like), (10, None), (None, same), (11, "on its own")]
+    for order in (rows, rows[::-1]):
+        got = ngram_join.join_components(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter([(7, 27, 7), (7, 27, 7), (8, 26, 7), (9, 26, 7), (10, 0, 10), (None, 27, None), (11, 1, 11)])
+
+
 def test_prefixes_of_linked_sets_share_enough():
     draw = np.random.default_rng(5)
     counts = draw.integers(1, 50, 1 << 16).astype(np.int32)
