@@ -1,6 +1,6 @@
 """License notices in texts, by ordered signature rules, with DataFrame functions only.
 
-A text is brought to words between single blanks. Families of rules are gated by a keyword; the rules of the families
+A text is brought to words between single blanks. Families of rules are gated by keywords; the rules of the families
 that pass are regular expressions over words. Where detections overlap, one that lies within another of better
 priority is suppressed.
 """
@@ -20,81 +20,81 @@ PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apach
 
 @dataclass(frozen=True)
 class Family:
-    """label, keyword that a text must contain, name in running text, spdx identifier (both as regular expressions over words)."""
+    """label, keywords (every alternative of the name contains one), name in running text, spdx identifier (both as regular expressions over words)."""
 
     label: str
-    keyword: str
+    keywords: tuple[str, ...]
     name: str
     spdx: str
 
 
 #: Families; more specific names come first.
 FAMILIES = (
-    Family("agpl-3", "affero", "(gnu )?affero general public license( (version|v) ?3( 0)?)?", "agpl 3 0( only| or later)?"),
-    Family("lgpl-2.1", "lesser general public", "(gnu )?lesser general public license (version|v) ?2 1", "lgpl 2 1( only| or later)?"),
-    Family("lgpl-3", "lesser general public", "(gnu )?lesser general public license (version|v) ?3( 0)?", "lgpl 3 0( only| or later)?"),
-    Family("lgpl", "lesser general public", "(gnu )?(lesser|library) general public license", "lgpl"),
-    Family("gpl-2", "general public license", "(gnu )?general public license (version|v) ?2( 0)?", "gpl 2 0( only| or later)?"),
-    Family("gpl-3", "general public license", "(gnu )?general public license (version|v) ?3( 0)?", "gpl 3 0( only| or later)?"),
-    Family("gpl", "general public license", "(gnu )?general public license", "gpl"),
-    Family("gpl-2", "gplv2", "(gnu )?gplv2", "gplv2"),
-    Family("gpl-3", "gplv3", "(gnu )?gplv3", "gplv3"),
-    Family("apache-2", "apache", "apache (license )?((version|v) ?)?2( 0)?( license)?", "apache 2 0"),
-    Family("apache-1.1", "apache", "apache (software )?license (version )?1 1", "apache 1 1"),
-    Family("mit", "mit", "mit", "mit"),
-    Family("mit-0", "mit no attribution", "mit no attribution", "mit 0"),
-    Family("bsd-2-clause", "bsd", "(simplified bsd|bsd 2 clause|2 clause bsd)", "bsd 2 clause"),
-    Family("bsd-3-clause", "bsd", "((new|modified|revised) bsd|bsd 3 clause|3 clause bsd)", "bsd 3 clause"),
-    Family("bsd-4-clause", "bsd", "(original bsd|bsd 4 clause|4 clause bsd)", "bsd 4 clause"),
-    Family("0bsd", "0bsd", "(0bsd|zero clause bsd)", "0bsd"),
-    Family("isc", "isc", "isc", "isc"),
-    Family("mpl-2", "mozilla", "mozilla public license( (version|v) ?2( 0)?)?", "mpl 2 0"),
-    Family("epl-1", "eclipse", "eclipse public license (version|v) ?1( 0)?", "epl 1 0"),
-    Family("epl-2", "eclipse", "eclipse public license( (version|v) ?2( 0)?)?", "epl 2 0"),
-    Family("cddl-1", "common development", "common development and distribution license( (version )?1( 0)?)?", "cddl 1 0"),
-    Family("eupl-1.2", "european union", "european union public licen[cs]e( (version |v ?)?1 2)?", "eupl 1 2"),
-    Family("cc-by-nc-nd", "nc nd", "(cc by nc nd|creative commons attribution non ?commercial no ?derivatives)( [1-4] 0)?", "cc by nc nd [1-4] 0"),
-    Family("cc-by-nc-sa", "nc sa", "(cc by nc sa|creative commons attribution non ?commercial share ?alike)( [1-4] 0)?", "cc by nc sa [1-4] 0"),
-    Family("cc-by-nc", "nc", "(cc by nc|creative commons attribution non ?commercial)( [1-4] 0)?", "cc by nc [1-4] 0"),
-    Family("cc-by-sa", "sa", "(cc by sa|creative commons attribution share ?alike)( [1-4] 0)?", "cc by sa [1-4] 0"),
-    Family("cc-by-nd", "nd", "(cc by nd|creative commons attribution no ?derivatives)( [1-4] 0)?", "cc by nd [1-4] 0"),
-    Family("cc-by", "cc by", "(cc by|creative commons attribution)( [1-4] 0)?", "cc by [1-4] 0"),
-    Family("cc0", "cc0", "cc0( 1 0)?( universal)?", "cc0 1 0"),
-    Family("unlicense", "unlicense", "unlicense", "unlicense"),
-    Family("wtfpl", "wtfpl", "wtfpl", "wtfpl"),
-    Family("zlib", "zlib", "zlib( libpng)?", "zlib"),
-    Family("boost-1", "boost", "boost software license( version 1( 0)?)?", "bsl 1 0"),
-    Family("artistic-2", "artistic", "artistic license( (version )?2( 0)?)?", "artistic 2 0"),
-    Family("postgresql", "postgresql", "postgresql", "postgresql"),
-    Family("python-2", "python", "(python software foundation|psf)", "psf 2 0"),
-    Family("openssl", "openssl", "openssl", "openssl"),
-    Family("ofl-1.1", "font", "(sil )?open font license( (version )?1 1)?", "ofl 1 1"),
-    Family("odbl-1", "database", "open (data commons open )?database license( (version |v ?)?1 0)?", "odbl 1 0"),
-    Family("ms-pl", "microsoft", "microsoft public license", "ms pl"),
-    Family("ms-rl", "microsoft", "microsoft reciprocal license", "ms rl"),
+    Family("agpl-3", ("affero",), "(gnu )?affero general public license( (version|v) ?3( 0)?)?", "agpl 3 0( only| or later)?"),
+    Family("lgpl-2.1", ("lesser general public",), "(gnu )?lesser general public license (version|v) ?2 1", "lgpl 2 1( only| or later)?"),
+    Family("lgpl-3", ("lesser general public",), "(gnu )?lesser general public license (version|v) ?3( 0)?", "lgpl 3 0( only| or later)?"),
+    Family("lgpl", ("lesser general public", "library general public"), "(gnu )?(lesser|library) general public license", "lgpl"),
+    Family("gpl-2", ("general public license",), "(gnu )?general public license (version|v) ?2( 0)?", "gpl 2 0( only| or later)?"),
+    Family("gpl-3", ("general public license",), "(gnu )?general public license (version|v) ?3( 0)?", "gpl 3 0( only| or later)?"),
+    Family("gpl", ("general public license",), "(gnu )?general public license", "gpl"),
+    Family("gpl-2", ("gplv2",), "(gnu )?gplv2", "gplv2"),
+    Family("gpl-3", ("gplv3",), "(gnu )?gplv3", "gplv3"),
+    Family("apache-2", ("apache",), "apache (license )?((version|v) ?)?2( 0)?( license)?", "apache 2 0"),
+    Family("apache-1.1", ("apache",), "apache (software )?license (version )?1 1", "apache 1 1"),
+    Family("mit", ("mit",), "mit", "mit"),
+    Family("mit-0", ("mit no attribution",), "mit no attribution", "mit 0"),
+    Family("bsd-2-clause", ("bsd",), "(simplified bsd|bsd 2 clause|2 clause bsd)", "bsd 2 clause"),
+    Family("bsd-3-clause", ("bsd",), "((new|modified|revised) bsd|bsd 3 clause|3 clause bsd)", "bsd 3 clause"),
+    Family("bsd-4-clause", ("bsd",), "(original bsd|bsd 4 clause|4 clause bsd)", "bsd 4 clause"),
+    Family("0bsd", ("0bsd", "zero clause bsd"), "(0bsd|zero clause bsd)", "0bsd"),
+    Family("isc", ("isc",), "isc", "isc"),
+    Family("mpl-2", ("mozilla",), "mozilla public license( (version|v) ?2( 0)?)?", "mpl 2 0"),
+    Family("epl-1", ("eclipse",), "eclipse public license (version|v) ?1( 0)?", "epl 1 0"),
+    Family("epl-2", ("eclipse",), "eclipse public license( (version|v) ?2( 0)?)?", "epl 2 0"),
+    Family("cddl-1", ("common development",), "common development and distribution license( (version )?1( 0)?)?", "cddl 1 0"),
+    Family("eupl-1.2", ("european union",), "european union public licen[cs]e( (version |v ?)?1 2)?", "eupl 1 2"),
+    Family("cc-by-nc-nd", ("cc by nc nd", "creative commons attribution non"), "(cc by nc nd|creative commons attribution non ?commercial no ?derivatives)( [1-4] 0)?", "cc by nc nd [1-4] 0"),
+    Family("cc-by-nc-sa", ("cc by nc sa", "creative commons attribution non"), "(cc by nc sa|creative commons attribution non ?commercial share ?alike)( [1-4] 0)?", "cc by nc sa [1-4] 0"),
+    Family("cc-by-nc", ("cc by nc", "creative commons attribution non"), "(cc by nc|creative commons attribution non ?commercial)( [1-4] 0)?", "cc by nc [1-4] 0"),
+    Family("cc-by-sa", ("cc by sa", "creative commons attribution share"), "(cc by sa|creative commons attribution share ?alike)( [1-4] 0)?", "cc by sa [1-4] 0"),
+    Family("cc-by-nd", ("cc by nd", "creative commons attribution no"), "(cc by nd|creative commons attribution no ?derivatives)( [1-4] 0)?", "cc by nd [1-4] 0"),
+    Family("cc-by", ("cc by", "creative commons attribution"), "(cc by|creative commons attribution)( [1-4] 0)?", "cc by [1-4] 0"),
+    Family("cc0", ("cc0",), "cc0( 1 0)?( universal)?", "cc0 1 0"),
+    Family("unlicense", ("unlicense",), "unlicense", "unlicense"),
+    Family("wtfpl", ("wtfpl",), "wtfpl", "wtfpl"),
+    Family("zlib", ("zlib",), "zlib( libpng)?", "zlib"),
+    Family("boost-1", ("boost",), "boost software license( version 1( 0)?)?", "bsl 1 0"),
+    Family("artistic-2", ("artistic",), "artistic license( (version )?2( 0)?)?", "artistic 2 0"),
+    Family("postgresql", ("postgresql",), "postgresql", "postgresql"),
+    Family("python-2", ("python software foundation", "psf"), "(python software foundation|psf)", "psf 2 0"),
+    Family("openssl", ("openssl",), "openssl", "openssl"),
+    Family("ofl-1.1", ("font",), "(sil )?open font license( (version )?1 1)?", "ofl 1 1"),
+    Family("odbl-1", ("database",), "open (data commons open )?database license( (version |v ?)?1 0)?", "odbl 1 0"),
+    Family("ms-pl", ("microsoft",), "microsoft public license", "ms pl"),
+    Family("ms-rl", ("microsoft",), "microsoft reciprocal license", "ms rl"),
 )
-#: Forms of a notice, best first: (pattern with {name} or {spdx}, confidence). Each family has a rule of each form.
+#: Forms of a notice, best first: (pattern with {name} or {spdx}, confidence, what any match of it contains). Each family has a rule of each form.
 FORMS = (
-    ("spdx license identifier {spdx}", 1.0),
-    ("(is |are )?(licensed|released|distributed|made available|published) (to you )?under (the )?(terms (and conditions )?of )?(the )?{name}( licen[cs]e)?", 0.95),
-    ("(permission|rights) (is|are) (hereby )?granted under (the )?{name}( licen[cs]e)?", 0.95),
-    ("subject to (the )?(terms (and conditions )?of )?(the )?{name}( licen[cs]e)?", 0.9),
-    ("under (the )?(terms of (the )?)?{name}( licen[cs]e)?", 0.85),
-    ("(see|read) (the )?{name} licen[cs]e", 0.8),
-    ("licen[cs]e {name}", 0.7),
-    ("{name} licen[cs]e", 0.6),
+    ("spdx license identifier {spdx}", 1.0, "spdx"),
+    ("(is |are )?(licensed|released|distributed|made available|published) (to you )?under (the )?(terms (and conditions )?of )?(the )?{name}( licen[cs]e)?", 0.95, " under "),
+    ("(permission|rights) (is|are) (hereby )?granted under (the )?{name}( licen[cs]e)?", 0.95, " under "),
+    ("subject to (the )?(terms (and conditions )?of )?(the )?{name}( licen[cs]e)?", 0.9, " subject to "),
+    ("under (the )?(terms of (the )?)?{name}( licen[cs]e)?", 0.85, " under "),
+    ("(see|read) (the )?{name} licen[cs]e", 0.8, "licen[cs]e"),
+    ("licen[cs]e {name}", 0.7, "licen[cs]e"),
+    ("{name} licen[cs]e", 0.6, "licen[cs]e"),
 )
 #: A text without any of these has no detection beyond the phrases' places.
-GATE = r"licen[cs]e|spdx|creative commons| cc by| cc0|gplv[23]|unlicense|wtfpl| under "
+GATE = "|".join(dict.fromkeys(held for _, _, held in FORMS))
 
 
-def rules() -> list[tuple[str, str, int, float, str]]:
-    """(keyword, label, priority, confidence, pattern) of every rule; a smaller priority is better. More specific forms and families come first."""
+def rules() -> list[tuple[tuple[str, ...], str, int, float, str]]:
+    """(keywords, label, priority, confidence, pattern) of every rule; a smaller priority is better. More specific forms and families come first."""
     out = []
-    for f, (form, confidence) in enumerate(FORMS):
+    for f, (form, confidence, _) in enumerate(FORMS):
         for i, family in enumerate(FAMILIES):
             body = form.replace("{name}", f"({family.name})").replace("{spdx}", f"({family.spdx})")
-            out.append(("spdx" if "{spdx}" in form else family.keyword, family.label, f * len(FAMILIES) + i, confidence, f" {body}(?= )"))
+            out.append((("spdx",) if "{spdx}" in form else family.keywords, family.label, f * len(FAMILIES) + i, confidence, f" {body}(?= )"))
     return out
 
 
@@ -119,11 +119,11 @@ def _places(norm: Column, rule: Column) -> Column:
 
 def detections(norm: Column) -> Column:
     """array<struct<priority, start, end, label, confidence>> that no better one contains; start and end (exclusive) count words."""
-    by_keyword: dict[str, list] = {}
-    for keyword, label, priority, confidence, pattern in rules():
-        by_keyword.setdefault(keyword, []).append(F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(confidence).alias("confidence"), F.lit(pattern).alias("pattern")))
-    families = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*r).alias("rules")) for k, r in by_keyword.items()])
-    open_ = F.filter(families, lambda f: F.contains(norm, f["keyword"]))
+    by_keywords: dict[tuple[str, ...], list] = {}
+    for keywords, label, priority, confidence, pattern in rules():
+        by_keywords.setdefault(keywords, []).append(F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(confidence).alias("confidence"), F.lit(pattern).alias("pattern")))
+    families = F.array(*[F.struct(F.array(*map(F.lit, k)).alias("keywords"), F.array(*r).alias("rules")) for k, r in by_keywords.items()])
+    open_ = F.filter(families, lambda f: F.exists(f["keywords"], lambda k: F.contains(norm, k)))
     found = F.flatten(F.transform(F.flatten(F.transform(open_, lambda f: f["rules"])), lambda r: _places(norm, r)))
     inside = lambda d, e: (e["start"] <= d["start"]) & (e["end"] >= d["end"])
     best = F.transform(F.array(found), lambda all_: F.filter(all_, lambda d: ~F.exists(all_, lambda e: (e["priority"] < d["priority"]) & inside(d, e))))[0]

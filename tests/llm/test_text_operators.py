@@ -307,6 +307,46 @@ def test_license_scan_against_word_lists(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def alternatives(pattern):
+    """Every text that a pattern of groups, character sets and '?' matches."""
+    def of(parsed):
+        texts = [""]
+        for kind, value in parsed:
+            if kind == re._constants.LITERAL:
+                more = [chr(value)]
+            elif kind == re._constants.IN:
+                more = [chr(c) for k, v in value for c in (range(v[0], v[1] + 1) if k == re._constants.RANGE else [v])]
+            elif kind == re._constants.SUBPATTERN:
+                more = of(value[3])
+            elif kind == re._constants.BRANCH:
+                more = [t for branch in value[1] for t in of(branch)]
+            else:
+                assert kind == re._constants.MAX_REPEAT and value[:2] == (0, 1)
+                more = ["", *of(value[2])]
+            texts = [a + b for a in texts for b in more]
+        return texts
+
+    return of(re._parser.parse(pattern))
+
+
+def test_every_alternative_of_a_license_is_found_alone(spark):
+    """Gates change nothing: labels are those of all rules without them."""
+    texts = ["licensed under creative commons attribution 4.0", "licensed under the GNU Library General Public License", "subject to the zero clause bsd"]
+    for form, *_ in licenses.FORMS:
+        kinds = alternatives(form.replace("{name}", "@").replace("{spdx}", "@"))
+        for family in licenses.FAMILIES:
+            for i, name in enumerate(dict.fromkeys(alternatives(family.spdx if "{spdx}" in form else family.name))):
+                texts.append(kinds[i % len(kinds)].replace("@", name))
+    rules = [(label, priority, re.compile(pattern)) for _, label, priority, _, pattern in licenses.rules()]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).collect()}
+    for i, text in enumerate(texts):
+        norm = f" {re.sub(licenses.BETWEEN, ' ', text.lower()).strip()} "
+        every = [(priority, m.start(), m.end(), label) for label, priority, pattern in rules for m in pattern.finditer(norm)]
+        labels = {d[3] for d in every if not any(e[0] < d[0] and e[1] <= d[1] and e[2] >= d[2] for e in every)}
+        labels |= {label for phrase, label in licenses.PHRASES if f" {phrase} " in norm}
+        assert labels and got[i] == ",".join(sorted(labels)), text
+
+
 def test_exchange_finds_planted_classes():
     draw, n = np.random.default_rng(0), 40
     bigrams = np.ones((n + 1, n + 1))
