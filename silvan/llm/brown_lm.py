@@ -1,8 +1,9 @@
 """Class-based bigram model (Brown et al.): words belong to classes; a class follows a class, and emits a word.
 
 Counts of all words come from the whole corpus. Exchange clustering gives the words of a bounded seed vocabulary their
-classes, by the counts of their bigrams over the whole corpus; the words beyond it make up one more class, in which they
-are told apart by their counts. The table of all words grows with the corpus and is never broadcast: every block of
+classes, by the counts of their bigrams over the whole corpus. Every other word with PLACED training occurrences or more
+joins the class that the classes around it speak for, in a distributed pass; only rarer words make up one more class, in
+which they are told apart by their counts. Class bigrams and emissions are then counted over all of them. The table of all words grows with the corpus and is never broadcast: every block of
 documents meets the entries of its own words.
 """
 
@@ -26,6 +27,10 @@ from .common import cut, text_fold, texts_of
 FOLDS, HELD = 7, 2
 #: Most frequent words, which exchange clustering classifies; classes for them; sweeps over the seed vocabulary.
 SEEDS, CLASSES, SWEEPS = 600, 40, 6
+#: Training occurrences that a word beyond the seeds needs for a class of its neighbours' choice.
+PLACED = 5
+#: Tokens whose contexts a task combines at once, and one entry of them: class (of the word before, or, further on, behind) and count.
+CONTEXTS, ENTRY = 1 << 20, np.dtype([("place", "<u2"), ("hits", "<u4")])
 #: Documents to a block, at most.
 BLOCK = 4096
 #: The end of a document is a token too, which no word equals.
@@ -96,18 +101,18 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
 
 @dataclass
 class Model:
-    """ids: sorted hashes of the seeds; seed_class, seed_log: their classes and log10 emissions; move[a, b]: log10 P(b behind a);
-    n: training tokens; v: distinct ones; rest_n, rest_v: those beyond the seeds."""
+    """ids: sorted hashes of the seeds; seed_class: their classes; joint[a, b]: how often class b stands behind a; move[a, b]: log10 P(b behind a);
+    n: training tokens; v: distinct ones; in_class: tokens of each class; rest_n, rest_v: tokens and distinct words without a class, which the last class is for."""
 
     ids: np.ndarray
     seed_class: np.ndarray
-    seed_log: np.ndarray
+    joint: np.ndarray
     move: np.ndarray
     n: int
     v: int
+    in_class: np.ndarray
     rest_n: int
     rest_v: int
-    end_class: int
 
 
 def blocks(docs: DataFrame, rows: int) -> DataFrame:
@@ -184,32 +189,128 @@ def symbols(word: np.ndarray, ranked: np.ndarray, sorter: np.ndarray, other: int
     return np.where(ranked[at] == word, sorter[at], other)
 
 
+def transitions(joint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 P(b behind a), log10 P(b)) by counts of class bigrams, smoothed."""
+    mass = joint.sum(0) + 1
+    return np.log10((joint + ALPHA * mass / mass.sum()) / (joint.sum(1, keepdims=True) + ALPHA)), np.log10(mass / mass.sum())
+
+
 def build(ids: np.ndarray, hits: np.ndarray, bigrams: np.ndarray, n: int, v: int, classes: int = CLASSES) -> Model:
+    """The model of the seeds alone."""
     classes = max(1, min(classes, len(ids)))
     of = exchange(bigrams, classes)
     member = np.zeros((len(of), classes + 1))
     member[np.arange(len(of)), of] = 1
     joint = member.T @ bigrams @ member
-    mass = joint.sum(0) + 1
-    move = np.log10((joint + ALPHA * mass / mass.sum()) / (joint.sum(1, keepdims=True) + ALPHA))
-    in_class = np.bincount(of[:-1], hits, classes + 1)
     sorter = np.argsort(ids)
-    end = of[int(np.flatnonzero(ids == END)[0])] if (ids == END).any() else classes
-    return Model(ids[sorter], of[:-1][sorter], np.log10(hits / in_class[of[:-1]])[sorter], move, n, v, n - int(hits.sum()), v - len(ids), int(end))
+    return Model(ids[sorter], of[:-1][sorter], joint, transitions(joint)[0], n, v, np.bincount(of[:-1], hits, classes), n - int(hits.sum()), v - len(ids))
+
+
+def classes_of(word: np.ndarray, model: Model) -> np.ndarray:
+    """Class of each word among the seeds, and the last class for others."""
+    return np.append(model.seed_class, len(model.joint) - 1)[symbols(word, model.ids, np.arange(len(model.ids)), len(model.ids))]
+
+
+def contexts(docs: DataFrame, model: Model, held: int) -> DataFrame:
+    """(word, body): the classes of the seeds' model that words beyond the seeds stand behind and before in training documents, as
+    entries with counts. Combined where documents are read; a word has as many rows as there are tasks' portions with it."""
+    size = len(model.joint)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, before, behind, many = [], [], [], 0
+
+        def done() -> pa.RecordBatch:
+            word, at = np.unique(np.concatenate(words), return_inverse=True)
+            code, hits = np.unique(np.concatenate([at * 2 * size + np.concatenate(before), at * 2 * size + size + np.concatenate(behind)]), return_counts=True)
+            body = np.empty(len(code), ENTRY)
+            body["place"], body["hits"] = code % (2 * size), hits
+            ends = np.searchsorted(code, np.arange(len(word) + 1) * 2 * size) * ENTRY.itemsize
+            bodies = pa.Array.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
+            return pa.RecordBatch.from_arrays([pa.array(word), bodies], ["word", "body"])
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+                if text_fold(doc_id, FOLDS) == held:
+                    continue
+                word = tokens(text)
+                cls = classes_of(word, model)
+                beyond = cls == size - 1
+                # the end of a document stands before its first word
+                words.append(word[beyond])
+                before.append(np.roll(cls, 1)[beyond])
+                behind.append(np.roll(cls, -1)[beyond])
+                many += len(words[-1])
+                if many >= CONTEXTS:
+                    yield done()
+                    words, before, behind, many = [], [], [], 0
+        if many:
+            yield done()
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "word long, body binary")
+
+
+def placed(docs: DataFrame, model: Model, held: int, least: int = PLACED) -> DataFrame:
+    """(word, cls, hits) of all words beyond the seeds with `least` training occurrences or more: the class whose bigrams with
+    the classes around the word's occurrences are most above chance. Each task holds the words of one batch."""
+    size = len(model.joint)
+    move, alone = transitions(model.joint)
+    gain = np.concatenate([move - alone, (move - alone).T])[:, : size - 1]
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, entries = np.zeros(0, np.int64), np.zeros(0, ENTRY)
+
+        def done(word: np.ndarray, entry: np.ndarray) -> pa.RecordBatch:
+            word, at = np.unique(word, return_inverse=True)
+            found = np.bincount(at * 2 * size + entry["place"], entry["hits"], len(word) * 2 * size).reshape(-1, 2 * size)
+            hits = found[:, :size].sum(1)
+            some = hits >= least
+            cls = (found[some] @ gain).argmax(1)
+            return pa.RecordBatch.from_arrays([pa.array(word[some]), pa.array(cls.astype(np.int32)), pa.array(hits[some].astype(np.int64))], ["word", "cls", "hits"])
+
+        for batch in batches:
+            bodies = batch.column(1).to_pylist()
+            words = np.concatenate([words, np.repeat(batch.column(0).to_numpy(), [len(b) // ENTRY.itemsize for b in bodies])])
+            entries = np.concatenate([entries, np.frombuffer(b"".join(bodies), ENTRY)])
+            if len(words):  # the last word may go on in the next batch
+                ready = words != words[-1]
+                yield done(words[ready], entries[ready])
+                words, entries = words[~ready], entries[~ready]
+        if len(words):
+            yield done(words, entries)
 
+    return contexts(docs, model, held).repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word long, cls int, hits long")
 
-def score_text(model: Model, word: np.ndarray, hits: np.ndarray) -> tuple[int, int, float, float]:
-    """(tokens, known tokens, base score, log10 probability) of a text's tokens with their training counts."""
-    base = float(np.log10((hits + 1) / (model.n + model.v + 1)).sum())
-    rest = model.move.shape[0] - 1
-    emit = np.log10((hits + 1) / (model.rest_n + model.rest_v + 1))
-    cls = np.full(len(word), rest)
-    if len(model.ids):
-        at = np.minimum(np.searchsorted(model.ids, word), len(model.ids) - 1)
-        known = model.ids[at] == word
-        cls[known], emit[known] = model.seed_class[at[known]], model.seed_log[at[known]]
-    before = np.concatenate([[model.end_class], cls[:-1]])
-    return len(word), int((hits > 0).sum()), base, float(model.move[before, cls].sum() + emit.sum())
+
+def class_bigrams(lines: DataFrame, size: int, kind: np.dtype) -> np.ndarray:
+    """Counts of (class, next class) over rows of class sequences; a sequence's end stands before its beginning."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                cls = np.frombuffer(line, kind).astype(np.int64)
+                total += np.bincount(np.roll(cls, 1) * size + cls, minlength=size * size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], ["pair", "hits"])
+
+    counted = lines.select("line").mapInArrow(count, "pair long, hits long").groupBy("pair").agg(F.sum("hits").alias("hits")).toArrow()
+    out = np.zeros(size * size)
+    out[counted["pair"].to_numpy()] = counted["hits"].to_numpy()
+    return out.reshape(size, size)
+
+
+def learn(docs: DataFrame, words: DataFrame, seeds: int, classes: int, held: int) -> tuple[Model, DataFrame]:
+    """The seeds' model, with the tokens of all classes, and the words that are placed (word, cls, hits)."""
+    totals = words.agg(F.sum("hits").alias("n"), F.count(F.when(F.col("hits") > 0, 1)).alias("v")).first()
+    top = words.where("hits > 0").orderBy(F.desc("hits"), "word").limit(seeds).collect()
+    ids, hits = np.array([r.word for r in top], np.int64), np.array([r.hits for r in top], np.float64)
+    model = build(ids, hits, seed_bigrams(docs, ids, held), totals.n or 0, totals.v or 0, classes)
+    others = cut(placed(docs, model, held))
+    for row in others.groupBy("cls").agg(F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("words")).collect():
+        model.in_class[row.cls] += row.hits
+        model.rest_n -= row.hits
+        model.rest_v -= row.words
+    return model, others
 
 
 def scores(docs: DataFrame, seeds: int = SEEDS, classes: int = CLASSES, held: int = HELD, block: int = BLOCK) -> DataFrame:
@@ -222,28 +323,39 @@ def scores(docs: DataFrame, seeds: int = SEEDS, classes: int = CLASSES, held: in
     rows = blocks(docs, block)
     word = Window.partitionBy("word")
     table = cut(block_words(rows, held).select("block", "word", F.sum("hits").over(word).alias("hits"), (F.row_number().over(word.orderBy("block")) == 1).alias("once")))
-    words = table.where("once")
-    totals = words.agg(F.sum("hits").alias("n"), F.count(F.when(F.col("hits") > 0, 1)).alias("v")).first()
-    top = words.where("hits > 0").orderBy(F.desc("hits"), "word").limit(seeds).collect()
-    ids, hits = np.array([r.word for r in top], np.int64), np.array([r.hits for r in top], np.float64)
-    model = build(ids, hits, seed_bigrams(docs, ids, held), totals.n or 0, totals.v or 0, classes)
-    def score(key: tuple, texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    model, others = learn(docs, table.where("once"), seeds, classes, held)
+    size = len(model.joint)
+    kind = np.min_scalar_type(size)
+
+    def line(key: tuple, texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         known = known.sort_values("word")
         word, hits = known.word.to_numpy(np.int64), known.hits.to_numpy(np.int64)
+        cls = np.where(known.cls >= 0, known.cls, classes_of(word, model))
+        base, own = np.log10((hits + 1) / (model.n + model.v + 1)), np.log10(np.where(cls < size - 1, hits, hits + 1))
         out = []
         for text in texts.text:
-            own = tokens(text.encode() if isinstance(text, str) else b"")
-            out.append(score_text(model, own, hits[np.searchsorted(word, own)]))
+            at = np.searchsorted(word, tokens(text.encode() if isinstance(text, str) else b""))
+            out.append((len(at), int((hits[at] > 0).sum()), float(base[at].sum()), float(own[at].sum()), cls[at].astype(kind).tobytes()))
         held_out = [text_fold(None if pd.isna(i) else int(i), FOLDS) == held for i in texts.doc_id.astype("Int64")]
-        n, seen, base, log = zip(*out, strict=True)
-        return pd.DataFrame({"doc_id": texts.doc_id.astype("Int64"), "held_out": held_out, "n_tokens": n, "n_known": seen, "train_tokens": model.n, "base_score": base, "score": log})
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        n, seen, base_score, mass, lines = zip(*out, strict=True) if out else [[]] * 5
+        return pd.DataFrame({"doc_id": texts.doc_id.astype("Int64"), "held_out": held_out, "n_tokens": n, "n_known": seen, "base_score": base_score, "mass": mass, "line": lines})
 
-    def either(key: tuple, texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        return score(key, texts, known) if len(texts) else pd.DataFrame({"doc_id": [], "held_out": [], "n_tokens": [], "n_known": [], "train_tokens": [], "base_score": [], "score": []})
+    table = table.join(others.select("word", "cls"), "word", "left").select("block", "word", "hits", F.coalesce("cls", F.lit(-1)).alias("cls"))
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, mass double, line binary"
+    lines = cut(rows.groupBy("block").cogroup(table.groupBy("block")).applyInPandas(line, schema))
+    move = transitions(class_bigrams(lines.where("not held_out"), size, kind))[0]
+    share = np.log10(np.append(np.maximum(model.in_class, 1), model.rest_n + model.rest_v + 1))
 
-    return rows.groupBy("block").cogroup(table.select("block", "word", "hits").groupBy("block")).applyInPandas(either, schema)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for mass, body in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
+                cls = np.frombuffer(body, kind).astype(np.int64)
+                out.append(mass + float(move[np.roll(cls, 1), cls].sum() - share[cls].sum()))
+            train = pa.array(np.full(len(batch), model.n, np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], train, batch.column(4), pa.array(out, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return lines.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def perplexity(scored: DataFrame) -> dict[str, float]:

@@ -377,6 +377,26 @@ def test_language_model_counts_and_scores(spark):
     assert brown_lm.scores(empty(spark)).count() == 0
 
 
+def test_words_beyond_the_seeds_get_classes(spark):
+    """Two planted classes in turn; most words are no seeds."""
+    draw = random.Random(7)
+    rows = [(i, " ".join(f"{'ab'[k % 2]}{min(draw.randrange(60), draw.randrange(60))}" for k in range(40))) for i in range(600)] + [(1000, "once a1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    scored = brown_lm.scores(df, seeds=12, classes=3, block=64)
+    found = brown_lm.perplexity(scored)
+    assert found["model"] < 0.65 * found["base"]
+    names = {brown_lm.tokens(f"{x}{k}".encode())[0]: x for x in "ab" for k in range(60)}
+    counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*brown_lm.tokens(t.encode()).tolist()])
+    words = spark.createDataFrame(list(counts.items()), "word long, hits long")
+    model, others = brown_lm.learn(df, words, 12, 3, 2)
+    got = {r.word: (r.cls, r.hits) for r in others.collect()}
+    seeds = dict(zip(model.ids.tolist(), model.seed_class.tolist(), strict=True))
+    assert {w: h for w, (_, h) in got.items()} == {w: h for w, h in counts.items() if h >= brown_lm.PLACED and w not in seeds}
+    of = {x: {c for w, c in seeds.items() if names.get(w) == x} for x in "ab"}
+    assert sum(c in of[names[w]] for w, (c, _) in got.items()) > 0.9 * len(got)
+    assert model.in_class.sum() + model.rest_n == model.n and model.rest_v == len(counts) - len(got) - len(seeds)
+
+
 def test_model_probabilities_add_up(spark):
     bigrams = np.array([[0.0, 5, 2], [3, 1, 1], [2, 2, 4]])
     model = brown_lm.build(np.array([5, 9]), np.array([5.0, 8.0]), bigrams, 20, 6, 2)
