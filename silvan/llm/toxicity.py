@@ -22,8 +22,10 @@ from .common import texts_of, text_fold
 
 #: Labelled documents that the field is fitted on, at most.
 SAMPLE = 8000
-#: Words of the lexicon and sentences of the fit, at most.
+#: Words of the lexicon (and as many beginnings), and windows of the fit that are drawn evenly, at most; half of these with marked words.
 LEXICON, SENTENCES = 2000, 12_000
+#: Words of a window; longer sentences are cut into several. Windows that each marked word is in at least, as far as there are as many.
+WINDOW, EACH = 64, 5
 FOLDS, HELD = 5, 0
 SPAN = 0.5
 #: First bytes that stand for a word that is not in the lexicon itself.
@@ -118,7 +120,9 @@ def fit(rows: list[tuple[bytes, int]]) -> Field:
 
     A word is labelled toxic where it stands in a toxic document and is one, or begins like one, that clean documents
     hardly ever have; it must do so between different neighbours, since what surrounds a toxic word in copies of one
-    passage comes with it.
+    passage comes with it. The field is fitted on windows of whole sentences (WINDOW words at most) that are drawn evenly
+    over all rows, SENTENCES / 2 with marked words of toxic documents and as many others, and on further ones for marked
+    words that fewer than EACH of them hold.
     """
     n_toxic = sum(y for _, y in rows)
     n_clean = len(rows) - n_toxic
@@ -126,25 +130,31 @@ def fit(rows: list[tuple[bytes, int]]) -> Field:
         return Field(link=(4.0 if n_toxic else -4.0, 0.0))
     bad = _telling(rows, lambda w: w)
     heads = _telling(rows, lambda w: w[:HEAD])
-    marked = lambda words: any(w in bad or w[:HEAD] in heads for w in words)
+    marks = lambda words: {(w in bad, w if w in bad else w[:HEAD]) for w in words if w in bad or w[:HEAD] in heads}
     # words are split anew in each pass: held all at once they would take many times the texts' memory
-    quiet = sum(1 for words, y in _sentences(rows) if not (y and marked(words)))
-    step, loud, chosen, seen = max(1, quiet // (SENTENCES // 2)), 0, [], 0
-    for words, y in _sentences(rows):
-        if y and marked(words):
-            loud += 1
-            if loud <= SENTENCES // 2:
-                chosen.append(words[:64])
-        else:
-            if not seen % step and seen // step < SENTENCES // 2:
-                chosen.append(words[:64])
-            seen += 1
+    totals, most = Counter(bool(y and marks(words)) for words, y in _windows(rows)), SENTENCES // 2
+    seen, held, chosen = Counter(), Counter(), []
+    for words, y in _windows(rows):
+        own = marks(words) if y else set()
+        loud, total = bool(own), totals[bool(own)]
+        i = seen[loud]
+        seen[loud] += 1
+        if total <= most or (i + 1) * most // total > i * most // total or any(held[w] < EACH for w in own):
+            chosen.append(words)
+            held.update(own)
     found = _ascend(chosen, sorted(bad), sorted(heads))
     inputs = [1 - math.prod(1 - x for x in found.events(text.translate(_WORDS).split())[1]) for text, _ in rows]
     found.link = _logistic(np.array(inputs), np.array([y for _, y in rows], float))
     return found
 
 
+def _windows(rows: list[tuple[bytes, int]]) -> Iterator[tuple[list[bytes], int]]:
+    """Sentences with their labels, in windows of at most WINDOW words that follow each other."""
+    for words, y in _sentences(rows):
+        for i in range(0, len(words), WINDOW):
+            yield words[i : i + WINDOW], y
+
+
 def _sentences(rows: list[tuple[bytes, int]]) -> Iterator[tuple[list[bytes], int]]:
     for text, y in rows:
         for part in _STOPS.split(text):

@@ -36,6 +36,37 @@ def test_field_separates_and_marks(model):
         assert sorted(text.decode()[a:b] for a, b in spans) == sorted(w for w in text.decode().split() if w in BAD)
 
 
+def test_fit_reads_whole_sentences():
+    """Long sentences without marks of their end, toxic words far behind."""
+    draw = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        text = [f"word{k}" for k in draw.integers(0, 300, 150)]
+        if i % 3 == 0:
+            text[int(draw.integers(70, 150))] = BAD[i // 3 % 3]
+        rows.append((" ".join(text).encode(), int(i % 3 == 0)))
+    model = toxicity.fit(rows)
+    assert all(model.word[w.encode()] > 1 for w in BAD)
+    for text, toxic in rows:
+        score, spans = model.tag(text)
+        assert (int(score >= 0.5), len(spans)) == (toxic, toxic)
+
+
+def test_fit_draws_from_all_rows(monkeypatch):
+    """A word of the last rows alone counts, however few windows are drawn."""
+    monkeypatch.setattr(toxicity, "SENTENCES", 80)
+    draw = np.random.default_rng(4)
+    rows = []
+    for i in range(900):
+        text = [f"word{k}" for k in draw.integers(0, 300, 20)]
+        if i % 3 == 0:
+            text[int(draw.integers(0, 20))] = "idiotic" if i < 840 else "vilescum"
+        rows.append((" ".join(text).encode(), int(i % 3 == 0)))
+    model = toxicity.fit(rows)
+    assert model.word[b"idiotic"] > 1 and model.word[b"vilescum"] > 1
+    assert model.tag(b"some vilescum thing")[1] == [(5, 13)]
+
+
 def test_spans_count_code_points(model):
     text = "größe 🙂 idiotic naïve"
     assert [text[a:b] for a, b in model.tag(text.encode())[1]] == ["idiotic"]
