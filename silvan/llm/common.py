@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,11 +23,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; only where it is unset (tests), a local one."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where it is unset, a local one serves sessions on
+    one machine (tests); on a cluster that is an error, as executors would not see each other's files."""
     global _local
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _local is None:
         _local = tempfile.mkdtemp(prefix="silvan-")
         atexit.register(shutil.rmtree, _local, ignore_errors=True)
@@ -33,14 +39,49 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _local: str | None = None
+#: Tables that cut() wrote and drop() hasn't deleted, by the frame that reads them.
+_written: dict[int, tuple[DataFrame, str]] = {}
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written as a table to the shared folder and read again: cut from its lineage, and safe from lost executors."""
+    """df, written as a table to the shared folder and read again: cut from its lineage, and safe from lost executors.
+
+    The table is deleted by drop(), or when the driver's process ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/silvan/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if not _written:
+        atexit.register(_drop_all)
+    _written[id(out)] = out, path
+    return out
+
+
+def drop(*frames: DataFrame | None) -> None:
+    """Deletes the tables behind frames that cut() returned. Nothing that is still to run may read them."""
+    for df in frames:
+        if df is not None and id(df) in _written:
+            _, path = _written.pop(id(df))
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop_since(before: Iterable[int], *keep: DataFrame) -> None:
+    """Deletes all tables that were written since `before`, which written() gave, but those of `keep`."""
+    kept = {*before, *map(id, keep)}
+    drop(*[df for key, (df, _) in list(_written.items()) if key not in kept])
+
+
+def written() -> frozenset[int]:
+    """What stands for the tables that are there now."""
+    return frozenset(_written)
+
+
+def _drop_all() -> None:
+    with contextlib.suppress(Exception):  # the session may be over, with its folder or without
+        drop(*[df for df, _ in list(_written.values())])
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -77,3 +118,13 @@ def lookup(left: DataFrame, right: DataFrame, key: str, size: str) -> DataFrame:
     out = out.withColumn("probe", probe).join(cold, (F.col("probe.key") == F.col("cold_key")) & (F.col("probe.spread") == F.lit(0)), "left")
     value = F.coalesce("hot_value", "cold_value")
     return out.select(*left.columns, *[value[v].alias(v) for v in values])
+
+
+def matched(left: DataFrame, right: DataFrame, key: str, size: str) -> DataFrame:
+    """left JOIN right on key, safe when one key holds a large part of left; right is as in lookup(), and left is read twice where keys are hot."""
+    bound = max(1, -(-(right.agg(F.sum(size)).first()[0] or 0) // HOT_KEYS))
+    hot = right.where(F.col(size) >= bound)
+    if not hot.limit(1).count():
+        return left.join(right, key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(size) < bound), key)
+    return left.join(F.broadcast(hot), key).unionByName(rest)

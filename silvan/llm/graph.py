@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,6 +25,9 @@ def components(links: DataFrame) -> DataFrame:
         step = cut(low.join(further, F.col("to") == F.col("mid")).select("node", F.col("last").alias("to")))
         of = lambda end: step.select(F.col("node").alias(f"{end}_node"), F.col("to").alias(f"{end}_to"))  # noqa: E731,B023
         moved = edges.join(of("a"), F.col("a") == F.col("a_node")).join(of("b"), F.col("b") == F.col("b_node"))
-        edges = cut(moved.where("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct())
-        found = cut(found.join(of("c"), F.col("component") == F.col("c_node"), "left").select("node", F.coalesce("c_to", "component").alias("component")))
+        fewer = cut(moved.where("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct())
+        after = cut(found.join(of("c"), F.col("component") == F.col("c_node"), "left").select("node", F.coalesce("c_to", "component").alias("component")))
+        drop(edges, found, low, step)
+        edges, found = fewer, after
+    drop(edges)
     return found

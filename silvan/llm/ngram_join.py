@@ -5,9 +5,14 @@ among the first (size - least overlap + l) of each, for every l. A document take
 estimate: a longer prefix meets more documents, of which more shared shingles are then asked before verification. A
 pair needs the smaller l of its two documents.
 
-What is asked for are components, so pairs that are already connected need no verification. First every document is
-verified against one of its prefix lists' centres (lists choose different ones); then all pairs that share enough of
-their prefixes and lie in different components so far.
+What is asked for are components, so pairs that are already connected need no verification. A document is first
+verified against centres: members of its prefix lists that have most company in theirs. Then short lists give the pairs
+of different components that share enough of their prefixes. A long list gives no pairs. Its members are told apart by
+how they differ from the list's centre: two sets differ by what their differences from a third one differ by. A set
+within the threshold of the centre is connected with it; any other set that links with a member must share part of its
+own difference with that of the member, so a prefix of the differences (difference_prefix) is listed in place of the
+prefix of the sets, and these lists are treated likewise. In a family of near copies of one text the differences are
+small and mostly one's own, so a family costs about its size.
 """
 
 from __future__ import annotations
@@ -19,10 +24,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, texts_of
+from .common import cut, drop, drop_since, lookup, matched, texts_of, written
 from .graph import components
 
 WORDS = 4
@@ -33,6 +39,13 @@ MATCHES, VERIFY = 4, 20.0
 #: Buckets of the frequencies by which shingles are put in order: a power of two that grows with the documents up to the last one.
 BUCKETS = (16, 22)
 SLICE = 1 << 14
+#: Members of a list whose pairs are listed, at most; longer lists go by differences from their centre, ROUNDS times over, and what is
+#: left of them then by all pairs.
+SHORT, ROUNDS = 48, 4
+#: Pairs that one copy of a text serves in a join, about; a text of more pairs is dealt out in several copies.
+SERVED = 500
+#: Tables that a task adds up at once.
+FAN_IN = 128
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _CACHE = 300_000
 
@@ -92,9 +105,14 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * both >= NEED * (len(a) + len(b) - both)
 
 
-def bucket_counts(docs: DataFrame, bits: int) -> np.ndarray:
-    """How many documents have a shingle of each bucket (a shingle's top bits): 2 ** bits numbers, whatever the data."""
+def bucket_counts(docs: DataFrame, bits: int, tasks: int) -> np.ndarray:
+    """How many documents have a shingle of each bucket (a shingle's top bits): 2 ** bits numbers, whatever the data.
+
+    Tasks (there are about `tasks`) send compressed slices, which are added up FAN_IN at a time.
+    """
     width = min(SLICE, 1 << bits)
+    packed = lambda total: zstandard.ZstdCompressor(level=1).compress(total.tobytes())
+    opened = lambda body: np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
@@ -105,23 +123,34 @@ def bucket_counts(docs: DataFrame, bits: int) -> np.ndarray:
         forget()
         used = [i for i in range(len(total) // width) if total[i * width : (i + 1) * width].any()]
         for i in used:
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([total[i * width : (i + 1) * width].tobytes()], pa.binary())], ["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([packed(total[i * width : (i + 1) * width])], pa.binary())], ["part", "counts"])
 
     def add(key: tuple, parts: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(c.as_py(), np.int64) for c in parts["counts"]], axis=0)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "part long, counts binary").groupBy("part").applyInArrow(add, "part long, counts binary")
+        total = np.zeros(width, np.int64)
+        for body in parts["counts"]:
+            total += opened(body.as_py())
+        return pa.table({"part": parts["part"][:1], "counts": pa.array([packed(total)], pa.binary())})
+
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "part long, counts binary")
+    counted = counted.withColumn("sender", F.spark_partition_id())
+    while tasks > FAN_IN:
+        tasks = -(-tasks // FAN_IN)
+        counted = counted.withColumn("sender", F.floor(F.col("sender") / FAN_IN))
+        counted = counted.groupBy("part", "sender").applyInArrow(lambda key, parts: add(key, parts).append_column("sender", parts["sender"][:1]), "part long, counts binary, sender long")
     out = np.zeros(1 << bits, np.int64)
-    for row in counted.collect():
-        out[row.part * width : (row.part + 1) * width] = np.frombuffer(row.counts, np.int64)
+    for row in counted.groupBy("part").applyInArrow(add, "part long, counts binary").collect():
+        out[row.part * width : (row.part + 1) * width] = opened(row.counts)
     return np.minimum(out, (1 << 31) - 1).astype(np.int32)
 
 
+def frequencies(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return counts[(items >> np.uint64(64 - (len(counts).bit_length() - 1))).astype(np.int64)]
+
+
 def prefix(items: np.ndarray, counts: np.ndarray, base: float) -> tuple[np.ndarray, int]:
     """(prefix, l) of a set. base: what a bucket holds by chance; only what is beyond it is expected to be met again."""
     n = len(items)
-    frequency = counts[(items >> np.uint64(64 - (len(counts).bit_length() - 1))).astype(np.int64)]
+    frequency = frequencies(items, counts)
     longest = min(n, n - overlap(n) + MATCHES)
     order = np.lexsort((items, frequency))[:longest]
     met = np.cumsum(np.maximum(frequency[order] - base, 0.0))
@@ -130,12 +159,36 @@ def prefix(items: np.ndarray, counts: np.ndarray, base: float) -> tuple[np.ndarr
     return items[order[: n - overlap(n) + best]], best
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+def difference_prefix(own: np.ndarray, centre: np.ndarray, near: bool, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(head, tail) of the prefix of a set's difference D from a centre (what one of the two has and the other hasn't).
+
+    near: the set links with the centre. Two sets x and y that link, and don't both link with the centre, meet in an
+    element of their prefixes: in one of both heads, or, if only x links with the centre, of x's head and y's head or tail.
+
+    With P = OF + NEED and Q = OF - NEED, x and y link if and only if P |Dx ^ Dy| <= Q (|x| + |y|), and |Dx ^ Dy| is
+    |Dx| + |Dy| - 2 |Dx & Dy|. That bounds |Dx & Dy| from below, in three ways:
+    (1) where y doesn't link with the centre c, P |Dy| > Q (|y| + |c|), so 2 P |Dx & Dy| > P |Dx| + Q (|c| - |x|);
+    (2) |Dx & Dy| >= |Dx| - |Dx ^ Dy|, and |y| <= OF |x| / NEED, so |Dx & Dy| >= |Dx| - Q |x| / NEED;
+    (3) for any partner y, |y| <= |c| + |Dy| and so 2 P |Dx & Dy| >= P |Dx| - Q (|c| + |x|).
+    Heads rest on (1) and (2), heads with tails on (2) and (3). What the centre has comes last, as most members have it too.
+    """
+    difference = np.setxor1d(own, centre, assume_unique=True)
+    d, n, c = len(difference), len(own), len(centre)
+    p, q = OF + NEED, OF - NEED
+    whole = d - q * n // NEED
+    head = max((p * d + q * (c - n)) // (2 * p) + 1, whole)
+    tail = head if near else max(1, -(-(p * d - q * (c + n)) // (2 * p)), whole)
+    shared = centre[np.minimum(np.searchsorted(centre, difference), c - 1)] == difference
+    order = difference[np.lexsort((difference, frequencies(difference, counts), shared))]
+    end = max(0, d - head + 1)
+    return order[:end], order[end : max(0, d - tail + 1)]
+
+
+def prefixes(docs: DataFrame, handle: Broadcast) -> DataFrame:
     """doc_id, n, sig (digest of the set; null for the empty one), matches (l) and prefix; of equal sets in a task only the first with a doc_id has a prefix.
 
     Sets that link with equal ones only (below 6 shingles) have no prefix: their digests tell those.
     """
-    handle = docs.sparkSession.sparkContext.broadcast(counts)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = handle.value
@@ -169,9 +222,11 @@ def _bits(ids: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([((x ^ (x >> np.uint64(32))) * m >> np.uint64(64 - bits)).astype(np.int64) for m in _MIX[:2]])
 
 
-def _filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of ids, of bounded size: false hits cost work, never results."""
-    bits = min(26, max(18, int(16 * ids.count()).bit_length()))
+def _filter(ids: DataFrame) -> np.ndarray | None:
+    """A Bloom filter of ids, of bounded size: false hits cost work, never results. None where there are too many ids for it."""
+    bits = max(18, int(16 * ids.count()).bit_length())
+    if bits > 26:
+        return None
     width = 1 << 18
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,27 +248,30 @@ def _filter(ids: DataFrame) -> np.ndarray:
     return np.packbits(out)
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose sets link, checkpointed.
+def verified(docs: DataFrame, pairs: DataFrame, handle: Broadcast) -> DataFrame:
+    """What comparing the pairs (a, b, wide) of doc_ids gives, checkpointed: a, b, wide, linked, n (of a's set), head and tail.
 
-    Only the texts of documents that occur in pairs travel, compressed; a Bloom filter keeps nearly all others at their source.
+    Of pairs that aren't wide only those that link are returned. For wide ones b is a centre, and head and tail are those
+    of a's difference from it. Only the texts of documents that occur in pairs travel, compressed; a Bloom filter keeps
+    nearly all others at their source. A text b of many pairs is dealt out in copies, so its pairs spread over tasks.
     """
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    before = written()
+    served = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SERVED).alias("copies"))
+    ids = cut(pairs.select(F.col("a").alias("id"), F.lit(1).alias("copies")).union(served).groupBy("id").agg(F.max("copies").alias("copies")))
     flags = _filter(ids)
-    handle = docs.sparkSession.sparkContext.broadcast(flags)
+    marks = docs.sparkSession.sparkContext.broadcast(flags)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, pack = handle.value, zstandard.ZstdCompressor(level=3).compress
-        bits = (8 * len(flags)).bit_length() - 1
+        flags, pack = marks.value, zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = _bits(keys, bits).reshape(2, -1)
-            keep = pa.array(((flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0))
-            some = batch.filter(keep)
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(map(pack, texts_of(some.column(1))), pa.binary())], ["id", "body"])
+            if flags is not None:
+                keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                at = _bits(keys, (8 * len(flags)).bit_length() - 1).reshape(2, -1)
+                batch = batch.filter(pa.array(((flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(pack, texts_of(batch.column(1))), pa.binary())], ["id", "body"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, kept = zstandard.ZstdDecompressor().decompress, {}
+        read, kept, counts = zstandard.ZstdDecompressor().decompress, {}, handle.value
 
         def items(key: int, body: bytes) -> np.ndarray:
             got = kept.get(key)
@@ -224,68 +282,185 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             return got
 
         for batch in batches:
-            a, b, body_a, body_b = (batch.column(i).to_pylist() for i in range(4))
-            yes = [linked(items(x, s), items(y, t)) for x, y, s, t in zip(a, b, body_a, body_b, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
+            rows = []
+            for a, b, wide, body_a, body_b in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                x, y = items(a, body_a), items(b, body_b)
+                yes = linked(x, y)
+                if wide:
+                    rows.append((a, b, True, yes, len(x), *(part.view(np.int64) for part in difference_prefix(x, y, yes, counts))))
+                elif yes:
+                    rows.append((a, b, False, True, len(x), None, None))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "wide", "linked", "n", "head", "tail"])
         forget()
 
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pick, "id long, body binary")
-    texts = cut(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]))
-    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
-    with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b")
-    return cut(with_b.select("a", "b", "body_a", "body_b").mapInArrow(compare, "a long, b long"))
-
-
-def shared_lists(measured: DataFrame) -> DataFrame:
-    """(token, doc_id, centre) of the prefix entries whose token several documents have. A token's centre is the document
-    that comes first in an order of the token's own."""
-    entries = measured.where("prefix is not null").select("doc_id", F.explode("prefix").alias("token"))
-    mixed = F.col("doc_id").bitwiseXOR(F.xxhash64("token"))
-    lists = entries.groupBy("token").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high")).where("low <> high")
-    return entries.join(lists.select("token", "low"), "token").select("token", "doc_id", F.col("low").bitwiseXOR(F.xxhash64("token")).alias("centre"))
-
-
-def join_components(docs: DataFrame) -> DataFrame:
+    texts = cut(texts.join(ids, "id").dropDuplicates(["id"]))
+    centres = texts.select(F.col("id").alias("b_id"), F.col("body").alias("body_b"), "copies", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("copy"))
+    dealt = pairs.join(ids.select(F.col("id").alias("b"), "copies"), "b").select("a", "b", "wide", F.pmod(F.hash("a"), F.col("copies").cast("int")).alias("turn"))
+    with_a = dealt.join(texts.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
+    with_b = with_a.join(centres, (F.col("b") == F.col("b_id")) & (F.col("turn") == F.col("copy")))
+    out = cut(with_b.select("a", "b", "wide", "body_a", "body_b").mapInArrow(compare, "a long, b long, wide boolean, linked boolean, n long, head array<long>, tail array<long>"))
+    drop_since(before, out)
+    return out
+
+
+def with_centres(entries: DataFrame) -> DataFrame:
+    """The entries (key, rep, n, matches, kind) of lists of several members, checkpointed, with the number of members and the
+    list's centre: the member that has most company in all its lists."""
+    sizes = cut(entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    shared = cut(matched(entries, sizes, "key", "members"))
+    company = shared.groupBy(F.col("rep").alias("company_rep")).agg(F.sum("members").alias("company"))
+    known = shared.join(company, F.col("rep") == F.col("company_rep"))
+    centres = cut(known.groupBy("key", "members").agg(F.bitwise_not(F.max(F.struct("company", F.bitwise_not("rep").alias("first")))["first"]).alias("centre")))
+    out = cut(matched(shared.drop("members"), centres, "key", "members"))
+    drop(sizes, shared, centres)
+    return out
+
+
+def _near(n_a: Column, n_b: Column) -> Column:
+    return OF * F.least(n_a, n_b) >= NEED * F.greatest(n_a, n_b)
+
+
+def _meet(x: Column, y: Column) -> Column:
+    """Entries that may be a pair: of different components, near in size, of kinds that meet (0: linked with the centre
+    before; 1: not linked; 2: not linked, and in the tail)."""
+    kinds = (F.least(x["kind"], y["kind"]) + F.greatest(x["kind"], y["kind"]) * 3).isin(3, 4, 6)
+    return kinds & (x["component"] != y["component"]) & _near(x["n"], y["n"])
+
+
+def _pair(x: Column, y: Column) -> Column:
+    return F.struct(F.least(x["rep"], y["rep"]).alias("a"), F.greatest(x["rep"], y["rep"]).alias("b"), F.least(x["matches"], y["matches"]).alias("need"))
+
+
+def short_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of entries (key, rep, n, matches, kind, component) of lists of at most SHORT members that share as many as they need."""
+    bodies = lists.groupBy("key").agg(F.collect_list(F.struct("rep", "n", "matches", "kind", "component")).alias("members"))
+    after = lambda x, i: F.filter(F.slice("members", i + 2, SHORT), lambda y: _meet(x, y))
+    pairs = bodies.select(F.explode(F.flatten(F.transform("members", lambda x, i: F.transform(after(x, i), lambda y: _pair(x, y))))).alias("pair"))
+    counted = pairs.groupBy("pair.a", "pair.b").agg(F.count(F.lit(1)).alias("shared"), F.min("pair.need").alias("need"))
+    return counted.where("shared >= need").select("a", "b")
+
+
+def all_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of entries of lists of any length; each list is dealt into blocks, and every two blocks of it meet in a task."""
+    blocks = F.ceil(F.col("members") / SHORT).cast("int")
+    held = lists.withColumn("own", F.pmod(F.hash("rep"), blocks)).withColumn("every", F.sequence(F.lit(0), blocks - 1))
+    entry = F.struct("rep", "n", "matches", "kind", "component")
+    # block i meets block j >= i as (i, j): each entry stands once for itself in every pair of blocks that its own is in
+    left = held.select("key", "own", F.explode("every").alias("other"), entry.alias("x")).where("own <= other")
+    right = held.select(F.col("key").alias("key_y"), F.explode("every").alias("first"), F.col("own").alias("last"), entry.alias("y")).where("first <= last")
+    met = left.join(right, (F.col("key") == F.col("key_y")) & (F.col("own") == F.col("first")) & (F.col("other") == F.col("last")))
+    met = met.where((F.col("own") != F.col("other")) | (F.col("x.rep") < F.col("y.rep"))).where(_meet(F.col("x"), F.col("y")))
+    return met.select(_pair(F.col("x"), F.col("y")).alias("pair")).select("pair.a", "pair.b").distinct()
+
+
+def with_components(entries: DataFrame, found: DataFrame) -> DataFrame:
+    joined = entries.join(found, F.col("rep") == F.col("node"), "left")
+    return joined.select(*entries.columns, F.coalesce("component", "rep").alias("component"))
+
+
+def difference_lists(compared: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries (key, rep, n, matches, kind) of the lists of differences from centres, where some entries of a list may be a pair. Checkpointed."""
+    wide = compared.where("wide").select(F.col("a").alias("rep"), "b", "n", F.when(F.col("linked"), 0).otherwise(1).alias("kind"), "head", "tail")
+    heads = wide.select("rep", "b", "n", "kind", F.explode("head").alias("token"))
+    tails = wide.select("rep", "b", "n", F.lit(2).alias("kind"), F.explode("tail").alias("token"))
+    entries = heads.union(tails).select(F.xxhash64("b", "token").alias("key"), "rep", "n", F.lit(1).alias("matches"), "kind")
+    entries = cut(with_components(entries, found))
+    kinds = [F.count(F.when(F.col("kind") == k, 1)) for k in range(3)]
+    some = (kinds[0] * (kinds[1] + kinds[2]) > 0) | (kinds[1] > 1)
+    live = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), (some & (F.min("component") < F.max("component"))).alias("live"))
+    live = cut(live.where("live").select("key", "size"))
+    out = cut(matched(entries.drop("component"), live, "key", "size").drop("size"))
+    drop(entries, live)
+    return out
+
+
+def linked_components(docs: DataFrame, entries: DataFrame, handle: Broadcast, rounds: int = ROUNDS) -> DataFrame:
+    """(node, component) of the sets that link with others. entries (key, rep, n, matches, kind): prefix lists of the sets, each of which
+    the document rep has."""
+    links, found, asked = [], None, []
+    for turn in range(rounds + 1):
+        lists = with_centres(entries)
+        others = lists.where("rep <> centre")
+        pairs = others.where(F.col("members") > SHORT) if turn < rounds else others.where("false")
+        pairs = pairs.select(F.col("rep").alias("a"), F.col("centre").alias("b"), F.lit(True).alias("wide"))
+        if not turn:  # every set meets the one that is the centre of most of its lists
+            votes = others.groupBy("rep", "centre").agg(F.count(F.lit(1)).alias("votes"))
+            first = votes.groupBy("rep").agg(F.max_by("centre", F.struct("votes", F.bitwise_not("centre").alias("first"))).alias("centre"))
+            pairs = pairs.union(first.select(F.col("rep").alias("a"), F.col("centre").alias("b"), F.lit(False).alias("wide")))
+        pairs = cut(pairs.groupBy("a", "b").agg(F.max("wide").alias("wide")))
+        compared = verified(docs, pairs, handle)
+        drop(pairs)
+        links.append(cut(compared.where("linked").select("a", "b")))
+        drop(found)
+        found = components(_union(links))
+        with_found = with_components(lists.select("key", "rep", "n", "matches", "kind", "members"), found)
+        asked.append(cut(short_pairs(with_found.where(F.col("members") <= SHORT))))
+        if turn == rounds:
+            asked.append(cut(all_pairs(with_found.where(F.col("members") > SHORT))))
+        entries = difference_lists(compared, found)
+        drop(lists, compared)
+        if not entries.limit(1).count():
+            break
+    ends = found.select("node", "component")
+    of = lambda end: ends.select(F.col("node").alias(f"{end}_node"), F.col("component").alias(f"{end}_component"))
+    rest = _union(asked).join(of("a"), F.col("a") == F.col("a_node"), "left").join(of("b"), F.col("b") == F.col("b_node"), "left")
+    rest = rest.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b").distinct()
+    rest = cut(rest.select("a", "b", F.lit(False).alias("wide")))
+    drop(*asked, entries)
+    links.append(verified(docs, rest, handle).select("a", "b"))
+    drop(found, rest)
+    return components(_union(links))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.union(df)
+    return out
+
+
+def join_components(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
     component_id is the smallest doc_id that links lead to, the document's own included. Documents without words (a null
     text has none) link with nothing. A row without doc_id links with nothing and has a null component_id. Rows that
-    share a doc_id are one node. Shingles and sets are told apart by 64-bit and 128-bit digests.
+    share a doc_id are one node. An empty table gives an empty one. Shingles and sets are told apart by 64-bit and
+    128-bit digests. What is returned is checkpointed; all other tables on the way are deleted.
     """
-    n_docs = docs.count()
-    counts = bucket_counts(docs, min(BUCKETS[1], max(BUCKETS[0], n_docs.bit_length() + 2)))
-    measured = cut(prefixes(docs, counts))
+    before = written()
+    size = docs.select(F.spark_partition_id().alias("task")).agg(F.count("task").alias("rows"), F.max("task").alias("last")).first()
+    bits = min(BUCKETS[1], max(BUCKETS[0], size.rows.bit_length() + 2))
+    handle = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, bits, (size.last or 0) + 1))
+    measured = cut(prefixes(docs, handle))
     sets = F.coalesce("sig", F.lit(b""))
     if measured.where("doc_id is not null").groupBy("doc_id").agg(F.min(sets).alias("low"), F.max(sets).alias("high")).where("low <> high").limit(1).count():
-        return _row_components(docs)
+        drop(measured)
+        return _row_components(docs, rounds)
     usable = measured.where("sig is not null and doc_id is not null")
-    same = cut(usable.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    nodes = cut(lookup(measured.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("sig")).alias("sig")), same, "sig", "copies"))
-    of = nodes.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n").alias("n"))
-    lists = cut(shared_lists(usable.select("doc_id", "prefix")))
-    name = lambda side: of.select(F.col("doc_id").alias(f"{side}_doc"), F.col("rep").alias(side), F.col("n").alias(f"n_{side}"))
-    near = lambda df: df.where((F.col("a") != F.col("b")) & (OF * F.least("n_a", "n_b") >= NEED * F.greatest("n_a", "n_b")))
-
-    votes = lists.where("doc_id <> centre").groupBy("doc_id", "centre").agg(F.count(F.lit(1)).alias("votes"))
-    first = votes.groupBy("doc_id").agg(F.max_by("centre", F.struct("votes", "centre")).alias("centre"))
-    pairs = first.join(name("a"), F.col("doc_id") == F.col("a_doc")).join(name("b"), F.col("centre") == F.col("b_doc"))
-    pairs = cut(near(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = verified(docs, pairs)
-    found = components(links)
-    rest = open_pairs(lists, usable.where("prefix is not null").select("doc_id", "matches"), of, found)
-    more = verified(docs, rest)
-    if more.limit(1).count():
-        found = components(links.union(more))
-    sized = found.join(same.select(F.col("rep").alias("node"), "copies"), "node").select(F.col("node").alias("rep"), "component", "copies")
-    out = lookup(nodes.select("doc_id", "n", "rep"), cut(sized), "rep", "copies")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
-
-
-def _row_components(docs: DataFrame) -> DataFrame:
+    holder = F.min(F.when(F.col("prefix").isNotNull(), F.col("doc_id"))).alias("holder")
+    same = cut(usable.groupBy("sig").agg(F.min("doc_id").alias("rep"), holder, F.count(F.lit(1)).alias("copies")))
+    known = same.where("holder is not null").select(F.col("sig").alias("same_sig"), "rep", "holder")
+    held = usable.where("prefix is not null").join(known, (F.col("sig") == F.col("same_sig")) & (F.col("doc_id") == F.col("holder")))
+    held = cut(held.dropDuplicates(["sig"]).select("rep", "n", "matches", "prefix"))
+    nodes = cut(lookup(measured.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("sig")).alias("sig")), same.drop("holder"), "sig", "copies"))
+    drop(measured)
+    found = linked_components(docs, held.select(F.explode("prefix").alias("key"), "rep", "n", "matches", F.lit(1).alias("kind")), handle, rounds)
+    group = cut(found.join(same.select("rep", "copies"), F.col("node") == F.col("rep")).select("rep", "component", "copies"))
+    out = lookup(nodes.select("doc_id", "n", "rep"), group, "rep", "copies")
+    out = cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")))
+    drop_since(before, out)
+    return out
+
+
+def _row_components(docs: DataFrame, rounds: int) -> DataFrame:
     """join_components where a doc_id stands on rows with different sets: rows are numbered and joined by their numbers, then
     the components that rows of one doc_id are in become one."""
+    before = written()
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("own_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row")))
-    inner = cut(join_components(rows.select(F.when(F.col("own_id").isNotNull(), F.col("row")).alias("doc_id"), "text")))
+    inner = join_components(rows.select(F.when(F.col("own_id").isNotNull(), F.col("row")).alias("doc_id"), "text"), rounds)
     owners = rows.where("own_id is not null").select("row", "own_id")
     found = cut(inner.join(owners, F.col("doc_id") == F.col("row")).select(F.col("own_id").alias("doc_id"), "n_shingles", F.col("component_id").alias("part")))
     pairs = found.select("doc_id", "part").distinct()
@@ -296,34 +471,17 @@ def _row_components(docs: DataFrame) -> DataFrame:
     names = parts.groupBy(F.col("top").alias("name_top")).agg(F.min("low").alias("component_id"))
     named = cut(parts.join(names, F.col("top") == F.col("name_top")).select("part", "component_id", "copies"))
     out = lookup(found, named, "part", "copies").select("doc_id", "n_shingles", "component_id")
-    return out.union(inner.where("doc_id is null").select("doc_id", "n_shingles", "component_id"))
+    out = cut(out.union(inner.where("doc_id is null").select("doc_id", "n_shingles", "component_id")))
+    drop_since(before, out)
+    return out
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id is their component's smallest, one row for each such id; rows without doc_id all stay."""
-    found = join_components(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_doc")).agg(F.count(F.lit(1)).alias("kept_rows"))
-    found = cut(found)
+    joined = join_components(docs)
+    found = cut(joined.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_doc")).agg(F.count(F.lit(1)).alias("kept_rows")))
+    drop(joined)
     out = docs.join(found, F.col("doc_id").cast("long") == F.col("kept_doc"), "left_semi")
     if found.where("kept_rows > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where(F.col("doc_id").isNull()))
-
-
-def open_pairs(lists: DataFrame, matches: DataFrame, of: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of representatives in different components that share as many prefix tokens as they need, and are near enough in size.
-
-    Within a list, the component that most of its documents are in meets only the others, so that pairs within it never come up.
-    """
-    entries = lists.join(of, "doc_id").join(matches, "doc_id").select("token", "rep", "n", "matches")
-    entries = entries.join(found, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "matches", F.coalesce("component", "rep").alias("component"))
-    entries = cut(entries.groupBy("token", "rep", "n", "component").agg(F.min("matches").alias("matches")))
-    sizes = entries.groupBy("token", "component").agg(F.count(F.lit(1)).alias("members"))
-    main = sizes.groupBy("token").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = cut(entries.join(main, "token").select(*entries.columns, "main"))
-    minor = mixed.where("component <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "matches", "component")])
-    every = mixed.select("token", F.col("main").alias("main_b"), *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "matches", "component")])
-    met = minor.join(every, "token").where(F.col("component_a") != F.col("component_b"))
-    met = met.where((F.col("component_b") == F.col("main_b")) | (F.col("rep_a") < F.col("rep_b")))
-    met = met.where(OF * F.least("n_a", "n_b") >= NEED * F.greatest("n_a", "n_b"))
-    counted = met.groupBy(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("matches_a", "matches_b")).alias("need"))
-    return cut(counted.where("shared >= need").select("a", "b"))
