@@ -87,14 +87,18 @@ def _above(x: float) -> float:
     return math.nextafter(x, math.inf)
 
 
-def _cuts_to_bounds(cuts: list[tuple[float, float]]) -> list[float]:
-    """A bound in the middle of each gap, just above it, leaving out bounds that are the same double or its neighbour."""
-    out: list[float] = []
-    for left, right in cuts:
-        bound = _above((left + right) / 2.0)
-        if not out or bound > _above(out[-1]):
-            out.append(bound)
-    return [*out, math.inf]
+def _middles(values: np.ndarray) -> np.ndarray:
+    """The bound behind each value but the last: just above the middle of the gap to the next one."""
+    return np.nextafter((values[:-1] + values[1:]) / 2.0, np.inf)
+
+
+def _apart(bounds: np.ndarray) -> list[float]:
+    """Bounds in rising order without those that are the double, or its neighbour, that the last one kept is; then infinity."""
+    kept: list[float] = []
+    for bound in bounds.tolist():
+        if not kept or bound > _above(kept[-1]):
+            kept.append(bound)
+    return [*kept, math.inf]
 
 
 def greedy_bounds(values: np.ndarray, counts: np.ndarray, max_bin: int, min_data: int) -> list[float]:
@@ -103,36 +107,55 @@ def greedy_bounds(values: np.ndarray, counts: np.ndarray, max_bin: int, min_data
     While there are no more values than bins, every value (or run of values with min_data rows) is one. Else values that
     would fill a bin on their own get one, and the others share what is left; a run ends early, half full, before such a value.
     """
-    n = len(values)
-    if n <= max_bin:
-        cuts, held, last = [], 0, -math.inf
-        for i in range(n - 1):
-            held += int(counts[i])
-            if held >= min_data:
-                bound = _above((values[i] + values[i + 1]) / 2.0)
-                if bound > _above(last):
-                    cuts.append((float(values[i]), float(values[i + 1])))
-                    last, held = bound, 0
-        return _cuts_to_bounds(cuts)
-    total = int(counts.sum())
-    if min_data > 0:
-        max_bin = max(1, min(max_bin, total // min_data))
-    big = counts >= total / max_bin
-    left_bins, left_rows = max_bin - int(big.sum()), total - int(counts[big].sum())
-    mean = left_rows / left_bins if left_bins else math.inf
-    cuts, held = [], 0
-    for i in range(n - 1):
-        left_rows -= 0 if big[i] else int(counts[i])
-        held += int(counts[i])
-        if big[i] or held >= mean or (big[i + 1] and held >= max(1.0, mean * 0.5)):
-            cuts.append((float(values[i]), float(values[i + 1])))
-            if len(cuts) >= max_bin - 1:
-                break
-            held = 0
-            if not big[i]:
-                left_bins -= 1
-                mean = left_rows / left_bins if left_bins else math.inf
-    return _cuts_to_bounds(cuts)
+    rows = np.cumsum(counts)
+    if len(values) <= max_bin:
+        return _sparse_bounds(_middles(values), rows, min_data)
+    most = min(max_bin, int(rows[-1]) // min_data) if min_data > 0 else max_bin
+    return _apart(_middles(values)[_dense_cuts(counts, rows, max(1, most))])
+
+
+def _sparse_bounds(middles: np.ndarray, rows: np.ndarray, min_data: int) -> list[float]:
+    """A bound wherever min_data rows have come together since the last one, if doubles tell the two apart."""
+    out: list[float] = []
+    at, base = int(np.searchsorted(rows, min_data)), 0
+    while at < len(middles):
+        if out and middles[at] <= _above(out[-1]):
+            at += 1
+            continue
+        out.append(float(middles[at]))
+        base = int(rows[at])
+        at = max(at + 1, int(np.searchsorted(rows, base + min_data)))
+    return [*out, math.inf]
+
+
+def _dense_cuts(counts: np.ndarray, rows: np.ndarray, most: int) -> list[int]:
+    """Values behind which bins end, but the last bin. Running counts tell where each bin ends, so one step leads from cut to cut."""
+    n, total = len(counts), int(rows[-1])
+    alone = np.flatnonzero(counts >= total / most)
+    shared = np.where(counts >= total / most, 0, counts)
+    before, shared_rows = np.cumsum(shared), int(shared.sum())
+    bins = most - len(alone)
+    mean = shared_rows / bins if bins else math.inf
+    cuts: list[int] = []
+    start = 0
+    while len(cuts) < most - 1:
+        base = int(rows[start - 1]) if start else 0
+        next_alone = np.searchsorted(alone, start)
+        ends = [int(alone[next_alone]) if next_alone < len(alone) else n]
+        if mean < math.inf:
+            ends.append(max(start, int(np.searchsorted(rows, base + math.ceil(mean)))))
+        half = max(1.0, mean * 0.5)
+        if start < ends[0] < n and rows[ends[0] - 1] - base >= half:
+            ends.append(ends[0] - 1)
+        end = min(ends)
+        if end >= n - 1:
+            break
+        cuts.append(end)
+        start = end + 1
+        if shared[end] or not counts[end]:
+            bins -= 1
+            mean = (shared_rows - int(before[end])) / bins if bins else math.inf
+    return cuts
 
 
 def _with_zero_bin(values: np.ndarray, counts: np.ndarray, max_bin: int, min_data: int) -> list[float]:
@@ -151,29 +174,24 @@ def _with_zero_bin(values: np.ndarray, counts: np.ndarray, max_bin: int, min_dat
 
 
 def _with_forced(values: np.ndarray, counts: np.ndarray, max_bin: int, min_data: int, forced: list[float]) -> list[float]:
-    """Forced bounds and those around zero first; each interval between them gets a share of the other bins by its rows."""
-    below, above = bool((values <= -ZERO).any()), bool((values > ZERO).any())
-    fixed = ([-ZERO] if below and max_bin > 1 else []) + ([ZERO] if above and max_bin > 2 else []) if max_bin > 2 else ([ZERO] if above else [-ZERO])
-    bounds = [*fixed, math.inf]
-    for f in forced:
-        if len(bounds) >= max_bin:
-            break
-        if abs(f) > ZERO:
-            bounds.append(f)
-    bounds = sorted(set(bounds))
-    free, total, extra = max_bin - len(bounds), int(counts.sum()), []
-    at = 0
-    for i, upper in enumerate(bounds):
-        end = at + int((values[at:] < upper).sum()) if upper != math.inf else len(values)
-        rows = int(counts[at:end].sum())
-        share = round(rows * free / total) if total else 0
-        share = min(share, free - len(extra)) + 1
-        if i == len(bounds) - 1:
-            share = free - len(extra) + 1
-        if end > at and share > 1:
-            extra += greedy_bounds(values[at:end], counts[at:end], share, min_data)[:-1]
-        at = end
-    return sorted(set(bounds + extra))
+    """Forced bounds and those around zero first; each interval between them gets a share of the other bins by its rows, and
+    the last one what is left."""
+    sides = [(-ZERO, bool((values <= -ZERO).any())), (ZERO, bool((values > ZERO).any()))]
+    around_zero = [bound for bound, there in sides if there] if max_bin > 2 else [ZERO if sides[1][1] else -ZERO]
+    own = [f for f in forced if abs(f) > ZERO][: max(0, max_bin - len(around_zero) - 1)]
+    bounds = np.unique([*around_zero, *own, math.inf])
+    ends = np.append(np.searchsorted(values, bounds[:-1]), len(values))
+    starts = np.append(0, ends[:-1])
+    rows = np.diff(np.append(0, np.cumsum(counts))[np.append(0, ends)])
+    free = max_bin - len(bounds)
+    shares = np.floor(rows * free / max(1, int(counts.sum())) + 0.5).astype(int)
+    shares[-1] = free
+    extra: list[float] = []
+    for start, end, share in zip(starts.tolist(), ends.tolist(), shares.tolist(), strict=True):
+        bins = min(share, free - len(extra))
+        if end > start and bins > 0:
+            extra += greedy_bounds(values[start:end], counts[start:end], bins + 1, min_data)[:-1]
+    return sorted({*bounds.tolist(), *extra})
 
 
 def find_bins(name: str, values: np.ndarray, p: Params, categorical: bool = False, max_bin: int | None = None, forced: list[float] = (), min_split: int | None = None) -> FeatureBins:

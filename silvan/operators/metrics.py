@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.backend import SparkOps
 from ..params import default_label_gain
-from .running import before
+from .running import before, held
 
 EPSILON = 1e-15
 
@@ -102,7 +102,7 @@ def _by_score(df: DataFrame, positive: Column, s: Column, w: Column | None) -> D
     """Positive and negative weight of each distinct score, and the same of all higher ones."""
     w = F.lit(1.0) if w is None else w
     ties = df.groupBy(s.alias("s")).agg(F.sum(F.when(positive, w).otherwise(0.0)).alias("pos"), F.sum(F.when(positive, 0.0).otherwise(w)).alias("neg"))
-    found = before(ties, "s", ["pos", "neg"])
+    found = before(held(ties), "s", ["pos", "neg"])
     return found.select("s", "pos", "neg", F.col("pos_before").alias("pos_above"), F.col("neg_before").alias("neg_above"))
 
 
@@ -145,16 +145,21 @@ def auc_mu(df: DataFrame, y: Column, p: Column, classes: int, weights: list[list
     dot = F.aggregate(F.zip_with(F.col("pair.v"), F.col("p"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     scored = long.select(F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), (F.col("y") == F.col("pair.i")).alias("first"), (t() * dot).alias("d"), "w")
     ties = scored.groupBy("i", "j", "d").agg(F.sum(F.when(F.col("first"), F.col("w")).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("first"), 0.0).otherwise(F.col("w"))).alias("b"))
-    ranked = before(ties, "d", ["b"], ["i", "j"], descending=False).withColumnRenamed("b_before", "b_above")
+    ranked = before(held(ties), "d", ["b"], ["i", "j"], descending=False).withColumnRenamed("b_before", "b_above")
     each = ranked.groupBy("i", "j").agg(F.sum(F.col("a") * (F.col("b_above") + 0.5 * F.col("b"))).alias("area"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
     return each.agg((F.sum(F.col("area") / (F.col("na") * F.col("nb"))) * 2.0 / (classes * (classes - 1))).alias("value"))
 
 
-def _ranked(df: DataFrame, q: Column, y: Column, s: Column, tie: list[Column]) -> DataFrame:
+def _ranked(df: DataFrame, q: Column, y: Column, s: Column, tie: list[Column], w: Column | None = None) -> DataFrame:
     """Rows with their place in their query by falling score; equal scores keep the rows' order, which `tie` tells."""
-    base = df.select(q.alias("q"), y.cast("int").alias("y"), s.alias("s"), *[t.alias(f"t{i}") for i, t in enumerate(tie)])
+    base = df.select(q.alias("q"), y.cast("int").alias("y"), s.alias("s"), (F.lit(1.0) if w is None else w).alias("w"), *[t.alias(f"t{i}") for i, t in enumerate(tie)])
     ties = [f"t{i}" for i in range(len(tie))]
-    return base.select("q", "y", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), *ties)).alias("r"), F.row_number().over(Window.partitionBy("q").orderBy(F.desc("y"), *ties)).alias("ideal"))
+    return base.select("q", "y", "w", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), *ties)).alias("r"), F.row_number().over(Window.partitionBy("q").orderBy(F.desc("y"), *ties)).alias("ideal"))
+
+
+def _query_mean(each: DataFrame, value: Column) -> DataFrame:
+    """Mean over queries, each of which counts as much as its rows' mean weight (w) says."""
+    return each.agg((F.sum(value * F.col("w")) / F.sum("w")).alias("value"))
 
 
 def max_dcg(df: DataFrame, q: Column, y: Column, k: int, gain: list[float] | None = None) -> DataFrame:
@@ -165,18 +170,19 @@ def max_dcg(df: DataFrame, q: Column, y: Column, k: int, gain: list[float] | Non
     return best.groupBy("q").agg(F.sum(F.element_at(table, F.col("y") + 1) / F.log2(F.col("r") + 1)).alias("max_dcg"))
 
 
-def ndcg(df: DataFrame, q: Column, y: Column, s: Column, k: int, tie: list[Column], gain: list[float] | None = None) -> DataFrame:
-    """Mean NDCG at k over queries; a query without gain counts as 1."""
+def ndcg(df: DataFrame, q: Column, y: Column, s: Column, k: int, tie: list[Column], gain: list[float] | None = None, w: Column | None = None) -> DataFrame:
+    """Mean NDCG at k over queries, weighted by the mean weight of their rows; a query without gain counts as 1."""
     table = F.array(*[F.lit(g) for g in gain or default_label_gain()])
     worth = F.element_at(table, F.col("y") + 1)
-    each = _ranked(df, q, y, s, tie).groupBy("q").agg(F.sum(F.when(F.col("r") <= k, worth / F.log2(F.col("r") + 1)).otherwise(0.0)).alias("dcg"), F.sum(F.when(F.col("ideal") <= k, worth / F.log2(F.col("ideal") + 1)).otherwise(0.0)).alias("best"))
-    return each.agg(F.avg(F.when(F.col("best") > 0, F.col("dcg") / F.col("best")).otherwise(1.0)).alias("value"))
+    sums = [F.sum(F.when(F.col(place) <= k, worth / F.log2(F.col(place) + 1)).otherwise(0.0)).alias(name) for place, name in (("r", "dcg"), ("ideal", "best"))]
+    each = _ranked(df, q, y, s, tie, w).groupBy("q").agg(*sums, F.avg("w").alias("w"))
+    return _query_mean(each, F.when(F.col("best") > 0, F.col("dcg") / F.col("best")).otherwise(1.0))
 
 
-def mean_average_precision(df: DataFrame, q: Column, y: Column, s: Column, k: int, tie: list[Column]) -> DataFrame:
-    """Mean over queries of average precision at k; a query without hit counts as 1."""
+def mean_average_precision(df: DataFrame, q: Column, y: Column, s: Column, k: int, tie: list[Column], w: Column | None = None) -> DataFrame:
+    """Mean over queries of average precision at k, weighted by the mean weight of their rows; a query without hit counts as 1."""
     hit = F.when(F.col("y") > 0.5, 1).otherwise(0)
     upto = Window.partitionBy("q").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    rows = _ranked(df, q, y, s, tie).select("q", "r", hit.alias("hit")).withColumn("hits", F.sum("hit").over(upto))
-    each = rows.groupBy("q").agg(F.sum(F.when((F.col("hit") == 1) & (F.col("r") <= k), F.col("hits") / F.col("r")).otherwise(0.0)).alias("sum"), F.sum("hit").alias("n"), F.count(F.lit(1)).alias("size"))
-    return each.agg(F.avg(F.when(F.col("n") > 0, F.col("sum") / F.least(F.col("n"), F.least(F.lit(k), F.col("size")))).otherwise(1.0)).alias("value"))
+    rows = _ranked(df, q, y, s, tie, w).select("q", "r", "w", hit.alias("hit")).withColumn("hits", F.sum("hit").over(upto))
+    each = rows.groupBy("q").agg(F.sum(F.when((F.col("hit") == 1) & (F.col("r") <= k), F.col("hits") / F.col("r")).otherwise(0.0)).alias("sum"), F.sum("hit").alias("n"), F.count(F.lit(1)).alias("size"), F.avg("w").alias("w"))
+    return _query_mean(each, F.when(F.col("n") > 0, F.col("sum") / F.least(F.col("n"), F.least(F.lit(k), F.col("size")))).otherwise(1.0))

@@ -6,12 +6,18 @@ Rows are cut into buckets by quantiles of the order column, windows run within a
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 128
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df, kept (on disk where memory is short) for the passes of before(); Spark frees it with the session, or lets go of it under pressure of others."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _bucket(x: Column, bounds: list[float], lo: int, hi: int) -> Column:
     """Number of the first bound that x does not exceed, by nested conditions."""
     if lo >= hi:
@@ -23,8 +29,8 @@ def _bucket(x: Column, bounds: list[float], lo: int, hi: int) -> Column:
 def before(df: DataFrame, order: str, sums: list[str], keys: list[str] = (), descending: bool = True) -> DataFrame:
     """df with <column>_before for each of `sums`: its sum over the rows of the same keys that come earlier in the order.
 
-    df has one row for each (keys, order), so that no order among equals is needed. It is read twice more; callers that
-    make it at great cost pass it persisted.
+    df has one row for each (keys, order), so that no order among equals is needed. It is read three times; callers that
+    make it at some cost pass it held().
     """
     keys = list(keys)
     found = df.agg(F.percentile_approx(F.col(order).cast("double"), F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(1000)).alias("b")).first().b

@@ -66,12 +66,15 @@ def output(g, h, p: Params, l2: float, n=None, parent: float = 0.0):
         out = np.clip(out, -p.max_delta_step, p.max_delta_step)
     if p.path_smooth > 0 and n is not None:
         share = n / p.path_smooth
-        out = out * share / (share + 1.0) + parent / (share + 1.0)
+        with np.errstate(invalid="ignore"):
+            out = out * share / (share + 1.0) + parent / (share + 1.0)
     return out
 
 
 def gain_of_output(g, h, out, p: Params, l2: float):
-    return -(2.0 * soft(g, p.lambda_l1) * out + (h + l2) * out * out)
+    # sides without rows have no finite output; callers leave them out by their hessians
+    with np.errstate(invalid="ignore"):
+        return -(2.0 * soft(g, p.lambda_l1) * out + (h + l2) * out * out)
 
 
 def leaf_gain(g, h, p: Params, l2: float, n=None, parent: float = 0.0):
@@ -106,6 +109,18 @@ def shift_of(leaf: Leaf, p: Params) -> float:
     return own + p.min_gain_to_split
 
 
+def _grown(total: np.ndarray, may: np.ndarray, least: float) -> np.ndarray:
+    """Of the places that `may` allows, those by which a rising total has grown by `least` since the last such place."""
+    out, places = np.zeros(len(total), bool), np.flatnonzero(may)
+    at, held = 0, total[places]
+    base = 0.0
+    while (at := max(at, int(np.searchsorted(held, base + least)))) < len(places):
+        out[places[at]] = True
+        base = held[at]
+        at += 1
+    return out
+
+
 class Scanner:
     """Finds the best split of a leaf for a fixed set of features."""
 
@@ -236,28 +251,25 @@ class Scanner:
         most = min(p.max_cat_threshold, (len(order) + 1) // 2)
         l2 = p.lambda_l2 + p.cat_l2
         pick = int(draw.integers(0, max(1, min(most, len(order)) - 1))) if draw is not None else None
-        best, best_gain = None, -np.inf
-        for turn in (order, order[::-1]):
-            gl, hl, nl, group = 0.0, EPSILON, 0.0, 0.0
-            for k, b in enumerate(turn[:most].tolist()):
-                gl, hl, nl, group = gl + g[b], hl + h[b], nl + n[b], group + n[b]
-                if nl < p.min_data_in_leaf or hl < p.min_sum_hessian_in_leaf:
-                    continue
-                if leaf.n - nl < max(p.min_data_in_leaf, p.min_data_per_group) or leaf.h - hl < p.min_sum_hessian_in_leaf:
-                    break
-                if group < p.min_data_per_group:
-                    continue
-                group = 0.0
-                if pick is not None and k != pick:
-                    continue
-                gain = float(pair_gain(gl, hl, nl, leaf.g - gl, leaf.h - hl, leaf.n - nl, leaf, p, l2))
-                if gain > shift and gain > best_gain:
-                    best_gain = gain
-                    best = (turn[: k + 1] + 1).tolist(), (gl, hl - EPSILON, nl)
-        if best is None:
+        # the categories that go left are the first ones of the order, or the last ones: a row of each table for either side
+        turns = np.stack([order[:most], order[::-1][:most]])
+        if not turns.size:
+            return None
+        start = np.array([[0.0], [EPSILON], [0.0]])[:, None]
+        gl, hl, nl = np.concatenate([np.broadcast_to(start, (3, 2, 1)), np.stack([g, h, n])[:, turns]], 2).cumsum(2)[:, :, 1:]
+        filled = (nl >= p.min_data_in_leaf) & (hl >= p.min_sum_hessian_in_leaf)
+        spent = (leaf.n - nl < max(p.min_data_in_leaf, p.min_data_per_group)) | (leaf.h - hl < p.min_sum_hessian_in_leaf)
+        may = filled & ~np.logical_or.accumulate(filled & spent, 1)
+        ok = np.stack([_grown(rows, mask, p.min_data_per_group) for rows, mask in zip(nl, may, strict=True)])
+        if pick is not None:
+            ok &= np.arange(turns.shape[1]) == pick
+        gain = pair_gain(gl, hl, nl, leaf.g - gl, leaf.h - hl, leaf.n - nl, leaf, p, l2)
+        gain = np.where(ok & (gain > shift), gain, -np.inf)
+        side, k = np.unravel_index(gain.argmax(), gain.shape)
+        if gain[side, k] == -np.inf:
             return None
-        bins, left = best
-        return self._split(i, best_gain - shift, bins[0], False, left, (leaf.g - left[0], leaf.h - left[1], leaf.n - left[2]), leaf, l2, sorted(bins))
+        bins, left = (turns[side, : k + 1] + 1).tolist(), (gl[side, k], hl[side, k] - EPSILON, nl[side, k])
+        return self._split(i, float(gain[side, k]) - shift, bins[0], False, left, (leaf.g - left[0], leaf.h - left[1], leaf.n - left[2]), leaf, l2, sorted(bins))
 
     def forced(self, hist: np.ndarray, leaf: Leaf, i: int, t: int) -> Split | None:
         """The split of feature i behind bin t, whatever its gain; None if a side would be empty."""

@@ -268,9 +268,24 @@ def resolve(given: dict[str, Any] | Params | None = None, **more: Any) -> Params
                 found[name] = _value(kinds[name], value)
         elif key not in IGNORED:
             log.warning("unknown parameter %s", key)
+    if "seed" in found:
+        found = seeds_of(found["seed"]) | found
     return _checked(Params(**found))
 
 
+#: Fixed values of the generator that a master seed starts, the seeds that it gives in their order, and their bound.
+MULTIPLIER, INCREMENT, SEEDS, SEED_BOUND = 214013, 2531011, ("data_random_seed", "bagging_seed", "drop_seed", "feature_fraction_seed", "objective_seed", "extra_seed"), 32767
+
+
+def seeds_of(seed: int) -> dict[str, int]:
+    """The seeds that follow from a master seed. Each step's upper bits, 15 of them, give one."""
+    out, state = {}, seed
+    for name in SEEDS:
+        state = (MULTIPLIER * state + INCREMENT) % 2**32
+        out[name] = (state // 2**16) % 2**15 % SEED_BOUND
+    return out
+
+
 def _checked(p: Params) -> Params:
     """Rules between parameters; raises ValueError where they contradict each other."""
     out: dict[str, Any] = {}

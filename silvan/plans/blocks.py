@@ -17,8 +17,8 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from ..operators.binning import BinModel
 
-#: Rows to a block, unless a query needs more.
-ROWS = 1 << 16
+#: Rows to a block, at most, unless a query needs more, and bytes of their features as doubles, of which wide tables have fewer rows.
+ROWS, BYTES = 1 << 16, 1 << 27
 
 
 @dataclass
@@ -68,6 +68,8 @@ def build(df: DataFrame, names: list[str], label: str, model: BinModel, weight:
     columns = [layout.bins_column(i) for i in used] + layout.extra
     schema = StructType([StructField("rows", LongType()), *[StructField(c, BinaryType()) for c in columns]])
 
+    most = max(1024, min(ROWS, BYTES // (8 * max(1, len(used)))))
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         count = 0
@@ -85,13 +87,13 @@ def build(df: DataFrame, names: list[str], label: str, model: BinModel, weight:
         for batch in batches:
             held.append(batch)
             count += batch.num_rows
-            while count >= ROWS:
+            while count >= most:
                 table = pa.Table.from_batches(held)
-                end = ROWS
+                end = most
                 if layout.query:
                     q = table["q"].to_numpy()
                     change = np.flatnonzero(q[1:] != q[:-1]) + 1
-                    fit = change[change <= ROWS]
+                    fit = change[change <= most]
                     if not len(fit):
                         if not len(change):
                             break

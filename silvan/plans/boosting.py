@@ -23,10 +23,12 @@ from .blocks import Block, Layout, run
 from .dataset import GbtDataset
 from .grower import Constraints, Nodes, TreeJob, grow, read_forced_splits
 from .model import GbtModel
-from .shared import cut
+from .shared import cut, drop
 from .tree import Tree
 
 RANKING = ("lambdarank", "rank_xendcg")
+#: Counters that a task holds while percentiles of all leaves are looked for.
+COUNTERS = 1 << 22
 
 
 @dataclass
@@ -202,73 +204,110 @@ class Booster:
     def _percentiles(self, value: Callable, group: Callable | None, groups: int, alpha: float) -> np.ndarray:
         """Exact percentile of each group, without moving rows.
 
-        Doubles are put in the order of 64-bit integers and found 16 bits at a time: each pass counts, for each
+        Doubles are put in the order of 64-bit integers and found some bits at a time: each pass counts, for each
         group, the rows (or their weights) that share the bits found so far. value(block) gives values and weights (or None).
         """
-        probe = self._select
-        weighted = probe(value, group, groups, None, None)
-        totals, is_weighted = weighted["total"], weighted["weighted"]
+        totals, is_weighted = self._totals(value, group, groups)
         if not is_weighted:
             at = (totals - 1) * alpha
             low, high = np.floor(at), np.ceil(at)
-            a = probe(value, group, groups, np.maximum(low, 0), "rank")["value"]
-            b = probe(value, group, groups, np.maximum(high, 0), "rank")["value"]
+            a = self._select(value, group, groups, np.maximum(low, 0))
+            b = self._select(value, group, groups, np.maximum(high, 0))
             return np.where(totals > 0, a + (at - low) * (b - a), 0.0)
         target = totals * alpha
-        return np.where(totals > 0, probe(value, group, groups, target, "weight")["value"], 0.0)
+        return np.where(totals > 0, self._between(value, group, groups, target, self._select(value, group, groups, target)), 0.0)
 
-    def _select(self, value: Callable, group: Callable | None, groups: int, target: np.ndarray | None, how: str | None) -> dict[str, Any]:
-        blocks, layout = self.blocks, self.layout
-        features = self.used if group is not None else []
+    def _grouped(self, value: Callable, group: Callable | None) -> tuple[Callable, list[int]]:
+        def rows(b: Block):
+            v, w = value(b)
+            return np.ascontiguousarray(v), w, (group(b) if group is not None else np.zeros(b.n, np.int64))
+
+        return rows, self.used if group is not None else []
+
+    def _totals(self, value: Callable, group: Callable | None, groups: int) -> tuple[np.ndarray, bool]:
+        """Rows, or their weights, of each group, and whether there are weights."""
+        rows, features = self._grouped(value, group)
+
+        def total(parts: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+            out, seen = np.zeros(groups), False
+            for b in parts:
+                _, w, at = rows(b)
+                seen = seen or w is not None
+                out += np.bincount(at, w, groups)
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary()), pa.array([seen])], ["sums", "weighted"])
+
+        found = run(self.blocks, self.layout, features, total, "sums binary, weighted boolean").collect()
+        return np.sum([np.frombuffer(r.sums) for r in found], axis=0), any(r.weighted for r in found)
+
+    def _select(self, value: Callable, group: Callable | None, groups: int, target: np.ndarray) -> np.ndarray:
+        """The first value of each group at which the running rows (or weights) are above its target."""
+        rows, features = self._grouped(value, group)
+        # counters of a task: groups << step, whatever the groups
+        step = max(4, min(16, COUNTERS.bit_length() - 1 - max(0, groups - 1).bit_length()))
 
         def keys(v: np.ndarray) -> np.ndarray:
             bits = (v + 0.0).view(np.uint64)
             return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
 
-        def rows(b: Block):
-            v, w = value(b)
-            return np.ascontiguousarray(v), w, (group(b) if group is not None else np.zeros(b.n, np.int64))
+        prefix, left, known = np.zeros(groups, np.uint64), target.copy(), 0
+        while known < 64:
+            width = min(step, 64 - known)
+            shift = 64 - known - width
 
-        if how is None:
-
-            def total(parts: Iterator[Block]) -> Iterator[pa.RecordBatch]:
-                out, seen = np.zeros(groups), False
-                for b in parts:
-                    _, w, at = rows(b)
-                    seen = seen or w is not None
-                    out += np.bincount(at, w, groups)
-                yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary()), pa.array([seen])], ["sums", "weighted"])
-
-            found = run(blocks, layout, features, total, "sums binary, weighted boolean").collect()
-            return {"total": np.sum([np.frombuffer(r.sums) for r in found], axis=0), "weighted": any(r.weighted for r in found)}
-        prefix, left = np.zeros(groups, np.uint64), target.copy()
-        for turn in range(4):
-            shift = np.uint64(48 - 16 * turn)
-
-            def count(parts: Iterator[Block], shift=shift, prefix=prefix, turn=turn) -> Iterator[pa.RecordBatch]:
-                out = np.zeros((groups, 1 << 16))
+            def count(parts: Iterator[Block], shift=shift, width=width, prefix=prefix, known=known) -> Iterator[pa.RecordBatch]:
+                out = np.zeros(groups << width)
                 for b in parts:
                     v, w, at = rows(b)
                     key = keys(v)
-                    same = (key >> (shift + np.uint64(16))) == prefix[at] if turn else np.ones(len(key), bool)
-                    digit = ((key >> shift) & np.uint64(0xFFFF)).astype(np.int64)
-                    out += np.bincount((at * 65536 + digit)[same], None if w is None else w[same], groups * 65536).reshape(groups, -1)
-                g, d = np.nonzero(out)
-                yield pa.RecordBatch.from_arrays([pa.array((g * 65536 + d).astype(np.int64)), pa.array(out[g, d])], ["place", "sums"])
+                    same = (key >> np.uint64(64 - known)) == prefix[at] if known else np.ones(len(key), bool)
+                    digit = ((key >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
+                    out += np.bincount(((at.astype(np.int64) << width) + digit)[same], None if w is None else w[same], groups << width)
+                place = np.flatnonzero(out)
+                yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), pa.array(out[place])], ["place", "sums"])
 
-            sums = np.zeros((groups, 1 << 16))
             # sparse counts are combined by place before they reach the driver
-            for r in run(blocks, layout, features, count, "place long, sums double").groupBy("place").agg(F.sum("sums").alias("sums")).collect():
-                sums[r.place >> 16, r.place & 0xFFFF] = r.sums
+            found = run(self.blocks, self.layout, features, count, "place long, sums double").groupBy("place").agg(F.sum("sums").alias("sums")).toArrow()
+            sums = np.zeros(groups << width)
+            sums[found["place"].to_numpy()] = found["sums"].to_numpy()
+            sums = sums.reshape(groups, -1)
             run_sum = np.cumsum(sums, 1)
-            digit = np.minimum((run_sum <= left[:, None]).sum(1), 65535)
             # never past the last digit that is there
-            last = np.array([np.flatnonzero(s)[-1] if s.any() else 0 for s in sums])
-            digit = np.minimum(digit, last)
-            left = left - np.where(digit > 0, run_sum[np.arange(groups), np.maximum(digit - 1, 0)], 0.0) * (digit > 0)
-            prefix = (prefix << np.uint64(16)) | digit.astype(np.uint64)
+            last = sums.shape[1] - 1 - (sums[:, ::-1] != 0).argmax(1)
+            digit = np.minimum((run_sum <= left[:, None]).sum(1), np.where(sums.any(1), last, 0))
+            left = left - np.where(digit > 0, run_sum[np.arange(groups), np.maximum(digit - 1, 0)], 0.0)
+            prefix = (prefix << np.uint64(width)) | digit.astype(np.uint64)
+            known += width
         bits = np.where(prefix >> np.uint64(63), prefix & np.uint64((1 << 63) - 1), ~prefix)
-        return {"value": bits.view(np.float64)}
+        return bits.view(np.float64)
+
+    def _between(self, value: Callable, group: Callable | None, groups: int, target: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Weighted percentiles from the values `at` which running weights pass their targets: the point between such a value and
+        the one before it, in proportion, if the row that passes has a weight of 1 or more, else the one before. The first
+        and the last row of a group stand for themselves; of equal values the row with the smallest key comes first."""
+        rows, features = self._grouped(value, group)
+
+        def around(parts: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+            for b in parts:
+                v, w, g = rows(b)
+                lower, equal = v < at[g], v == at[g]
+                before = np.full(groups, -np.inf)
+                np.maximum.at(before, g[lower], v[lower])
+                order = np.flatnonzero(equal)[np.lexsort((b.key[equal], g[equal]))]
+                first = order[np.append(True, g[order][1:] != g[order][:-1])] if len(order) else order
+                key, weight = np.full(groups, np.iinfo(np.int64).max), np.zeros(groups)
+                key[g[first]], weight[g[first]] = b.key[first].astype(np.int64), w[first]
+                counts = [np.bincount(g[mask], minlength=groups).astype(np.int64) for mask in (equal, v > at[g])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(groups)), pa.array(before), pa.array(np.bincount(g[lower], w[lower], groups)), pa.array(key), pa.array(weight), *map(pa.array, counts)], ["place", "before", "weight_before", "key", "weight", "equal", "above"])
+
+        schema = "place long, before double, weight_before double, key long, weight double, equal long, above long"
+        found = run(self.blocks, self.layout, features, around, schema).groupBy("place").agg(F.max("before").alias("before"), F.sum("weight_before").alias("base"), F.min(F.struct("key", "weight")).alias("first"), F.sum("equal").alias("equal"), F.sum("above").alias("above"))
+        out = at.copy()
+        for r in found.collect():
+            inner = r.before > -np.inf and not (r.equal == 1 and r.above == 0)
+            if inner and target[r.place] < r.base + r.first.weight:
+                share = (target[r.place] - r.base) / r.first.weight if r.first.weight >= 1.0 else 0.0
+                out[r.place] = r.before + share * (at[r.place] - r.before)
+        return out
 
     # -- one iteration -----------------------------------------------------------------------------------------------
 
@@ -285,7 +324,7 @@ class Booster:
             g, h = gradients(b, pending.scores(b))
             return np.abs(g * h).sum(1), None
 
-        whole = self._select(size, lambda b: np.zeros(b.n, np.int64), 1, np.array([float(self.stats["n"] - top)]), "rank")["value"][0]
+        whole = self._select(size, lambda b: np.zeros(b.n, np.int64), 1, np.array([float(self.stats["n"] - top)]))[0]
         out.threshold, out.rest, out.factor = float(whole), other / max(1, self.stats["n"] - top), (self.stats["n"] - top) / other
         return out
 
@@ -358,6 +397,9 @@ class Booster:
                 nodes.value = np.array(tree.leaf_value)
             else:
                 tree.leaf_value, nodes.value = [0.0], np.zeros(1)
+        for tree in trees:
+            if not np.isfinite(tree.leaf_value).all():
+                raise FloatingPointError(f"iteration {iteration} gave a leaf output that isn't finite; lower learning_rate, regularise more, or look for extreme labels")
         self._append(trees, tables, [1.0] * self.k)
         bias = self.start if p.boosting == "rf" or (iteration == 0 and self.init_model is None) else None
         if bias is not None:
@@ -511,10 +553,10 @@ class Booster:
 
     def refresh(self) -> None:
         """Writes the rows' scores anew, so that pending trees are counted once more only."""
-        self.blocks = _refreshed(self.blocks, self.layout, self.pending)
+        self.blocks = _refreshed(self.blocks, self.layout, self.pending, self.train.blocks(self.k)[0])
         self.pending.trees, self.pending.start = [], np.zeros(self.k)
         for i, (name, data, blocks, layout, pending) in enumerate(self.valid):
-            self.valid[i] = name, data, _refreshed(blocks, layout, pending), layout, Pending(self.used, start=np.zeros(self.k))
+            self.valid[i] = name, data, _refreshed(blocks, layout, pending, data.blocks(self.k)[0]), layout, Pending(self.used, start=np.zeros(self.k))
 
     def add_valid(self, data: GbtDataset, name: str) -> None:
         blocks, layout = data.blocks(self.k)
@@ -578,8 +620,9 @@ def middle_values(bins) -> np.ndarray:
     return np.append(out, np.nan) if bins.missing == "nan" else out
 
 
-def _refreshed(blocks: DataFrame, layout: Layout, pending: Pending) -> DataFrame:
-    """The blocks with their scores brought up to date, written to the shared folder."""
+def _refreshed(blocks: DataFrame, layout: Layout, pending: Pending, own: DataFrame) -> DataFrame:
+    """The blocks with their scores brought up to date, written to the shared folder in place of the last ones; those that the
+    dataset keeps (own) stay, out of memory."""
     place = blocks.columns.index("s")
     names, used = blocks.columns, pending.features
 
@@ -592,6 +635,8 @@ def _refreshed(blocks: DataFrame, layout: Layout, pending: Pending) -> DataFrame
 
     out = cut(blocks.mapInArrow(body, blocks.schema)).persist()
     blocks.unpersist()
+    if blocks is not own:
+        drop(blocks)
     return out
 
 
@@ -616,9 +661,9 @@ def value_of(rows: DataFrame, metric: str, p: Params) -> float:
     elif name == "r2":
         found = metrics.r2(rows, y, s, w)
     elif name == "ndcg":
-        found = metrics.ndcg(rows, F.col("q"), y, s, int(at), [F.col("place")], p.label_gain or None)
+        found = metrics.ndcg(rows, F.col("q"), y, s, int(at), [F.col("place")], p.label_gain or None, w)
     elif name == "map":
-        found = metrics.mean_average_precision(rows, F.col("q"), y, s, int(at), [F.col("place")])
+        found = metrics.mean_average_precision(rows, F.col("q"), y, s, int(at), [F.col("place")], w)
     else:
         found = metrics.pointwise(rows, name, y, s, w, p)
     value = found.first()[0]

@@ -52,7 +52,7 @@ def scan_libsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS n, round(sum(l_quantity), 2) AS first, round(sum(l_tax), 4) AS third FROM lineitem")
 def scan_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as (row, column, value) triples and back."""
-    rows = table(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row"), F.posexplode(F.array("l_quantity", "l_discount", "l_tax")).alias("column", "value")).where("value <> 0")
+    rows = table(spark, sf_dir, "lineitem").select(F.struct("_metadata.file_path", "_metadata.row_index").alias("row"), F.posexplode(F.array("l_quantity", "l_discount", "l_tax")).alias("column", "value")).where("value <> 0")
     return files.from_coordinates(rows, "row", "column", "value", 3).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("Column_0"), 2).alias("first"), F.round(F.sum("Column_2"), 4).alias("third"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..operators.running import before, held
+
 #: Formats that callers have registered: name -> reader(spark, path).
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -67,16 +69,28 @@ def from_coordinates(df: DataFrame, row: str, column: str, value: str, width: in
 
 
 def read_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """line (from 0), and the line's number: side-car files have one value to a row. Files are read whole, in one split each."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\n")).alias("line", "value"))
-    return lines.select("line", F.trim("value").cast("double").alias(name))
+    """line (from 0), and the line's number: side-car files have one value to a row. Lines are numbered split by split: those of
+    earlier splits are counted first."""
+    rows = spark.read.text(path).select(F.trim("value").cast("double").alias(name), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"))
+    counted = {r.part: r["count"] for r in rows.groupBy("part").count().collect()}
+    starts, at = [], 0
+    for part in sorted(counted):
+        starts.append(F.when(F.col("part") == part, F.lit(at - (part << 33))))
+        at += counted[part]
+    found = rows.withColumn("line", F.col("place") + F.coalesce(*starts, F.lit(0)) if starts else F.col("place"))
+    return found.where(F.col(name).isNotNull()).select("line", name)
+
+
+def _running(df: DataFrame, column: str, order: str) -> DataFrame:
+    """df with <column>_before: the column's sum over the rows that come earlier in the order, of which no two are alike."""
+    return before(df, order, [column], descending=False)
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """line, query: sizes of consecutive queries, as each row's query number."""
-    sizes = read_lines(spark, path, "size").withColumnRenamed("line", "query")
-    start = F.sum("size").over(Window.orderBy("query").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    return sizes.select("query", start.cast("long").alias("start"), F.col("size").cast("long").alias("size")).where("size > 0").select("query", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("line"))
+    sizes = held(read_lines(spark, path, "size").withColumnRenamed("line", "query"))
+    start = _running(sizes, "size", "query").select("query", F.col("size_before").cast("long").alias("start"), F.col("size").cast("long").alias("size"))
+    return start.where("size > 0").select("query", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("line"))
 
 
 def attach(df: DataFrame, side: DataFrame, line: str = "line") -> DataFrame:
@@ -85,10 +99,24 @@ def attach(df: DataFrame, side: DataFrame, line: str = "line") -> DataFrame:
 
 
 def query_numbers(df: DataFrame, query: str, order: list[str], name: str = "query_number") -> DataFrame:
-    """Number of each run of equal query ids in the order of `order`."""
-    w = Window.orderBy(*order)
-    change = F.when(F.lag(query).over(w).eqNullSafe(F.col(query)), 0).otherwise(1)
-    return df.withColumn("query_change", change).withColumn(name, F.sum("query_change").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("query_change")
+    """Number of each run of equal query ids in the order of `order`.
+
+    Rows are sorted into ranges, runs are numbered within each, and ranges begin with the number that the one before ends
+    with, or the next one if its last query is another.
+    """
+    rows = held(df.orderBy(*order).withColumn("run_part", F.spark_partition_id()).withColumn("run_place", F.monotonically_increasing_id()))
+    within = Window.partitionBy("run_part").orderBy("run_place")
+    same = F.lag(query).over(within).eqNullSafe(F.col(query)) | (F.row_number().over(within) == 1)
+    numbered = rows.withColumn("run_change", F.when(same, 0).otherwise(1))
+    numbered = numbered.withColumn("run_number", F.sum("run_change").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = numbered.groupBy("run_part").agg(F.max("run_number").alias("runs"), F.min_by(F.struct(query), "run_place").alias("first"), F.max_by(F.struct(query), "run_place").alias("last"))
+    starts, end, last = [(-1, 0)], -1, None
+    for r in sorted(parts.collect(), key=lambda r: r.run_part):
+        begin = end if last == r.first else end + 1
+        starts.append((r.run_part, begin))
+        end, last = begin + r.runs, r.last
+    begins = df.sparkSession.createDataFrame(starts, "run_part int, run_begin long")
+    return numbered.join(F.broadcast(begins), "run_part").select(*df.columns, (F.col("run_begin") + F.col("run_number")).alias(name))
 
 
 def roles(df: DataFrame, label: str | None = None, weight: str | None = None, group: str | None = None, ignore: list[str] = ()) -> tuple[DataFrame, dict[str, str]]:
