@@ -2,88 +2,26 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import shutil
-import tempfile
-import uuid
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import cut, drop, drop_since, written  # noqa: F401  for the operators
+
 #: Rows of a lookup's hot part; a key with at least 1/HOT_KEYS of all rows is hot, so no more than this many keys can be.
 HOT_KEYS = 1000
+#: Bits of a Bloom filter, at most, as a power of two; and the factors that give the two places of an id in it.
+BLOOM, _FACTORS = 26, np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir. Where it is unset, a local one serves sessions on
-    one machine (tests); on a cluster that is an error, as executors would not see each other's files."""
-    global _local
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if _local is None:
-        _local = tempfile.mkdtemp(prefix="silvan-")
-        atexit.register(shutil.rmtree, _local, ignore_errors=True)
-    return f"file://{_local}"
-
-
-_local: str | None = None
-#: Tables that cut() wrote and drop() hasn't deleted, by the frame that reads them.
-_written: dict[int, tuple[DataFrame, str]] = {}
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, written as a table to the shared folder and read again: cut from its lineage, and safe from lost executors.
-
-    The table is deleted by drop(), or when the driver's process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/silvan/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    if not _written:
-        atexit.register(_drop_all)
-    _written[id(out)] = out, path
-    return out
-
-
-def drop(*frames: DataFrame | None) -> None:
-    """Deletes the tables behind frames that cut() returned. Nothing that is still to run may read them."""
-    for df in frames:
-        if df is not None and id(df) in _written:
-            _, path = _written.pop(id(df))
-            context = df.sparkSession.sparkContext
-            place = context._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def drop_since(before: Iterable[int], *keep: DataFrame) -> None:
-    """Deletes all tables that were written since `before`, which written() gave, but those of `keep`."""
-    kept = {*before, *map(id, keep)}
-    drop(*[df for key, (df, _) in list(_written.items()) if key not in kept])
-
-
-def written() -> frozenset[int]:
-    """What stands for the tables that are there now."""
-    return frozenset(_written)
-
-
-def _drop_all() -> None:
-    with contextlib.suppress(Exception):  # the session may be over, with its folder or without
-        drop(*[df for df, _ in list(_written.values())])
-
-
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, mod n; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
@@ -122,9 +60,43 @@ def lookup(left: DataFrame, right: DataFrame, key: str, size: str) -> DataFrame:
 
 def matched(left: DataFrame, right: DataFrame, key: str, size: str) -> DataFrame:
     """left JOIN right on key, safe when one key holds a large part of left; right is as in lookup(), and left is read twice where keys are hot."""
-    bound = max(1, -(-(right.agg(F.sum(size)).first()[0] or 0) // HOT_KEYS))
+    found = right.agg(F.sum(size).alias("total"), F.max(size).alias("most")).first()
+    bound = max(1, -(-(found.total or 0) // HOT_KEYS))
     hot = right.where(F.col(size) >= bound)
-    if not hot.limit(1).count():
+    if (found.most or 0) < bound:
         return left.join(right, key)
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(size) < bound), key)
     return left.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    x = ids.view(np.uint64)
+    return np.stack([((x ^ (x >> np.uint64(32))) * m >> np.uint64(64 - bits)).astype(np.int64) for m in _FACTORS])
+
+
+def bloom(ids: DataFrame) -> np.ndarray | None:
+    """A Bloom filter of the ids (one column of longs), of bounded size: false hits cost work, never results. None where there
+    are too many ids for it, so that at most 2 ** BLOOM / 16 of them meet in its few tasks. ids is read twice."""
+    bits = max(18, int(16 * ids.count()).bit_length())
+    if bits > BLOOM:
+        return None
+    width = 1 << 18
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(1 << bits, bool)
+        for batch in batches:
+            flags[_places(batch.column(0).to_numpy(), bits).ravel()] = True
+        for i in range(len(flags) // width):
+            part = flags[i * width : (i + 1) * width]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([np.packbits(part).tobytes()], pa.binary())], ["part", "flags"])
+
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in ids.coalesce(8).mapInArrow(mark, "part long, flags binary").collect():
+        out[row.part * width // 8 : (row.part + 1) * width // 8] |= np.frombuffer(row.flags, np.uint8)
+    return out
+
+
+def in_bloom(flags: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _places(ids, (8 * len(flags)).bit_length() - 1)
+    return ((flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool).all(0)

@@ -6,13 +6,13 @@ estimate: a longer prefix meets more documents, of which more shared shingles ar
 pair needs the smaller l of its two documents.
 
 What is asked for are components, so pairs that are already connected need no verification. A document is first
-verified against centres: members of its prefix lists that have most company in theirs. Then short lists give the pairs
+verified against a centre: a member of its prefix lists that has most company in theirs. Then short lists give the pairs
 of different components that share enough of their prefixes. A long list gives no pairs. Its members are told apart by
-how they differ from the list's centre: two sets differ by what their differences from a third one differ by. A set
-within the threshold of the centre is connected with it; any other set that links with a member must share part of its
-own difference with that of the member, so a prefix of the differences (difference_prefix) is listed in place of the
-prefix of the sets, and these lists are treated likewise. In a family of near copies of one text the differences are
-small and mostly one's own, so a family costs about its size.
+how they differ from what most of them have in common (consensus): two sets differ by what their differences from a third
+one differ by. Sets that differ little enough are connected by that alone; any other two that link must share part of their
+differences, so a prefix of the differences (difference_lists) is listed in place of the prefix of the sets, and these
+lists are treated likewise. In a family of near copies of one text the differences are small and mostly one's own, so a
+family costs about its size.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, drop_since, lookup, matched, texts_of, written
+from .common import bloom, cut, drop, drop_since, in_bloom, lookup, matched, texts_of, written
 from .graph import components
 
 WORDS = 4
@@ -42,6 +42,8 @@ SLICE = 1 << 14
 #: Members of a list whose pairs are listed, at most; longer lists go by differences from their centre, ROUNDS times over, and what is
 #: left of them then by all pairs.
 SHORT, ROUNDS = 48, 4
+#: Members of a group whose texts make up its consensus, about. Any third set serves; one that members are near to serves best.
+SAMPLED = 32
 #: Pairs that one copy of a text serves in a join, about; a text of more pairs is dealt out in several copies.
 SERVED = 500
 #: Tables that a task adds up at once.
@@ -159,29 +161,15 @@ def prefix(items: np.ndarray, counts: np.ndarray, base: float) -> tuple[np.ndarr
     return items[order[: n - overlap(n) + best]], best
 
 
-def difference_prefix(own: np.ndarray, centre: np.ndarray, near: bool, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(head, tail) of the prefix of a set's difference D from a centre (what one of the two has and the other hasn't).
+def difference_order(own: np.ndarray, third: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """(order, d): the first elements of a set's difference from a third set (what one of the two has and the other hasn't), rare ones
+    first and those that the third set has last, as most others lack few of them; and the size of the whole difference.
 
-    near: the set links with the centre. Two sets x and y that link, and don't both link with the centre, meet in an
-    element of their prefixes: in one of both heads, or, if only x links with the centre, of x's head and y's head or tail.
-
-    With P = OF + NEED and Q = OF - NEED, x and y link if and only if P |Dx ^ Dy| <= Q (|x| + |y|), and |Dx ^ Dy| is
-    |Dx| + |Dy| - 2 |Dx & Dy|. That bounds |Dx & Dy| from below, in three ways:
-    (1) where y doesn't link with the centre c, P |Dy| > Q (|y| + |c|), so 2 P |Dx & Dy| > P |Dx| + Q (|c| - |x|);
-    (2) |Dx & Dy| >= |Dx| - |Dx ^ Dy|, and |y| <= OF |x| / NEED, so |Dx & Dy| >= |Dx| - Q |x| / NEED;
-    (3) for any partner y, |y| <= |c| + |Dy| and so 2 P |Dx & Dy| >= P |Dx| - Q (|c| + |x|).
-    Heads rest on (1) and (2), heads with tails on (2) and (3). What the centre has comes last, as most members have it too.
+    As many elements as any prefix of it needs: see difference_lists.
     """
-    difference = np.setxor1d(own, centre, assume_unique=True)
-    d, n, c = len(difference), len(own), len(centre)
-    p, q = OF + NEED, OF - NEED
-    whole = d - q * n // NEED
-    head = max((p * d + q * (c - n)) // (2 * p) + 1, whole)
-    tail = head if near else max(1, -(-(p * d - q * (c + n)) // (2 * p)), whole)
-    shared = centre[np.minimum(np.searchsorted(centre, difference), c - 1)] == difference
-    order = difference[np.lexsort((difference, frequencies(difference, counts), shared))]
-    end = max(0, d - head + 1)
-    return order[:end], order[end : max(0, d - tail + 1)]
+    difference = np.setxor1d(own, third, assume_unique=True)
+    lacking = third[np.minimum(np.searchsorted(third, difference), len(third) - 1)] == difference if len(third) else np.zeros(len(difference), bool)
+    return difference[np.lexsort((difference, frequencies(difference, counts), lacking))][: (OF - NEED) * len(own) // NEED + 1], len(difference)
 
 
 def prefixes(docs: DataFrame, handle: Broadcast) -> DataFrame:
@@ -216,106 +204,123 @@ def prefixes(docs: DataFrame, handle: Broadcast) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(measure, "doc_id long, n long, sig binary, matches int, prefix array<long>")
 
 
-def _bits(ids: np.ndarray, bits: int) -> np.ndarray:
-    """Two places of each id in a filter of 2 ** bits."""
-    x = ids.view(np.uint64)
-    return np.concatenate([((x ^ (x >> np.uint64(32))) * m >> np.uint64(64 - bits)).astype(np.int64) for m in _MIX[:2]])
+def texts_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, body) of the documents whose doc_id is in ids (id), checkpointed. Texts travel compressed; a Bloom filter keeps nearly all others at their source."""
+    ids = cut(ids.distinct())
+    marks = docs.sparkSession.sparkContext.broadcast(bloom(ids))
 
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags, pack = marks.value, zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            if flags is not None:
+                batch = batch.filter(pa.array(in_bloom(flags, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(pack, texts_of(batch.column(1))), pa.binary())], ["id", "body"])
 
-def _filter(ids: DataFrame) -> np.ndarray | None:
-    """A Bloom filter of ids, of bounded size: false hits cost work, never results. None where there are too many ids for it."""
-    bits = max(18, int(16 * ids.count()).bit_length())
-    if bits > 26:
-        return None
-    width = 1 << 18
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pick, "id long, body binary")
+    out = cut(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    drop(ids)
+    return out
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(1 << bits, bool)
-        for batch in batches:
-            flags[_bits(batch.column(0).to_numpy(), bits)] = True
-        for i in range(len(flags) // width):
-            part = flags[i * width : (i + 1) * width]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([np.packbits(part).tobytes()], pa.binary())], ["part", "flags"])
 
-    def join(key: tuple, parts: pa.Table) -> pa.Table:
-        total = np.bitwise_or.reduce([np.frombuffer(c.as_py(), np.uint8) for c in parts["flags"]])
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "flags": pa.array([total.tobytes()], pa.binary())})
+class Sets(dict):
+    """Sets of shingles by id, made from compressed texts; holds a few."""
 
-    out = np.zeros(1 << bits, bool)
-    for row in ids.coalesce(8).mapInArrow(mark, "part long, flags binary").groupBy("part").applyInArrow(join, "part long, flags binary").collect():
-        out[row.part * width : (row.part + 1) * width] = np.unpackbits(np.frombuffer(row.flags, np.uint8)).astype(bool)
-    return np.packbits(out)
+    def __init__(self):
+        self.read = zstandard.ZstdDecompressor().decompress
 
+    def of(self, key: int, body: bytes) -> np.ndarray:
+        got = self.get(key)
+        if got is None:
+            if len(self) >= 64:
+                self.clear()
+            got = self[key] = shingles(hashed(self.read(body)))
+        return got
 
-def verified(docs: DataFrame, pairs: DataFrame, handle: Broadcast) -> DataFrame:
-    """What comparing the pairs (a, b, wide) of doc_ids gives, checkpointed: a, b, wide, linked, n (of a's set), head and tail.
 
-    Of pairs that aren't wide only those that link are returned. For wide ones b is a centre, and head and tail are those
-    of a's difference from it. Only the texts of documents that occur in pairs travel, compressed; a Bloom filter keeps
-    nearly all others at their source. A text b of many pairs is dealt out in copies, so its pairs spread over tasks.
-    """
-    before = written()
-    served = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SERVED).alias("copies"))
-    ids = cut(pairs.select(F.col("a").alias("id"), F.lit(1).alias("copies")).union(served).groupBy("id").agg(F.max("copies").alias("copies")))
-    flags = _filter(ids)
-    marks = docs.sparkSession.sparkContext.broadcast(flags)
+def dealt(pairs: DataFrame, right: DataFrame) -> DataFrame:
+    """pairs (.., a, b) JOIN right (b, ..). A row of right that many pairs ask for is dealt out in copies, so its pairs spread over tasks."""
+    copies = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SERVED).cast("int").alias("copies"))
+    given = right.join(copies, "b").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    return pairs.join(copies, "b").withColumn("turn", F.pmod(F.hash("a"), F.col("copies"))).drop("copies").join(given, ["b", "turn"])
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, pack = marks.value, zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            if flags is not None:
-                keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                at = _bits(keys, (8 * len(flags)).bit_length() - 1).reshape(2, -1)
-                batch = batch.filter(pa.array(((flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(pack, texts_of(batch.column(1))), pa.binary())], ["id", "body"])
+
+def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of documents of texts whose sets link, checkpointed."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, kept, counts = zstandard.ZstdDecompressor().decompress, {}, handle.value
+        sets = Sets()
+        for batch in batches:
+            a, b, body_a, body_b = (batch.column(i).to_pylist() for i in range(4))
+            yes = [linked(sets.of(x, s), sets.of(y, t)) for x, y, s, t in zip(a, b, body_a, body_b, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
+        forget()
+
+    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
+    both = dealt(with_a, texts.select(F.col("id").alias("b"), F.col("body").alias("body_b")))
+    return cut(both.select("a", "b", "body_a", "body_b").mapInArrow(compare, "a long, b long"))
 
-        def items(key: int, body: bytes) -> np.ndarray:
-            got = kept.get(key)
-            if got is None:
-                if len(kept) >= 64:
-                    kept.clear()
-                got = kept[key] = shingles(hashed(read(body)))
-            return got
 
+def consensus(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """(b, items): what most members a of each group b have, by a sample of about SAMPLED of them. members: (a, b)."""
+    sizes = members.groupBy("b").agg(F.count(F.lit(1)).alias("members"))
+    some = members.join(sizes, "b").where(F.pmod(F.xxhash64("a", "b"), F.col("members")) < SAMPLED).select("a", "b")
+
+    def common(key: tuple, rows: pa.Table) -> pa.Table:
+        sets, pack = Sets(), zstandard.ZstdCompressor(level=1).compress
+        found, times = np.unique(np.concatenate([sets.of(a, body) for a, body in zip(rows["a"].to_pylist(), rows["body"].to_pylist(), strict=True)]), return_counts=True)
+        forget()
+        return pa.table({"b": pa.array([key[0].as_py()], pa.int64()), "items": pa.array([pack(found[2 * times > rows.num_rows].tobytes())], pa.binary())})
+
+    bodies = some.join(texts.select(F.col("id").alias("a"), "body"), "a")
+    return cut(bodies.select("a", "b", "body").groupBy("b").applyInArrow(common, "b long, items binary"))
+
+
+def differences(texts: DataFrame, members: DataFrame, handle: Broadcast) -> DataFrame:
+    """(rep, b, n, d, elements) of the members (a, b) of groups, checkpointed: size of the set, of its difference from the group's
+    consensus, and the difference's first elements (difference_order)."""
+    third = consensus(texts, members)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, read, counts, last, held = Sets(), zstandard.ZstdDecompressor().decompress, handle.value, None, None
         for batch in batches:
             rows = []
-            for a, b, wide, body_a, body_b in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                x, y = items(a, body_a), items(b, body_b)
-                yes = linked(x, y)
-                if wide:
-                    rows.append((a, b, True, yes, len(x), *(part.view(np.int64) for part in difference_prefix(x, y, yes, counts))))
-                elif yes:
-                    rows.append((a, b, False, True, len(x), None, None))
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "wide", "linked", "n", "head", "tail"])
+            for a, b, body, items in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if b != last:
+                    last, held = b, np.frombuffer(read(items), np.uint64)
+                own = sets.of(a, body)
+                elements, d = difference_order(own, held, counts)
+                rows.append((a, b, len(own), d, elements.view(np.int64)))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["rep", "b", "n", "d", "elements"])
         forget()
 
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pick, "id long, body binary")
-    texts = cut(texts.join(ids, "id").dropDuplicates(["id"]))
-    centres = texts.select(F.col("id").alias("b_id"), F.col("body").alias("body_b"), "copies", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("copy"))
-    dealt = pairs.join(ids.select(F.col("id").alias("b"), "copies"), "b").select("a", "b", "wide", F.pmod(F.hash("a"), F.col("copies").cast("int")).alias("turn"))
-    with_a = dealt.join(texts.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
-    with_b = with_a.join(centres, (F.col("b") == F.col("b_id")) & (F.col("turn") == F.col("copy")))
-    out = cut(with_b.select("a", "b", "wide", "body_a", "body_b").mapInArrow(compare, "a long, b long, wide boolean, linked boolean, n long, head array<long>, tail array<long>"))
-    drop_since(before, out)
+    with_a = members.join(texts.select(F.col("id").alias("a"), "body"), "a")
+    # a group of whose members none was drawn has nothing in common
+    nothing = F.lit(zstandard.ZstdCompressor(level=1).compress(b""))
+    every = members.select("b").distinct().join(third, "b", "left").select("b", F.coalesce("items", nothing).alias("items"))
+    out = cut(dealt(with_a, every).select("a", "b", "body", "items").mapInArrow(compare, "rep long, b long, n long, d long, elements array<long>"))
+    drop(third)
     return out
 
 
-def with_centres(entries: DataFrame) -> DataFrame:
-    """The entries (key, rep, n, matches, kind) of lists of several members, checkpointed, with the number of members and the
-    list's centre: the member that has most company in all its lists."""
+def shared_lists(entries: DataFrame) -> DataFrame:
+    """The entries (ENTRY) of lists of several members, checkpointed, with the number of members."""
     sizes = cut(entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-    shared = cut(matched(entries, sizes, "key", "members"))
-    company = shared.groupBy(F.col("rep").alias("company_rep")).agg(F.sum("members").alias("company"))
-    known = shared.join(company, F.col("rep") == F.col("company_rep"))
-    centres = cut(known.groupBy("key", "members").agg(F.bitwise_not(F.max(F.struct("company", F.bitwise_not("rep").alias("first")))["first"]).alias("centre")))
-    out = cut(matched(shared.drop("members"), centres, "key", "members"))
-    drop(sizes, shared, centres)
+    out = cut(matched(entries, sizes, "key", "members"))
+    drop(sizes)
+    return out
+
+
+def with_centres(lists: DataFrame) -> DataFrame:
+    """The entries of lists, checkpointed, with the list's centre: the member that has most company in all its lists; centre_n is the
+    size of its set."""
+    company = lists.groupBy(F.col("rep").alias("company_rep")).agg(F.sum("members").alias("company"))
+    known = lists.join(company, F.col("rep") == F.col("company_rep"))
+    first = F.max(F.struct("company", F.bitwise_not("rep").alias("low"), "n"))
+    centres = cut(known.groupBy("key", "members").agg(first.alias("first")).select("key", "members", F.bitwise_not("first.low").alias("centre"), F.col("first.n").alias("centre_n")))
+    out = cut(matched(lists.drop("members"), centres, "key", "members"))
+    drop(centres)
     return out
 
 
@@ -331,12 +336,25 @@ def _meet(x: Column, y: Column) -> Column:
 
 
 def _pair(x: Column, y: Column) -> Column:
-    return F.struct(F.least(x["rep"], y["rep"]).alias("a"), F.greatest(x["rep"], y["rep"]).alias("b"), F.least(x["matches"], y["matches"]).alias("need"))
+    """A pair in order, and how many entries it must share: as the prefixes say, or, of differences, what they must share in all
+    (which follows from their rooms) without what may lie behind their prefixes."""
+    far = lambda own, other: F.when(other["kind"] == 0, own["behind_tail"]).otherwise(own["behind_head"])
+    most = F.least(far(x, y), far(y, x))
+    need = F.when(x["room"].isNull(), F.least(x["matches"], y["matches"])).otherwise(F.ceil((-x["room"] - y["room"]) / (2 * (OF + NEED))) - most)
+    return F.struct(F.least(x["rep"], y["rep"]).alias("a"), F.greatest(x["rep"], y["rep"]).alias("b"), need.cast("long").alias("need"))
+
+
+#: Columns of an entry: its list; its set and the set's size; of prefix lists, shared entries that the set asks for; of lists of
+#: differences, its kind (see _meet), the set's room, and elements of the difference behind its head and its tail.
+ENTRY = ("key", "rep", "n", "matches", "kind", "room", "behind_head", "behind_tail")
 
 
 def short_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b) of entries (key, rep, n, matches, kind, component) of lists of at most SHORT members that share as many as they need."""
-    bodies = lists.groupBy("key").agg(F.collect_list(F.struct("rep", "n", "matches", "kind", "component")).alias("members"))
+    """Pairs (a, b) of entries, with their components, of lists of at most SHORT members that share as many as they need.
+
+    Pairs that meet in a long list too may share fewer here: the long list is answerable for them.
+    """
+    bodies = lists.groupBy("key").agg(F.collect_list(F.struct(*ENTRY[1:], "component")).alias("members"))
     after = lambda x, i: F.filter(F.slice("members", i + 2, SHORT), lambda y: _meet(x, y))
     pairs = bodies.select(F.explode(F.flatten(F.transform("members", lambda x, i: F.transform(after(x, i), lambda y: _pair(x, y))))).alias("pair"))
     counted = pairs.groupBy("pair.a", "pair.b").agg(F.count(F.lit(1)).alias("shared"), F.min("pair.need").alias("need"))
@@ -347,7 +365,7 @@ def all_pairs(lists: DataFrame) -> DataFrame:
     """Pairs (a, b) of entries of lists of any length; each list is dealt into blocks, and every two blocks of it meet in a task."""
     blocks = F.ceil(F.col("members") / SHORT).cast("int")
     held = lists.withColumn("own", F.pmod(F.hash("rep"), blocks)).withColumn("every", F.sequence(F.lit(0), blocks - 1))
-    entry = F.struct("rep", "n", "matches", "kind", "component")
+    entry = F.struct(*ENTRY[1:], "component")
     # block i meets block j >= i as (i, j): each entry stands once for itself in every pair of blocks that its own is in
     left = held.select("key", "own", F.explode("every").alias("other"), entry.alias("x")).where("own <= other")
     right = held.select(F.col("key").alias("key_y"), F.explode("every").alias("first"), F.col("own").alias("last"), entry.alias("y")).where("first <= last")
@@ -361,60 +379,105 @@ def with_components(entries: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select(*entries.columns, F.coalesce("component", "rep").alias("component"))
 
 
-def difference_lists(compared: DataFrame, found: DataFrame) -> DataFrame:
-    """Entries (key, rep, n, matches, kind) of the lists of differences from centres, where some entries of a list may be a pair. Checkpointed."""
-    wide = compared.where("wide").select(F.col("a").alias("rep"), "b", "n", F.when(F.col("linked"), 0).otherwise(1).alias("kind"), "head", "tail")
-    heads = wide.select("rep", "b", "n", "kind", F.explode("head").alias("token"))
-    tails = wide.select("rep", "b", "n", F.lit(2).alias("kind"), F.explode("tail").alias("token"))
-    entries = heads.union(tails).select(F.xxhash64("b", "token").alias("key"), "rep", "n", F.lit(1).alias("matches"), "kind")
+def with_prefixes(members: DataFrame) -> DataFrame:
+    """members (rep, b, n, d, elements) with room, leader, near, and the lengths head and tail of two prefixes of the difference D.
+
+    Two sets x and y that link, and are not both near, meet in an element of their prefixes: in one of both heads, or, if
+    only x is near, in one of x's head and y's tail (which includes its head). Sets that are near link with the leader.
+
+    With P = OF + NEED and Q = OF - NEED, x and y link if and only if P |Dx ^ Dy| <= Q (|x| + |y|), and |Dx ^ Dy| is
+    |Dx| + |Dy| - 2 |Dx & Dy|. With room(x) = Q |x| - P |Dx|, they link if and only if 2 P |Dx & Dy| >= -room(x) - room(y).
+    The leader has the most room; x is near if room(x) + room(leader) >= 0, so it links with the leader, whatever they share.
+    Otherwise |Dx & Dy| is bounded from below in three ways:
+    (1) where y isn't near, room(y) <= -room(leader) - 1, so 2 P |Dx & Dy| >= room(leader) + 1 - room(x);
+    (2) |Dx & Dy| >= |Dx| - |Dx ^ Dy|, and |y| <= OF |x| / NEED, so |Dx & Dy| >= |Dx| - Q |x| / NEED;
+    (3) for any partner y, room(y) <= room(leader), so 2 P |Dx & Dy| >= -room(x) - room(leader).
+    Sets that share m elements share one of the first |D| - m + 1 of each. Heads rest on all three, tails on (2) and (3).
+    """
+    p, q = OF + NEED, OF - NEED
+    rooms = members.withColumn("room", q * F.col("n") - p * F.col("d"))
+    best = rooms.groupBy("b").agg(F.max(F.struct("room", F.bitwise_not("rep").alias("first"))).alias("best"))
+    rooms = rooms.join(best.select("b", F.col("best.room").alias("most"), F.bitwise_not("best.first").alias("leader")), "b")
+    room, most, d = F.col("room"), F.col("most"), F.col("d")
+    share = lambda x: F.ceil(x / (2 * p))
+    at_least = F.greatest(F.lit(1), d - F.floor(q * F.col("n") / NEED), share(-room - most))
+    near = room + most >= 0
+    head = d + 1 - F.greatest(at_least, share(most + 1 - room))
+    tail = F.when(near, head).otherwise(d + 1 - at_least)
+    return rooms.select("rep", "b", "n", "d", "elements", "room", "leader", near.alias("near"), F.greatest(F.lit(0), head).cast("int").alias("head"), F.greatest(F.lit(0), tail).cast("int").alias("tail"))
+
+
+def difference_lists(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries (ENTRY) with members of the lists of prefixes of differences, where some entries of a list may be a pair. Checkpointed."""
+    behind = [F.greatest(F.lit(0), F.col("d") - F.col(x)).cast("int").alias(f"behind_{x}") for x in ("head", "tail")]
+    parts = F.array(*[F.struct(kind.alias("kind"), F.slice("elements", start, F.greatest(F.lit(0), length)).alias("tokens")) for kind, start, length in ((F.when(F.col("near"), 0).otherwise(1), F.lit(1), F.col("head")), (F.lit(2), F.col("head") + 1, F.col("tail") - F.col("head")))])
+    entries = members.select("rep", "b", "n", "room", *behind, F.explode(parts).alias("part")).select("*", "part.kind", F.explode("part.tokens").alias("token"))
+    entries = entries.withColumn("key", F.xxhash64("b", "token")).withColumn("matches", F.lit(1)).select(*ENTRY)
     entries = cut(with_components(entries, found))
     kinds = [F.count(F.when(F.col("kind") == k, 1)) for k in range(3)]
     some = (kinds[0] * (kinds[1] + kinds[2]) > 0) | (kinds[1] > 1)
-    live = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), (some & (F.min("component") < F.max("component"))).alias("live"))
-    live = cut(live.where("live").select("key", "size"))
-    out = cut(matched(entries.drop("component"), live, "key", "size").drop("size"))
+    live = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), (some & (F.min("component") < F.max("component"))).alias("live"))
+    live = cut(live.where("live").select("key", "members"))
+    out = cut(matched(entries.drop("component"), live, "key", "members"))
     drop(entries, live)
     return out
 
 
 def linked_components(docs: DataFrame, entries: DataFrame, handle: Broadcast, rounds: int = ROUNDS) -> DataFrame:
-    """(node, component) of the sets that link with others. entries (key, rep, n, matches, kind): prefix lists of the sets, each of which
-    the document rep has."""
-    links, found, asked = [], None, []
-    for turn in range(rounds + 1):
-        lists = with_centres(entries)
-        others = lists.where("rep <> centre")
-        pairs = others.where(F.col("members") > SHORT) if turn < rounds else others.where("false")
-        pairs = pairs.select(F.col("rep").alias("a"), F.col("centre").alias("b"), F.lit(True).alias("wide"))
-        if not turn:  # every set meets the one that is the centre of most of its lists
-            votes = others.groupBy("rep", "centre").agg(F.count(F.lit(1)).alias("votes"))
-            first = votes.groupBy("rep").agg(F.max_by("centre", F.struct("votes", F.bitwise_not("centre").alias("first"))).alias("centre"))
-            pairs = pairs.union(first.select(F.col("rep").alias("a"), F.col("centre").alias("b"), F.lit(False).alias("wide")))
-        pairs = cut(pairs.groupBy("a", "b").agg(F.max("wide").alias("wide")))
-        compared = verified(docs, pairs, handle)
-        drop(pairs)
-        links.append(cut(compared.where("linked").select("a", "b")))
-        drop(found)
+    """(node, component) of the sets that link with others. entries (ENTRY): prefix lists of the sets, each of which the document
+    rep has."""
+    lists = shared_lists(entries)
+    others = with_centres(lists)
+    # every set meets the one, near in size, that is the centre of most of its lists
+    votes = others.where("rep <> centre").where(_near(F.col("n"), F.col("centre_n"))).groupBy("rep", "centre").agg(F.count(F.lit(1)).alias("votes"))
+    first = votes.groupBy("rep").agg(F.max_by("centre", F.struct("votes", F.bitwise_not("centre").alias("first"))).alias("centre"))
+    first = cut(first.select(F.col("rep").alias("a"), F.col("centre").alias("b")))
+    groups = cut(_groups(others.where(F.col("members") > SHORT if rounds else F.lit(False))))
+    drop(others)
+    texts = texts_for(docs, first.select(F.explode(F.array("a", "b")).alias("id")).union(groups.select("a")))
+    links, asked, turn = [verified(texts, first)], [], 0
+    drop(first)
+    while True:
+        members = with_prefixes(differences(texts, groups, handle)) if rounds else None
+        drop(texts, groups)
+        if members is not None:
+            members = cut(members)
+            links.append(members.where("near and rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
         found = components(_union(links))
-        with_found = with_components(lists.select("key", "rep", "n", "matches", "kind", "members"), found)
-        asked.append(cut(short_pairs(with_found.where(F.col("members") <= SHORT))))
-        if turn == rounds:
-            asked.append(cut(all_pairs(with_found.where(F.col("members") > SHORT))))
-        entries = difference_lists(compared, found)
-        drop(lists, compared)
-        if not entries.limit(1).count():
+        asked += _pairs_of(lists, found, whole=not rounds)
+        drop(lists)
+        if members is None:
             break
-    ends = found.select("node", "component")
-    of = lambda end: ends.select(F.col("node").alias(f"{end}_node"), F.col("component").alias(f"{end}_component"))
+        lists, turn = difference_lists(members, found), turn + 1
+        long_ = lists.where(F.col("members") > SHORT)
+        last = not long_.limit(1).count()
+        if last or turn >= rounds:
+            asked += _pairs_of(lists, found, whole=not last)
+            drop(lists)
+            break
+        groups = cut(_groups(with_centres(long_)))
+        texts = texts_for(docs, groups.select(F.col("a").alias("id")))
+        drop(found)
+    of = lambda end: found.select(F.col("node").alias(f"{end}_node"), F.col("component").alias(f"{end}_component"))
     rest = _union(asked).join(of("a"), F.col("a") == F.col("a_node"), "left").join(of("b"), F.col("b") == F.col("b_node"), "left")
-    rest = rest.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b").distinct()
-    rest = cut(rest.select("a", "b", F.lit(False).alias("wide")))
-    drop(*asked, entries)
-    links.append(verified(docs, rest, handle).select("a", "b"))
-    drop(found, rest)
+    rest = cut(rest.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b").distinct())
+    drop(*asked, found)
+    links.append(verified(texts_for(docs, rest.select(F.explode(F.array("a", "b")).alias("id"))), rest))
     return components(_union(links))
 
 
+def _pairs_of(lists: DataFrame, found: DataFrame, whole: bool) -> list[DataFrame]:
+    """Pairs (a, b) of short lists, and of all others too if `whole`; checkpointed."""
+    entries = with_components(lists.select(*ENTRY, "members"), found)
+    out = [cut(short_pairs(entries.where(F.col("members") <= SHORT)))]
+    return [*out, cut(all_pairs(entries.where(F.col("members") > SHORT)))] if whole else out
+
+
+def _groups(lists: DataFrame) -> DataFrame:
+    """(a, b): members of lists, by the lists' centre."""
+    return lists.select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for df in frames[1:]:
@@ -447,7 +510,9 @@ def join_components(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     held = cut(held.dropDuplicates(["sig"]).select("rep", "n", "matches", "prefix"))
     nodes = cut(lookup(measured.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("sig")).alias("sig")), same.drop("holder"), "sig", "copies"))
     drop(measured)
-    found = linked_components(docs, held.select(F.explode("prefix").alias("key"), "rep", "n", "matches", F.lit(1).alias("kind")), handle, rounds)
+    nothing = [F.lit(None).cast("long").alias("room"), *[F.lit(None).cast("int").alias(c) for c in ENTRY[-2:]]]
+    entries = held.select(F.explode("prefix").alias("key"), "rep", "n", "matches", F.lit(1).alias("kind"), *nothing)
+    found = linked_components(docs, entries, handle, rounds)
     group = cut(found.join(same.select("rep", "copies"), F.col("node") == F.col("rep")).select("rep", "component", "copies"))
     out = lookup(nodes.select("doc_id", "n", "rep"), group, "rep", "copies")
     out = cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")))
