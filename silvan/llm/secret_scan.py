@@ -18,21 +18,25 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 #: A match of the `+` form that is long enough is one of these, and the other way round: both take whole runs.
 ACCESS, HEX = "AKIA[A-Z0-9]{12,}", "[0-9a-f]{32,}"
 ASSIGN_LENGTH = 8
-#: Symbols of candidates, their least length (one window), and a candidate: it has a digit and a letter.
+#: Symbols of candidates, their least length (one window), and runs that are candidates if they have a digit and a letter.
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 WINDOW = 20
-CANDIDATE = "(?<![A-Za-z0-9+/=_-])(?=[^0-9\\x00-\\x20]*[0-9])(?=[^A-Za-z\\x00-\\x20]*[A-Za-z])[A-Za-z0-9+/=_-]{%d,}" % WINDOW
+CANDIDATE, HAS = "[A-Za-z0-9+/=_-]{%d,}" % WINDOW, ("[0-9]", "[A-Za-z]")
 #: Character classes, narrowest first: what a candidate of the class consists of, and the entropy (bits) that its best window must reach.
 CLASSES = (("^[0-9a-fA-F]+$", 3.0), ("^[A-Z0-9]+$|^[a-z0-9]+$", 3.3), (".", 3.8))
-#: Candidates that are no secrets: ids in UUID form, placeholders, alphabets, media in base64, digests with their algorithm's name, words joined by marks.
+#: Candidates that are no secrets: ids in UUID form, placeholders, alphabets, media in base64, digests with their algorithm's name.
+#: No pattern repeats a group, for the regular expressions of the JVM recur once for each round of such a repetition.
 ALLOWED = (
-    "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
+    "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "(?i)example|placeholder|changeme|dummy|sample|redacted|xxxx|0000000",
     "(?i)0123456789|abcdefghij|qwertyuiop",
     "^(iVBORw0KGgo|R0lGOD|/9j/4|JVBERi)",
     "(?i)^(sha(1|224|256|384|512)|md5)[=_-]",
-    "^[A-Za-z]{1,24}([/_-]+[A-Za-z]{0,24}|[/_-]+[0-9]{1,4})+$",
 )
+#: Words joined by marks are none either: what marks separate, the first of it and the rest.
+MARKS, FIRST, PART = "[/_-]+", "^[A-Za-z]{1,24}$", "^([A-Za-z]{0,24}|[0-9]{1,4})$"
+#: Counts of a window's symbols, packed into longs: so many bits hold a count up to WINDOW, so many symbols go into one long.
+BITS, PACKED = 5, 12
 
 
 def matches(text: Column, pattern: str, group: int | None = None, least: int = 0) -> Column:
@@ -68,33 +72,39 @@ def best_entropy(word: Column) -> Column:
 
     def events(all_: Column) -> Column:
         """Each symbol enters; the one that stood WINDOW places before leaves first."""
-        enter = lambda s, i: F.struct(s.alias("symbol"), F.lit(1).alias("by"), (i >= WINDOW - 1).alias("full"))
-        leave = lambda i: F.struct(all_[i - WINDOW].alias("symbol"), F.lit(-1).alias("by"), F.lit(False).alias("full"))
+        place = lambda s: (F.floor(s / PACKED).cast("int").alias("at"), (F.pmod(s, F.lit(PACKED)) * BITS).alias("shift"))
+        enter = lambda s, i: F.struct(*place(s), F.lit(1).cast("long").alias("by"), (i >= WINDOW - 1).alias("full"))
+        leave = lambda i: F.struct(*place(all_[i - WINDOW]), F.lit(-1).cast("long").alias("by"), F.lit(False).alias("full"))
         return F.flatten(F.transform(all_, lambda s, i: F.when(i >= WINDOW, F.array(leave(i), enter(s, i))).otherwise(F.array(enter(s, i)))))
 
     def step(state: Column, e: Column) -> Column:
-        n = state["counts"][e["symbol"]]
-        total = state["total"] + log[n + e["by"]] - log[n]
+        n = F.call_function("shiftright", state["counts"][e["at"]], e["shift"]).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+        total = state["total"] + log[n + e["by"].cast("int")] - log[n]
         entropy = F.lit(math.log2(WINDOW)) - total / WINDOW
-        counts = F.transform(state["counts"], lambda c, i: F.when(i == e["symbol"], c + e["by"]).otherwise(c))
+        counts = F.transform(state["counts"], lambda c, i: F.when(i == e["at"], c + F.call_function("shiftleft", e["by"], e["shift"])).otherwise(c))
         return F.struct(counts.alias("counts"), total.alias("total"), F.when(e["full"], F.greatest(state["best"], entropy)).otherwise(state["best"]).alias("best"))
 
-    zero = F.struct(F.array_repeat(F.lit(0), len(SYMBOLS)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-len(SYMBOLS) // PACKED)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
     return F.aggregate(F.flatten(F.transform(F.array(symbols), events)), zero, step, lambda s: s["best"])
 
 
 def is_random(word: Column) -> Column:
-    """The word's best window reaches the threshold of its class, and nothing on the allow-list suppresses it."""
+    """The candidate has a digit and a letter, its best window reaches the threshold of its class, and nothing on the allow-list suppresses it."""
     need = F.lit(CLASSES[-1][1])
     for pattern, bits in reversed(CLASSES[:-1]):
         need = F.when(word.rlike(pattern), F.lit(bits)).otherwise(need)
-    return F.when(word.rlike("|".join(f"(?:{p})" for p in ALLOWED)), F.lit(False)).otherwise(best_entropy(word) >= need)
+    parts = F.split(word, MARKS)
+    joined = word.rlike(MARKS) & parts[0].rlike(FIRST) & F.forall(F.slice(parts, 2, F.size(parts)), lambda p: p.rlike(PART))
+    harmless = word.rlike("|".join(f"(?:{p})" for p in ALLOWED)) | joined
+    plain = ~(word.rlike(HAS[0]) & word.rlike(HAS[1]))
+    return F.when(plain, F.lit(False)).when(harmless, F.lit(False)).otherwise(best_entropy(word) >= need)
 
 
 def with_spans(docs: DataFrame, prefix: str = "secret_") -> DataFrame:
     """docs with arrays of spans (start, kind, end; ordered), one of the base kinds and one of all: <prefix>base, <prefix>all.
 
-    A null text counts as empty and has none. Entropy spans that touch a base span are left out.
+    A null text counts as empty and has none. Entropy spans that touch a base span are left out. A text without spans has
+    empty arrays; repeated rows have the same ones each.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     names = [f"{prefix}{k}" for k in KINDS]
