@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, brown_lm, exact_dedup, labelled, licenses, media, ngram_join, packing, quality, secret_scan, toxicity
 from .common import documents
 
-#: Folder of the public tokenizers' files.
-TOKENIZERS = os.environ.get("SILVAN_TOKENIZERS", "/opt/tokenizers")
-VOCABULARY, RANKS = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+#: The public tokenizer's vocabulary, and the same as a rank file.
+VOCABULARY, RANKS = str(public_tokenizers.path("byte_bpe_50k.json")), str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
