@@ -8,11 +8,13 @@ files further in are carved out.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -25,6 +27,8 @@ from .common import texts_of
 #: Payloads are padded with byte 255 to a positive multiple of this.
 UNIT = 576
 RATE = 8000
+#: Bytes that an inflater takes, and gives, at once.
+PIECE = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -34,11 +38,38 @@ class Found:
     end: int
 
 
+class Marks:
+    """Places of the marks that end formats without lengths. They are looked for once, however often a format seems to begin."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def _places(self, mark: bytes) -> list[int]:
+        return [m.start() for m in re.finditer(re.escape(mark), self.data)]
+
+    @cached_property
+    def pdf_end(self) -> int:
+        return self.data.rfind(b"%%EOF")
+
+    @cached_property
+    def pdf_reference(self) -> int:
+        """The last cross-reference before the end mark."""
+        return self.data.rfind(b"startxref", 0, max(0, self.pdf_end))
+
+    @cached_property
+    def zip_ends(self) -> list[int]:
+        return self._places(b"PK\5\6")
+
+    @cached_property
+    def jpeg_ends(self) -> list[int]:
+        return self._places(b"\xff\xd9")
+
+
 def _u(data: bytes, at: int, size: int, order: str = "little") -> int:
     return int.from_bytes(data[at : at + size], order) if at + size <= len(data) else -1
 
 
-def _riff(data: bytes, at: int) -> Found | None:
+def _riff(data: bytes, at: int, marks: Marks) -> Found | None:
     """RIFF/WAVE: chunk lengths add up to the form's length, with a format and a data chunk."""
     end, form = at + 8 + _u(data, at + 4, 4), data[at + 8 : at + 12]
     if end > len(data) or form != b"WAVE":
@@ -51,7 +82,7 @@ def _riff(data: bytes, at: int) -> Found | None:
     return Found("audio/wav", at, end) if here == end and {b"fmt ", b"data"} <= seen else None
 
 
-def _png(data: bytes, at: int) -> Found | None:
+def _png(data: bytes, at: int, marks: Marks) -> Found | None:
     """Chunks with right checksums from IHDR to IEND."""
     here, first = at + 8, True
     while here + 12 <= len(data):
@@ -64,14 +95,14 @@ def _png(data: bytes, at: int) -> Found | None:
     return None
 
 
-def _bmp(data: bytes, at: int) -> Found | None:
+def _bmp(data: bytes, at: int, marks: Marks) -> Found | None:
     size, offset, head = _u(data, at + 2, 4), _u(data, at + 10, 4), _u(data, at + 14, 4)
     planes, depth = _u(data, at + 26, 2), _u(data, at + 28, 2)
     ok = head in (40, 108, 124) and planes == 1 and depth in (1, 4, 8, 16, 24, 32) and 14 + head <= offset <= size and at + size <= len(data)
     return Found("image/bmp", at, at + size) if ok else None
 
 
-def _gif(data: bytes, at: int) -> Found | None:
+def _gif(data: bytes, at: int, marks: Marks) -> Found | None:
     """Blocks from the screen descriptor to the trailer."""
     if at + 13 > len(data):
         return None
@@ -94,13 +125,13 @@ def _gif(data: bytes, at: int) -> Found | None:
     return None
 
 
-def _jpeg(data: bytes, at: int) -> Found | None:
+def _jpeg(data: bytes, at: int, marks: Marks) -> Found | None:
     """Segments with right lengths up to the scan, then the end marker."""
     here = at + 2
     while here + 4 <= len(data) and data[here] == 0xFF:
         if data[here + 1] == 0xDA:
-            end = data.find(b"\xff\xd9", here)
-            return Found("image/jpeg", at, end + 2) if end >= 0 else None
+            i = bisect_left(marks.jpeg_ends, here)
+            return Found("image/jpeg", at, marks.jpeg_ends[i] + 2) if i < len(marks.jpeg_ends) else None
         size = _u(data, here + 2, 2, "big")
         if size < 2:
             return None
@@ -108,31 +139,38 @@ def _jpeg(data: bytes, at: int) -> Found | None:
     return None
 
 
-def _gzip(data: bytes, at: int) -> Found | None:
-    stream = zlib.decompressobj(31)
+def _gzip(data: bytes, at: int, marks: Marks) -> Found | None:
+    """A stream that inflates to its end, with the right checksum. Input and output go through in pieces of bounded size."""
+    stream, here = zlib.decompressobj(31), at
     try:
-        stream.decompress(data[at:])
+        while not stream.eof and here < len(data):
+            rest = data[here : here + PIECE]
+            here += len(rest)
+            while rest and not stream.eof:
+                stream.decompress(rest, PIECE)
+                rest = stream.unconsumed_tail
     except zlib.error:
         return None
-    return Found("application/gzip", at, len(data) - len(stream.unused_data)) if stream.eof else None
+    return Found("application/gzip", at, here - len(stream.unused_data)) if stream.eof else None
 
 
-def _pdf(data: bytes, at: int) -> Found | None:
-    end = data.rfind(b"%%EOF", at)
-    return Found("application/pdf", at, end + 5) if end >= 0 and data.find(b"startxref", at, end) >= 0 else None
+def _pdf(data: bytes, at: int, marks: Marks) -> Found | None:
+    """From the magic bytes to the last end mark, with a cross-reference between them."""
+    return Found("application/pdf", at, marks.pdf_end + 5) if at <= marks.pdf_reference else None
 
 
-def _zip(data: bytes, at: int) -> Found | None:
-    """The end record points back to the directory, which points to the first entry."""
-    end = data.find(b"PK\5\6", at)
-    if end < 0 or end + 22 > len(data):
+def _zip(data: bytes, at: int, marks: Marks) -> Found | None:
+    """The first end record behind `at` points back to the directory, which points to the first entry."""
+    i = bisect_left(marks.zip_ends, at)
+    end = marks.zip_ends[i] if i < len(marks.zip_ends) else len(data)
+    if end + 22 > len(data):
         return None
-    size, offset = _u(data, end + 12, 4), _u(data, end + 16, 4)
-    return Found("application/zip", at, end + 22 + _u(data, end + 20, 2)) if at + offset + size == end else None
+    size, offset, stop = _u(data, end + 12, 4), _u(data, end + 16, 4), end + 22 + _u(data, end + 20, 2)
+    return Found("application/zip", at, stop) if at + offset + size == end and stop <= len(data) else None
 
 
 #: Magic bytes and validators (fixed values of the formats).
-SIGNATURES: dict[bytes, Callable[[bytes, int], Found | None]] = {
+SIGNATURES: dict[bytes, Callable[[bytes, int, Marks], Found | None]] = {
     b"RIFF": _riff,
     b"\x89PNG\r\n\x1a\n": _png,
     b"BM": _bmp,
@@ -156,9 +194,9 @@ def _automaton() -> ahocorasick.Automaton:
 
 def sniff(data: bytes) -> list[Found]:
     """Confirmed media in data, leftmost first; files inside a confirmed one follow it if they lie wholly within."""
-    out = []
+    out, marks = [], Marks(data)
     for end, magic in _automaton().iter(data.decode("latin-1")):
-        found = SIGNATURES[magic](data, end + 1 - len(magic))
+        found = SIGNATURES[magic](data, end + 1 - len(magic), marks)
         if found:
             out.append(found)
     return sorted(out, key=lambda f: (f.start, -f.end))
