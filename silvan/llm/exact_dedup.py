@@ -7,11 +7,13 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, lookup, texts_of
+from .common import cut, drop, lookup, texts_of
 
 #: Bytes that normalisation deletes: U+0020 and U+0009 to U+000D.
 BLANK = b" \t\n\x0b\x0c\r"
@@ -120,19 +122,53 @@ def exact_groups(docs: DataFrame, salts: int = SALTS, size: int = DIGEST, window
     return rows.where("rivals = 1").select(*out).unionByName(told.select(*out))
 
 
+def keyed(docs: DataFrame, size: int = DIGEST, content: bool = False) -> DataFrame:
+    """own_row (all columns of docs), own_id, n_cp and digest of each row, and its compressed content if asked for."""
+    at, id_at = docs.columns.index("text"), docs.columns.index("doc_id")
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            texts = texts_of(batch.column(at))
+            norms = [text.translate(None, BLANK) for text in texts]
+            own = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
+            columns = [own, batch.column(id_at).cast(pa.int64()), pc.utf8_length(pa.array(texts, pa.binary()).cast(pa.string())).cast(pa.int64()), pa.array([_digest(n, size) for n in norms], pa.binary())]
+            names = ["own_row", "own_id", "n_cp", "digest"]
+            if content:
+                columns, names = [*columns, pa.array(map(pack, norms), pa.binary())], [*names, "content"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    fields = [T.StructField("own_row", docs.schema), T.StructField("own_id", T.LongType()), T.StructField("n_cp", T.LongType()), T.StructField("digest", T.BinaryType())]
+    return docs.mapInArrow(key, T.StructType(fields + [T.StructField("content", T.BinaryType())] * content))
+
+
 def deduplicate(docs: DataFrame, salts: int = SALTS, size: int = DIGEST, window: int = WINDOW) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Of rows that repeat a doc_id and text that stays, one stays."""
-    by_id = exact_groups(docs, salts, size, window).groupBy(F.col("doc_id").alias("kept_doc"))
-    found = cut(by_id.agg(F.collect_set(F.when(F.col("kept"), F.col("text_sha256"))).alias("kept_texts"), F.count(F.lit(1)).alias("id_rows")).where("size(kept_texts) > 0"))
-    if found.where("id_rows > 1").limit(1).count():
-        return _one_each(docs, found)
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_doc")), "left_semi")
-
-
-def _one_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """For tables in which a doc_id repeats: the rows whose own text stays, each once."""
-    names = docs.columns
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", ""), 256)
-    rows = docs.select(F.struct(*names).alias("kept_row"), F.col("doc_id").cast("long").alias("kept_id"), sha.alias("kept_text"), F.length(F.coalesce("text", F.lit(""))).alias("kept_cp"))
-    rows = rows.join(found, (F.col("kept_id").eqNullSafe(F.col("kept_doc"))) & F.array_contains("kept_texts", F.col("kept_text")))
-    return rows.groupBy("kept_id", "kept_text").agg(F.max_by("kept_row", "kept_cp").alias("kept_row")).select(*[F.col("kept_row")[n].alias(n) for n in names])
+    """The rows of docs that stay, with all their columns, as exact_groups() says. Of rows that repeat a doc_id and text that stays, one stays.
+
+    Rows meet the class of their own text, never others of their doc_id, so rows without doc_id are no group.
+    """
+    found = classes(docs.select("doc_id", "text"), salts, size, window)
+    many = cut(found.where("group_size > 1 or rivals > 1"))
+    drop(found)
+    value = ["keep_id", "keep_cp", "group_size"]
+    clash = many.where("rivals > 1")
+    clashes = clash.limit(1).count() > 0
+    rows = keyed(docs, size, clashes)
+    if clashes:
+        told = rows.join(clash.select("digest", "content", *value), ["digest", "content"])
+        rows = rows.join(clash.select("digest").distinct(), "digest", "left_anti").drop("content")
+        rows = lookup(rows, cut(many.where("rivals = 1").select("digest", *value)), "digest", "group_size").unionByName(told.drop("content"))
+    else:
+        rows = lookup(rows, many.select("digest", *value), "digest", "group_size")
+    alone = F.col("keep_cp").isNull()
+    rows = rows.where(alone | F.col("own_id").eqNullSafe(F.col("keep_id")) & (F.col("n_cp") == F.col("keep_cp")))
+    if docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1").limit(1).count():
+        rows = _one_each(cut(rows.select("own_row", "digest", alone.alias("alone"))), clashes)
+    return rows.select(*[F.col("own_row")[n].alias(n) for n in docs.columns])
+
+
+def _one_each(rows: DataFrame, clashes: bool) -> DataFrame:
+    """For tables in which a doc_id repeats: each row that stays once, by its text."""
+    text = [F.col("digest")] if not clashes else [F.col("digest"), F.sha2(F.regexp_replace(F.coalesce(F.col("own_row.text"), F.lit("")), r"[\x20\x09-\x0D]+", ""), 256)]
+    once = rows.where("not alone").groupBy(*text).agg(F.first("own_row").alias("own_row"))
+    return rows.where("alone").select("own_row").union(once.select("own_row"))
