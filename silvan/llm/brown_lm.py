@@ -15,14 +15,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_fold, texts_of
+from .common import bloom, cut, drop_since, in_bloom, matched, text_fold, texts_of, written
 
 FOLDS, HELD = 7, 2
 #: Most frequent words, which exchange clustering classifies; classes for them; sweeps over the seed vocabulary.
@@ -31,13 +30,16 @@ SEEDS, CLASSES, SWEEPS = 600, 40, 6
 PLACED = 5
 #: Tokens whose contexts a task combines at once, and one entry of them: class (of the word before, or, further on, behind) and count.
 CONTEXTS, ENTRY = 1 << 20, np.dtype([("place", "<u2"), ("hits", "<u4")])
-#: Documents to a block, at most.
-BLOCK = 4096
+#: Documents to a block, at most, and the bytes up to which a text takes one place in it; texts of twice the bytes are half as many to a block.
+BLOCK, SHORT = 4096, 8192
+#: Tokens that a task holds while it counts the words of its blocks.
+HELD_TOKENS = 1 << 22
 #: The end of a document is a token too, which no word equals.
 END = xxhash.xxh64_intdigest(b" end") - (1 << 63)
 #: Weight of the class frequencies in the smoothing of class transitions.
 ALPHA = 5.0
 _CACHE = 800_000
+LINE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("mass", pa.float64()), ("line", pa.binary())])
 
 
 class _Tokens(dict):
@@ -116,7 +118,8 @@ class Model:
 
 
 def blocks(docs: DataFrame, rows: int) -> DataFrame:
-    """docs (doc_id, text) with the block that each row belongs to: `rows` rows of a file that follow each other.
+    """docs (doc_id, text) with the block that each row belongs to: rows of a file that follow each other and are alike in length,
+    `rows` of them at most, and at most `rows` * SHORT bytes or one text.
 
     A row's file and place in it are the same however often, and in whatever splits, the file is read. A frame that isn't
     read from files is written to the shared folder first.
@@ -125,36 +128,46 @@ def blocks(docs: DataFrame, rows: int) -> DataFrame:
         docs.select("_metadata.row_index")
     except AnalysisException:
         docs = cut(docs.select("doc_id", "text"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / rows)).alias("block"))
+    size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0))
+    kind = F.when(size > SHORT, F.ceil(F.log2(size / SHORT))).otherwise(0).cast("int")
+    many = F.greatest(F.lit(1), F.floor(F.lit(rows) / F.pow(F.lit(2.0), kind))).cast("long")
+    block = F.xxhash64("_metadata.file_path", kind, F.floor(F.col("_metadata.row_index") / many))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), block.alias("block"), kind.alias("kind"))
 
 
 def block_words(rows: DataFrame, held: int) -> DataFrame:
     """(block, word, hits): how often each word stands in the training documents of a block, 0 if only in held-out ones.
 
-    Combined where the block is read; a block that lies in two splits has two rows for a word.
+    Combined where the block is read; a block that lies in two splits, or has very many tokens, has several rows for a word.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held_words, held_hits = None, [], []
+        open_: dict[int, tuple[int, list, list]] = {}
+        many = 0
 
-        def done() -> pa.RecordBatch:
-            word, place = np.unique(np.concatenate(held_words), return_inverse=True)
-            hits = np.bincount(place, np.concatenate(held_hits), len(word)).astype(np.int64)
+        def done(kind: int) -> pa.RecordBatch:
+            block, words, training = open_.pop(kind)
+            word, place = np.unique(np.concatenate(words), return_inverse=True)
+            hits = np.bincount(place, np.repeat(training, list(map(len, words))), len(word)).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(word), block)), pa.array(word), pa.array(hits)], ["block", "word", "hits"])
 
         for batch in batches:
-            for doc_id, text, at in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                if at != block and held_words:
-                    yield done()
-                    held_words, held_hits = [], []
-                block = at
-                word = tokens(text)
-                held_words.append(word)
-                held_hits.append(np.full(len(word), text_fold(doc_id, FOLDS) != held, np.float64))
-        if held_words:
-            yield done()
+            for doc_id, text, block, kind in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if many >= HELD_TOKENS:
+                    many = 0
+                    for other in list(open_):
+                        yield done(other)
+                elif kind in open_ and open_[kind][0] != block:
+                    many -= sum(map(len, open_[kind][1]))
+                    yield done(kind)
+                _, words, training = open_.setdefault(kind, (block, [], []))
+                words.append(tokens(text))
+                training.append(float(text_fold(doc_id, FOLDS) != held))
+                many += len(words[-1])
+        for kind in list(open_):
+            yield done(kind)
 
-    return rows.select("doc_id", "text", "block").mapInArrow(count, "block long, word long, hits long")
+    return rows.select("doc_id", "text", "block", "kind").mapInArrow(count, "block long, word long, hits long")
 
 
 def seed_bigrams(docs: DataFrame, ids: np.ndarray, held: int) -> np.ndarray:
@@ -211,10 +224,12 @@ def classes_of(word: np.ndarray, model: Model) -> np.ndarray:
     return np.append(model.seed_class, len(model.joint) - 1)[symbols(word, model.ids, np.arange(len(model.ids)), len(model.ids))]
 
 
-def contexts(docs: DataFrame, model: Model, held: int) -> DataFrame:
+def contexts(docs: DataFrame, model: Model, held: int, wanted: np.ndarray | None) -> DataFrame:
     """(word, body): the classes of the seeds' model that words beyond the seeds stand behind and before in training documents, as
-    entries with counts. Combined where documents are read; a word has as many rows as there are tasks' portions with it."""
+    entries with counts. Combined where documents are read; a word has as many rows as there are tasks' portions with it. Only
+    words of the Bloom filter `wanted`, if there is one."""
     size = len(model.joint)
+    handle = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, before, behind, many = [], [], [], 0
@@ -235,6 +250,8 @@ def contexts(docs: DataFrame, model: Model, held: int) -> DataFrame:
                 word = tokens(text)
                 cls = classes_of(word, model)
                 beyond = cls == size - 1
+                if handle.value is not None:
+                    beyond[beyond] = in_bloom(handle.value, word[beyond])
                 # the end of a document stands before its first word
                 words.append(word[beyond])
                 before.append(np.roll(cls, 1)[beyond])
@@ -249,7 +266,7 @@ def contexts(docs: DataFrame, model: Model, held: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "word long, body binary")
 
 
-def placed(docs: DataFrame, model: Model, held: int, least: int = PLACED) -> DataFrame:
+def placed(docs: DataFrame, model: Model, held: int, wanted: np.ndarray | None = None, least: int = PLACED) -> DataFrame:
     """(word, cls, hits) of all words beyond the seeds with `least` training occurrences or more: the class whose bigrams with
     the classes around the word's occurrences are most above chance. Each task holds the words of one batch."""
     size = len(model.joint)
@@ -278,7 +295,7 @@ def placed(docs: DataFrame, model: Model, held: int, least: int = PLACED) -> Dat
         if len(words):
             yield done(words, entries)
 
-    return contexts(docs, model, held).repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word long, cls int, hits long")
+    return contexts(docs, model, held, wanted).repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word long, cls int, hits long")
 
 
 def class_bigrams(lines: DataFrame, size: int, kind: np.dtype) -> np.ndarray:
@@ -305,7 +322,7 @@ def learn(docs: DataFrame, words: DataFrame, seeds: int, classes: int, held: int
     top = words.where("hits > 0").orderBy(F.desc("hits"), "word").limit(seeds).collect()
     ids, hits = np.array([r.word for r in top], np.int64), np.array([r.hits for r in top], np.float64)
     model = build(ids, hits, seed_bigrams(docs, ids, held), totals.n or 0, totals.v or 0, classes)
-    others = cut(placed(docs, model, held))
+    others = cut(placed(docs, model, held, bloom(words.where(F.col("hits") >= PLACED).select("word"))))
     for row in others.groupBy("cls").agg(F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("words")).collect():
         model.in_class[row.cls] += row.hits
         model.rest_n -= row.hits
@@ -320,29 +337,31 @@ def scores(docs: DataFrame, seeds: int = SEEDS, classes: int = CLASSES, held: in
     Repeated rows count and are scored each on their own. Without any training row all counts are 0 and every word
     is beyond the seeds. Words are told apart by 64-bit digests.
     """
+    before = written()
     rows = blocks(docs, block)
-    word = Window.partitionBy("word")
-    table = cut(block_words(rows, held).select("block", "word", F.sum("hits").over(word).alias("hits"), (F.row_number().over(word.orderBy("block")) == 1).alias("once")))
-    model, others = learn(docs, table.where("once"), seeds, classes, held)
+    table = cut(block_words(rows, held))
+    words = cut(table.groupBy("word").agg(F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("blocks")))
+    model, others = learn(docs, words, seeds, classes, held)
     size = len(model.joint)
     kind = np.min_scalar_type(size)
 
-    def line(key: tuple, texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        known = known.sort_values("word")
-        word, hits = known.word.to_numpy(np.int64), known.hits.to_numpy(np.int64)
-        cls = np.where(known.cls >= 0, known.cls, classes_of(word, model))
+    def line(key: tuple, texts: pa.Table, known: pa.Table) -> pa.Table:
+        word, at = np.unique(known["word"].to_numpy(), return_index=True)
+        hits, cls = known["hits"].to_numpy()[at], known["cls"].to_numpy()[at]
+        cls = np.where(cls >= 0, cls, classes_of(word, model))
         base, own = np.log10((hits + 1) / (model.n + model.v + 1)), np.log10(np.where(cls < size - 1, hits, hits + 1))
         out = []
-        for text in texts.text:
-            at = np.searchsorted(word, tokens(text.encode() if isinstance(text, str) else b""))
-            out.append((len(at), int((hits[at] > 0).sum()), float(base[at].sum()), float(own[at].sum()), cls[at].astype(kind).tobytes()))
-        held_out = [text_fold(None if pd.isna(i) else int(i), FOLDS) == held for i in texts.doc_id.astype("Int64")]
-        n, seen, base_score, mass, lines = zip(*out, strict=True) if out else [[]] * 5
-        return pd.DataFrame({"doc_id": texts.doc_id.astype("Int64"), "held_out": held_out, "n_tokens": n, "n_known": seen, "base_score": base_score, "mass": mass, "line": lines})
-
-    table = table.join(others.select("word", "cls"), "word", "left").select("block", "word", "hits", F.coalesce("cls", F.lit(-1)).alias("cls"))
+        for doc_id, text in zip(texts["doc_id"].to_pylist(), texts_of(texts["text"]), strict=True):
+            at = np.searchsorted(word, tokens(text))
+            out.append((doc_id, text_fold(doc_id, FOLDS) == held, len(at), int((hits[at] > 0).sum()), float(base[at].sum()), float(own[at].sum()), cls[at].astype(kind).tobytes()))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * 7, LINE, strict=True)], schema=LINE)
+
+    # every word of the table has its total; classes of the seeds come from the model itself
+    known = cut(words.join(others.select("word", "cls"), "word", "left").select("word", "hits", F.coalesce("cls", F.lit(-1)).alias("cls"), "blocks"))
+    table = matched(table.select("block", "word"), known, "word", "blocks").select("block", "word", "hits", "cls")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, mass double, line binary"
-    lines = cut(rows.groupBy("block").cogroup(table.groupBy("block")).applyInPandas(line, schema))
+    lines = cut(rows.select("doc_id", "text", "block").groupBy("block").cogroup(table.groupBy("block")).applyInArrow(line, schema))
+    drop_since(before, lines)
     move = transitions(class_bigrams(lines.where("not held_out"), size, kind))[0]
     share = np.log10(np.append(np.maximum(model.in_class, 1), model.rest_n + model.rest_v + 1))
 
