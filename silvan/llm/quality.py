@@ -96,7 +96,7 @@ class Network:
 def fit(rows: list[tuple[bytes, int]]) -> Network:
     """The network of labelled documents (text, quality 0 or 1), by Adam steps on the log loss.
 
-    A filter learns from the window that it answers most to in each document. Without rows of both labels the network
+    A filter learns from the window that it answers most to in each document, over the chunks that scoring sees. Without rows of both labels the network
     scores all documents alike.
     """
     draw = np.random.default_rng(7)
@@ -108,7 +108,7 @@ def fit(rows: list[tuple[bytes, int]]) -> Network:
         return net
     rate = np.clip(y_all.mean(), 0.02, 0.98)
     net.bias = float(np.log(rate / (1 - rate)))
-    data = [np.concatenate(list(chunks(text))) for text, _ in rows]
+    data = [list(chunks(text)) for text, _ in rows]
     state = {name: [np.zeros_like(value, np.float64), np.zeros_like(value, np.float64)] for name, value in (("filters", net.filters), ("out", net.out), ("bias", np.zeros(1)))}
     step = 0
     for _ in range(EPOCHS):
@@ -116,11 +116,14 @@ def fit(rows: list[tuple[bytes, int]]) -> Network:
             tables = net.tables()
             peaks, windows = np.zeros((len(batch), FILTERS)), np.zeros((len(batch), FILTERS, WIDTH), np.int64)
             for i, r in enumerate(batch.tolist()):
-                got = net.answers(data[r], tables)
-                if got is not None:
-                    place = got.argmax(0)
-                    peaks[i] = np.maximum(got[place, np.arange(FILTERS)], 0)
-                    windows[i] = data[r][place[:, None] + np.arange(WIDTH)]
+                for chunk in data[r]:
+                    got = net.answers(chunk, tables)
+                    if got is not None:
+                        place = got.argmax(0)
+                        top = got[place, np.arange(FILTERS)]
+                        more = np.flatnonzero(top > peaks[i])
+                        peaks[i, more] = top[more]
+                        windows[i, more] = chunk[place[more, None] + np.arange(WIDTH)]
             squashed = np.tanh(peaks)
             p = 1 / (1 + np.exp(-(squashed @ net.out + net.bias)))
             error = (p - y_all[batch]) / len(batch)

@@ -140,7 +140,7 @@ def fit(rows: list[tuple[bytes, int]]) -> Field:
         i = seen[loud]
         seen[loud] += 1
         if total <= most or (i + 1) * most // total > i * most // total or any(held[w] < EACH for w in own):
-            chosen.append(words)
+            chosen.append((words, y))
             held.update(own)
     found = _ascend(chosen, sorted(bad), sorted(heads))
     inputs = [1 - math.prod(1 - x for x in found.events(text.translate(_WORDS).split())[1]) for text, _ in rows]
@@ -192,19 +192,21 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
-def _ascend(sentences: list[list[bytes]], lexicon: list[bytes], heads: list[bytes], steps: int = 60) -> Field:
-    """Weights that maximise the conditional likelihood of the labelled tokens, by adaptive gradient steps.
+def _ascend(labelled: list[tuple[list[bytes], int]], lexicon: list[bytes], heads: list[bytes], steps: int = 60) -> Field:
+    """Weights that maximise the conditional likelihood of the labelled tokens, by adaptive gradient steps. Marked words are
+    toxic tokens in windows of toxic documents; in clean ones they are clean tokens, which lowers their weights.
 
     Forward-backward runs over all sentences at once, a column of tokens at a time.
     """
     index, index_head = {w: i + 1 for i, w in enumerate(lexicon)}, {h: i + 1 + len(lexicon) for i, h in enumerate(heads)}
-    sentences = sorted(sentences, key=len, reverse=True)
+    labelled = sorted(labelled, key=lambda s: -len(s[0]))
+    sentences, toxic = [words for words, _ in labelled], np.array([y for _, y in labelled], bool)
     n, width = len(sentences), len(sentences[0]) if sentences else 1
     feature, lengths = np.zeros((n, width), np.int64), np.array([len(s) for s in sentences])
     for i, words in enumerate(sentences):
         feature[i, : len(words)] = [index.get(w) or index_head.get(w[:HEAD], 0) for w in words]
     live = np.arange(width) < lengths[:, None]
-    gold = (feature > 0) & live
+    gold = (feature > 0) & live & toxic[:, None]
     weight, pair, start = np.zeros(len(lexicon) + len(heads) + 1), np.zeros((2, 2)), np.zeros(1)
     sums = [np.full_like(weight, 1e-2), np.full_like(pair, 1e-2), np.full_like(start, 1e-2)]
     columns = [int(live[:, t].sum()) for t in range(width)]
