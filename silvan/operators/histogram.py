@@ -6,11 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bits of a packed key that hold a bin, and a feature.
+BIN_BITS, FEATURE_BITS = 24, 16
+
+
 def explode_histogram(df: DataFrame, leaf: Column, bins: dict[str, Column], g: Column, h: Column) -> DataFrame:
-    """leaf, feature, bin, g, h, n: sums by unpivoting the features and one hash aggregate with map-side combine."""
-    long = F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), c.cast("int").alias("bin")) for i, c in enumerate(bins.values())]))
-    rows = df.select(leaf.alias("leaf"), g.alias("g"), h.alias("h"), long.alias("x"))
-    return rows.groupBy("leaf", F.col("x.feature").alias("feature"), F.col("x.bin").alias("bin")).agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n"))
+    """leaf, feature, bin, g, h, n: sums by unpivoting the features and one hash aggregate with map-side combine.
+
+    Leaf, feature and bin travel as one number, so that rows unpivot into an array of longs and are hashed as such.
+    Leaves are numbers below 2 ** 23; a null bin has a row of its own.
+    """
+    keys = [leaf.cast("long") * (1 << BIN_BITS + FEATURE_BITS) + (i << BIN_BITS) + F.coalesce(c.cast("long") + 1, F.lit(0)) for i, c in enumerate(bins.values())]
+    rows = df.select(F.explode(F.array(*keys)).alias("key"), g.alias("g"), h.alias("h"))
+    sums = rows.groupBy("key").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n"))
+    part = lambda shift, bits: F.shiftright("key", shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    return sums.select(F.shiftright("key", BIN_BITS + FEATURE_BITS).cast("int").alias("leaf"), part(BIN_BITS, FEATURE_BITS).alias("feature"), F.nullif(part(0, BIN_BITS), F.lit(0)).alias("raw"), "g", "h", "n").select("leaf", "feature", (F.col("raw") - 1).alias("bin"), "g", "h", "n")
 
 
 def grouping_sets_histogram(df: DataFrame, leaf: Column, bins: dict[str, Column], g: Column, h: Column) -> DataFrame:
@@ -111,3 +121,37 @@ def gram(df: DataFrame, leaf: Column, x: list[Column], g: Column, h: Column) ->
     k = len(x)
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (x[i] * x[j] * h).alias("v")) for i in range(k) for j in range(i, k)], *[F.struct(F.lit(i).alias("i"), F.lit(-1).alias("j"), (x[i] * g).alias("v")) for i in range(k)]))
     return df.select(leaf.alias("leaf"), pairs.alias("p")).groupBy("leaf", F.col("p.i").alias("i"), F.col("p.j").alias("j")).agg(F.sum("p.v").alias("v"))
+
+
+def voted_features(hist: DataFrame, top: int, l2: float = 0.0, min_data: int = 20) -> DataFrame:
+    """leaf, feature: the features that workers elect for the merging of histograms.
+
+    hist: worker, leaf, feature, bin, g, h, n, of each worker's own rows. A worker votes for the `top` features of its best
+    split gains in a leaf; 2 * top are elected, by the sum of the gains that their voters weigh with their share of the
+    leaf's rows. Ties go to the smaller feature.
+    """
+    keyed = hist.select(F.struct("worker", "leaf").alias("leaf"), "feature", "bin", "g", "h", "n")
+    gains = numeric_scan(keyed, l2=l2, min_data=min_data).groupBy("leaf", "feature").agg(F.max("gain").alias("gain"))
+    own = Window.partitionBy("leaf").orderBy(F.desc("gain"), "feature")
+    votes = gains.withColumn("place", F.row_number().over(own)).where(F.col("place") <= top).select("leaf.worker", F.col("leaf.leaf").alias("leaf"), "feature", "gain")
+    rows = hist.groupBy("worker", "leaf", "feature").agg(F.sum("n").alias("rows")).groupBy("worker", "leaf").agg(F.max("rows").alias("rows"))
+    weighed = votes.join(rows, ["worker", "leaf"]).groupBy("leaf", "feature").agg(F.sum(F.col("gain") * F.col("rows")).alias("score"))
+    order = Window.partitionBy("leaf").orderBy(F.desc("score"), "feature")
+    return weighed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 2 * top).select("leaf", "feature")
+
+
+def voted_histogram(hist: DataFrame, top: int, l2: float = 0.0, min_data: int = 20) -> DataFrame:
+    """leaf, feature, bin, g, h, n of the elected features over all workers; only their bins are shuffled."""
+    elected = voted_features(hist, top, l2, min_data)
+    return hist.join(elected, ["leaf", "feature"], "left_semi").groupBy("leaf", "feature", "bin").agg(*[F.sum(c).alias(c) for c in "ghn"])
+
+
+def discretised(df: DataFrame, g: Column, h: Column, bins: int = 4) -> DataFrame:
+    """df with gq, hq: gradients and hessians as whole numbers of steps, and g_step, h_step: what a step is worth.
+
+    The greatest gradient is bins / 2 steps, the greatest hessian `bins`. Rounding is to the nearest, halves away from zero.
+    """
+    most = df.agg(F.max(F.abs(g)).alias("g_most"), F.max(F.abs(h)).alias("h_most"))
+    steps = most.select((F.col("g_most") / (bins // 2)).alias("g_step"), (F.col("h_most") / bins).alias("h_step"))
+    near = lambda x, step: F.when(F.col(step) > 0, (F.signum(x) * F.floor(F.abs(x) / F.col(step) + 0.5)).cast("int")).otherwise(0)
+    return df.join(F.broadcast(steps)).withColumns({"gq": near(g, "g_step"), "hq": near(h, "h_step")})

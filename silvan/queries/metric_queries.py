@@ -95,12 +95,12 @@ add("metric_multi_rmse", lambda spark, d: _rounded(metrics.pointwise(frame(spark
     f"SELECT round(sqrt(sum(w * ((u - p) * (u - p) + (y - s) * (y - s))) / (2 * sum(w))), 6) AS value FROM {FRAME_SQL}")
 
 #: Ranking rows: query, grade, score, total order.
-RANK_SQL = "(SELECT l_orderkey AS q, l_linenumber % 5 AS grade, l_discount * 10.0 - l_tax AS score, l_linenumber AS t0, l_partkey AS t1, l_suppkey AS t2 FROM lineitem)"
+RANK_SQL = "(SELECT l_orderkey AS q, l_linenumber % 5 AS grade, l_discount * 10.0 - l_tax AS score, l_linenumber AS t0, l_partkey AS t1, l_suppkey AS t2, l_quantity AS w FROM lineitem)"
 TIE = ["l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def rank_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("q"), (F.col("l_linenumber") % 5).alias("grade"), (F.col("l_discount") * 10.0 - F.col("l_tax")).alias("score"), *TIE)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("q"), (F.col("l_linenumber") % 5).alias("grade"), (F.col("l_discount") * 10.0 - F.col("l_tax")).alias("score"), F.col("l_quantity").alias("w"), *TIE)
 
 
 for _k in (1, 3, 5):
@@ -113,6 +113,15 @@ for _k in (1, 3, 5):
       c AS (SELECT *, sum(hit) OVER (PARTITION BY q ORDER BY r) AS hits FROM r),
       e AS (SELECT q, sum(CASE WHEN hit = 1 AND r <= {_k} THEN hits / r ELSE 0 END) AS s, sum(hit) AS n, least({_k}, count(*)) AS k FROM c GROUP BY q)
       SELECT round(avg(CASE WHEN n > 0 THEN s / least(n, k) ELSE 1.0 END), 6) AS value FROM e""")
+add("ndcg_weighted_at_3", lambda spark, d: _rounded(metrics.ndcg(rank_frame(spark, d), F.col("q"), F.col("grade"), F.col("score"), 3, [F.col(t) for t in TIE], w=F.col("w"))), f"""
+  WITH r AS (SELECT q, w, pow(2, grade) - 1 AS g, row_number() OVER (PARTITION BY q ORDER BY score DESC, t0, t1, t2) AS r, row_number() OVER (PARTITION BY q ORDER BY grade DESC, t0, t1, t2) AS i FROM {RANK_SQL}),
+  e AS (SELECT q, avg(w) AS w, sum(CASE WHEN r <= 3 THEN g / log2(r + 1) ELSE 0 END) AS dcg, sum(CASE WHEN i <= 3 THEN g / log2(i + 1) ELSE 0 END) AS best FROM r GROUP BY q)
+  SELECT round(sum(w * CASE WHEN best > 0 THEN dcg / best ELSE 1.0 END) / sum(w), 6) AS value FROM e""")
+add("map_weighted_at_3", lambda spark, d: _rounded(metrics.mean_average_precision(rank_frame(spark, d), F.col("q"), F.when(F.col("grade") >= 3, 1).otherwise(0), F.col("score"), 3, [F.col(t) for t in TIE], w=F.col("w"))), f"""
+  WITH r AS (SELECT q, w, (grade >= 3)::INT AS hit, row_number() OVER (PARTITION BY q ORDER BY score DESC, t0, t1, t2) AS r FROM {RANK_SQL}),
+  c AS (SELECT *, sum(hit) OVER (PARTITION BY q ORDER BY r) AS hits FROM r),
+  e AS (SELECT q, avg(w) AS w, sum(CASE WHEN hit = 1 AND r <= 3 THEN hits / r ELSE 0 END) AS s, sum(hit) AS n, least(3, count(*)) AS k FROM c GROUP BY q)
+  SELECT round(sum(w * CASE WHEN n > 0 THEN s / least(n, k) ELSE 1.0 END) / sum(w), 6) AS value FROM e""")
 add("max_dcg", lambda spark, d: metrics.max_dcg(rank_frame(spark, d), F.col("q"), F.col("grade"), 3).select("q", F.round("max_dcg", 6).alias("max_dcg")), f"SELECT q, round(sum((pow(2, grade) - 1) / log2(r + 1)), 6) AS max_dcg FROM (SELECT q, grade, row_number() OVER (PARTITION BY q ORDER BY grade DESC) AS r FROM {RANK_SQL}) WHERE r <= 3 GROUP BY q")
 
 _P = SimpleNamespace(sigmoid=1.5, alpha=0.9, fair_c=1.0, poisson_max_delta_step=0.7, tweedie_variance_power=1.5, label_weights=(1.0, 2.0))

@@ -78,9 +78,9 @@ def lineitem(spark: SparkSession, sf_dir: str, label: str = "price") -> DataFram
 
 
 def _summary(spark: SparkSession, model: GbtModel, df: DataFrame) -> DataFrame:
-    """What the model says about its rows, leaf by leaf of its first tree."""
-    scored = model.predict(df, "leaf", "leaf")
-    return scored.groupBy(F.element_at("leaf", 1).alias("leaf")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("label"), 6).alias("label"))
+    """What the model says about its rows, leaf by leaf of each of its trees."""
+    scored = model.predict(df, "leaf", "leaf").select("label", F.posexplode("leaf").alias("tree", "leaf"))
+    return scored.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("label"), 6).alias("label"))
 
 
 OBJECTIVE_LABELS = {"regression": "price", "regression_l1": "price", "huber": "price", "fair": "price", "quantile": "price", "mape": "price", "poisson": "quantity", "gamma": "quantity", "tweedie": "quantity", "binary": "flag", "cross_entropy": "share", "cross_entropy_lambda": "share"}
@@ -99,7 +99,8 @@ for _o, _l in OBJECTIVE_LABELS.items():
     add(f"train_gbdt_{_o}", _train(_o, _l))
 add("train_rf_regression", _train("regression", "price", "rf", bagging_freq=1, bagging_fraction=0.7, feature_fraction=0.8))
 add("train_dart_binary", _train("binary", "flag", "dart", drop_rate=0.5, skip_drop=0.0))
-add("train_goss_regression", _train("regression", "price", data_sample_strategy="goss", learning_rate=0.5))
+# one-side sampling begins with the third iteration at this rate
+add("train_goss_regression", _train("regression", "price", data_sample_strategy="goss", learning_rate=0.5, num_iterations=4))
 add("train_multiclass", _train("multiclass", "class", num_class=3))
 add("train_multiclassova", _train("multiclassova", "class", num_class=3))
 add("train_linear", _train("regression", "price", linear_tree=True))

@@ -215,3 +215,31 @@ def oblique_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pool = ObliquePool(["l_quantity", "l_discount"], [[(0, 0.5), (1, -0.25)]])
     return pool.fit(table(spark, sf_dir, "lineitem")).transform(table(spark, sf_dir, "lineitem"), "p").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("p0", 6).alias("p0"))
+
+
+# votes of workers, and gradients in steps
+_WORKERS_SQL = f"(SELECT l_orderkey % 4 AS worker, leaf, feature, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM (SELECT l_orderkey, leaf, g, h, unnest([0, 1, 2, 3]) AS feature, unnest([b0, b1, b2, b3]) AS bin FROM {ROWS_SQL}) GROUP BY ALL)"
+
+
+def workers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histograms of four workers."""
+    packed = histogram.explode_histogram(rows(spark, sf_dir), F.col("leaf") * 4 + F.col("l_orderkey") % 4, {n: F.col(n) for n in BINS}, F.col("g"), F.col("h"))
+    return packed.select((F.col("leaf") % 4).alias("worker"), F.floor(F.col("leaf") / 4).cast("int").alias("leaf"), "feature", "bin", "g", "h", "n")
+
+
+@query(f"""WITH w AS (SELECT * FROM {_WORKERS_SQL}), c AS (SELECT *, sum(g) OVER o AS lg, sum(h) OVER o AS lh, sum(n) OVER o AS ln, sum(g) OVER k AS tg, sum(h) OVER k AS th, sum(n) OVER k AS tn, max(bin) OVER k AS last FROM w
+    WINDOW k AS (PARTITION BY worker, leaf, feature), o AS (PARTITION BY worker, leaf, feature ORDER BY bin)),
+  s AS (SELECT worker, leaf, feature, max(lg * lg / (lh + 1.0) + (tg - lg) * (tg - lg) / (th - lh + 1.0) - tg * tg / (th + 1.0)) AS gain, any_value(tn) AS rows FROM c WHERE bin < last AND ln >= 20 AND tn - ln >= 20 GROUP BY ALL),
+  v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY worker, leaf ORDER BY gain DESC, feature) AS place FROM s WHERE gain > 0) WHERE place <= 1),
+  e AS (SELECT leaf, feature FROM (SELECT leaf, feature, row_number() OVER (PARTITION BY leaf ORDER BY sum(gain * rows) DESC, feature) AS place FROM v GROUP BY leaf, feature) WHERE place <= 2)
+  SELECT leaf, feature, bin, round(sum(g), 4) AS g, round(sum(h), 4) AS h, sum(n)::BIGINT AS n FROM w SEMI JOIN e USING (leaf, feature) GROUP BY ALL""")
+def hist_voted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(histogram.voted_histogram(workers(spark, sf_dir), 1, l2=1.0))
+
+
+@query(f"""WITH r AS (SELECT * FROM {ROWS_SQL}), m AS (SELECT max(abs(g)) / 2 AS gs, max(abs(h)) / 4 AS hs FROM r)
+  SELECT leaf, sum(sign(g) * floor(abs(g) / gs + 0.5))::BIGINT AS gq, sum(sign(h) * floor(abs(h) / hs + 0.5))::BIGINT AS hq, round(any_value(gs), 7) AS g_step, round(any_value(hs), 7) AS h_step FROM r, m GROUP BY leaf""")
+def quantised_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of gradients in steps, of each leaf."""
+    steps = histogram.discretised(rows(spark, sf_dir), F.col("g"), F.col("h"), 4)
+    return steps.groupBy("leaf").agg(F.sum("gq").alias("gq"), F.sum("hq").alias("hq"), F.round(F.first("g_step"), 7).alias("g_step"), F.round(F.first("h_step"), 7).alias("h_step"))
