@@ -11,6 +11,7 @@ log = logging.getLogger("silvan")
 
 #: Aliases of parameters (fixed values of the interface).
 ALIASES: dict[str, tuple[str, ...]] = {
+    "num_grad_quant_bins": ("quant_bins",),
     "task": ("task_type",),
     "objective": ("objective_type", "app", "application", "loss"),
     "boosting": ("boosting_type", "boost"),
@@ -149,6 +150,11 @@ class Params:
     monotone_penalty: float = 0.0
     feature_contri: list[float] = field(default_factory=list)
     forcedsplits_filename: str = ""
+    use_quantized_grad: bool = False
+    quant_mode: str = "auto"
+    num_grad_quant_bins: int = 0
+    quant_train_renew_leaf: bool = False
+    stochastic_rounding: bool = True
     refit_decay_rate: float = 0.9
     cegb_tradeoff: float = 1.0
     cegb_penalty_split: float = 0.0

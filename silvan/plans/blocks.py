@@ -23,7 +23,8 @@ ROWS, BYTES = 1 << 16, 1 << 27
 
 @dataclass
 class Layout:
-    """used: features with a column; wide: two bytes to a bin; targets and scores: numbers to a row; query: whether rows belong to queries."""
+    """used: features with a column; wide: two bytes to a bin; targets and scores: numbers to a row; query: whether rows belong to
+    queries; raw: whether there are columns of the features' values too (for linear leaves)."""
 
     used: list[int]
     wide: bool
@@ -31,16 +32,20 @@ class Layout:
     scores: int
     query: bool
     parts: int = 1
+    raw: bool = False
 
     def bins_column(self, feature: int) -> str:
         return f"bin_{feature}"
 
+    def columns_of(self, features: list[int]) -> list[str]:
+        return [self.bins_column(f) for f in features] + [f"raw_{f}" for f in features if self.raw]
+
     @property
     def extra(self) -> list[str]:
         return ["y", "w", "s", "key", *(["q", "pos"] if self.query else [])]
 
 
-def build(df: DataFrame, names: list[str], label: str, model: BinModel, weight: str | None, query: str | None, key: str | None, init: str | None, position: str | None, scores: int, order: list[str]) -> tuple[DataFrame, Layout]:
+def build(df: DataFrame, names: list[str], label: str, model: BinModel, weight: str | None, query: str | None, key: str | None, init: str | None, position: str | None, scores: int, order: list[str], raw: bool = False) -> tuple[DataFrame, Layout]:
     """Blocks of df. label may be an array (several targets); init: column of start scores, an array if there are several.
 
     Rows of a query stay together, in the order of key (or of the columns `order`): their frame is dealt by query. Other
@@ -50,7 +55,7 @@ def build(df: DataFrame, names: list[str], label: str, model: BinModel, weight:
     targets = 1
     if df.schema[label].dataType.typeName() == "array":
         targets = scores
-    layout = Layout(used, any(model.features[i].bins > 256 for i in used), targets, scores, query is not None)
+    layout = Layout(used, any(model.features[i].bins > 256 for i in used), targets, scores, query is not None, raw=raw)
     array = lambda c: F.col(f"`{c}`") if df.schema[c].dataType.typeName() == "array" else F.array(F.col(f"`{c}`").cast("double"))
     rows = df.select(
         *[F.col(f"`{model.names[i]}`").cast("double").alias(f"x{i}") for i in used],
@@ -65,7 +70,7 @@ def build(df: DataFrame, names: list[str], label: str, model: BinModel, weight:
         rows = rows.repartition("q").sortWithinPartitions("q", *[f"order_{i}" for i in range(len(order))])
     rows = rows.drop(*[f"order_{i}" for i in range(len(order))])
     kind, features = np.dtype("<u2" if layout.wide else "u1"), [model.features[i] for i in used]
-    columns = [layout.bins_column(i) for i in used] + layout.extra
+    columns = layout.columns_of(used) + layout.extra
     schema = StructType([StructField("rows", LongType()), *[StructField(c, BinaryType()) for c in columns]])
 
     most = max(1024, min(ROWS, BYTES // (8 * max(1, len(used)))))
@@ -77,6 +82,8 @@ def build(df: DataFrame, names: list[str], label: str, model: BinModel, weight:
         def emit(table: pa.Table) -> pa.RecordBatch:
             n = table.num_rows
             data = [f.to_bins(table[j].to_numpy(zero_copy_only=False)).astype(kind).tobytes() for j, f in enumerate(features)]
+            if layout.raw:
+                data += [table[j].to_numpy(zero_copy_only=False).astype("<f8").tobytes() for j in range(len(features))]
             at = len(features)
             flat = lambda c: np.ascontiguousarray(c.combine_chunks().values.to_numpy(zero_copy_only=False), "<f8").tobytes()
             data += [flat(table[at]), table[at + 1].to_numpy().astype("<f8").tobytes(), flat(table[at + 2]), table[at + 3].to_numpy().astype("<i8").tobytes()]
@@ -116,6 +123,7 @@ class Block:
         self.n = batch.column("rows")[row].as_py()
         kind = np.dtype("<u2" if layout.wide else "u1")
         self.x = np.stack([np.frombuffer(get(layout.bins_column(f)), kind) for f in features]) if features else np.zeros((0, self.n), kind)
+        self.raw = np.stack([np.frombuffer(get(f"raw_{f}"), "<f8") for f in features]) if features and layout.raw else None
         self.y = np.frombuffer(get("y"), "<f8").reshape(self.n, -1)
         self.w = np.frombuffer(get("w"), "<f8")
         self.s = np.frombuffer(get("s"), "<f8").reshape(self.n, -1)
@@ -130,4 +138,4 @@ def run(blocks: DataFrame, layout: Layout, features: list[int], kernel: Callable
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from kernel(Block(batch, i, layout, features) for batch in batches for i in range(batch.num_rows))
 
-    return blocks.select("rows", *[layout.bins_column(f) for f in features], *layout.extra).mapInArrow(body, schema)
+    return blocks.select("rows", *layout.columns_of(features), *layout.extra).mapInArrow(body, schema)

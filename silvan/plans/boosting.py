@@ -17,7 +17,7 @@ from ..functions import draws, ranking
 from ..functions.backend import NumpyOps
 from ..functions.objectives import OBJECTIVES, softmax_grad, start_value
 from ..operators import metrics
-from ..operators.splits import Scanner
+from ..operators.splits import Scanner, output
 from ..params import Params, metrics_of, resolve
 from .blocks import Block, Layout, run
 from .dataset import GbtDataset
@@ -79,7 +79,7 @@ class Pending:
     def scores(self, block: Block) -> np.ndarray:
         out = block.s + (self.start if self.start is not None else 0.0)
         for column, nodes, factor in self.trees:
-            out[:, column] += factor * nodes.output(block.x)
+            out[:, column] += factor * nodes.output(block)
         return out
 
 
@@ -111,6 +111,23 @@ class Sampling:
         return (g, h, np.flatnonzero(u < p.bagging_fraction)) if p.bagging_fraction < 1 else (g, h, None)
 
 
+@dataclass
+class Steps:
+    """Gradients and hessians as whole numbers of steps; a step is the same for all rows of an iteration's class.
+
+    Rounding is to the nearest, or up with the probability of what is left over, by a draw of the row's key.
+    """
+
+    g: np.ndarray
+    h: np.ndarray
+    salts: tuple[int, int] | None = None
+
+    def __call__(self, block: Block, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u = 0.5 if self.salts is None else draws.uniform(block.key, *self.salts)[:, None]
+        near = lambda x, step: np.sign(x) * np.floor(np.abs(x) / np.where(step > 0, step, 1.0) + u) * step
+        return near(g, self.g), near(h, self.h)
+
+
 class Booster:
     """Trains on a dataset, one iteration with each update()."""
 
@@ -122,7 +139,7 @@ class Booster:
         p = self.p
         self.k = p.trees_per_iteration
         self.bins = train.bins
-        self.blocks, self.layout = train.blocks(self.k)
+        self.blocks, self.layout = train.blocks(self.k, bool(p.linear_tree))
         self.used = self.layout.used
         self.valid: list[tuple[str, GbtDataset, DataFrame, Layout, Pending]] = []
         self.constraints = Constraints.read(p.interaction_constraints, train.features)
@@ -352,11 +369,16 @@ class Booster:
         places = np.array([self.used.index(c) for c in columns], np.int64)
         everything = bool(pending.trees)
 
+        def whole(block: Block):
+            return sampling(block, *gradients(block, pending.scores(block)))
+
+        steps = self._steps(whole, iteration) if p.use_quantized_grad else None
+
         def prepare(block: Block):
-            g, h = gradients(block, pending.scores(block))
+            g, h, rows = whole(block)
             if everything:
                 block.x = block.x[places]
-            return sampling(block, g, h)
+            return (g, h, rows) if steps is None else (*steps(block, g, h), rows)
 
         scanner = Scanner([self.bins.features[f] for f in columns], columns, p)
         jobs = [TreeJob(k, scanner, columns, p, p.extra_seed + iteration, self.constraints.groups, self.forced, self.spent) for k in range(self.k) if self._trains(k)]
@@ -386,6 +408,8 @@ class Booster:
             if tree.leaves > 1:
                 if not callable(p.objective) and p.objective in OBJECTIVES and OBJECTIVES[p.objective].renew:
                     self._renew(tree, nodes, k, pending)
+                elif steps is not None and p.quant_train_renew_leaf:
+                    self._exact_leaves(tree, nodes, k, whole)
                 if p.linear_tree and iteration:
                     self._linear(tree, nodes, k, prepare, columns)
         rate = 1.0 if p.boosting == "rf" else p.learning_rate
@@ -395,6 +419,8 @@ class Booster:
             if tree.leaves > 1:
                 tree.scale(rate)
                 nodes.value = np.array(tree.leaf_value)
+                if tree.leaf_const is not None:
+                    nodes.linear = np.array(tree.leaf_const), [[self.used.index(f) for f in fs] for fs in tree.leaf_features], tree.leaf_coeff
             else:
                 tree.leaf_value, nodes.value = [0.0], np.zeros(1)
         for tree in trees:
@@ -438,11 +464,48 @@ class Booster:
         values = self._percentiles(lambda b: (b.y[:, 0] - pending.scores(b)[:, k], weight(b)), lambda b: nodes.leaf_of(b.x), tree.leaves, alpha)
         tree.leaf_value, nodes.value = values.tolist(), values
 
+    def _steps(self, prepare: Callable, iteration: int) -> Steps:
+        """What a step of the gradients and hessians is worth: the greatest gradient is half as many steps as there are bins, the
+        greatest hessian as many. One job; each task gives its greatest ones."""
+        p, k = self.p, self.k
+
+        def kernel(parts: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+            most = np.zeros((2, k))
+            for b in parts:
+                g, h, rows = prepare(b)
+                if rows is not None:
+                    g, h = g[rows], h[rows]
+                if len(g):
+                    most = np.maximum(most, [np.abs(g).max(0), np.abs(h).max(0)])
+            yield pa.RecordBatch.from_arrays([pa.array([most.tobytes()], pa.binary())], ["most"])
+
+        found = [np.frombuffer(r.most).reshape(2, k) for r in run(self.blocks, self.layout, self.used, kernel, "most binary").collect()]
+        most, bins = np.max(found, axis=0), p.num_grad_quant_bins or 4
+        if not np.isfinite(most).all():
+            raise FloatingPointError(f"iteration {iteration} has gradients that aren't finite")
+        return Steps(most[0] / max(1, bins // 2), most[1] / bins, (p.data_random_seed, iteration) if p.stochastic_rounding and p.quant_mode != "fixedpoint" else None)
+
+    def _exact_leaves(self, tree: Tree, nodes: Nodes, k: int, prepare: Callable) -> None:
+        """Leaf values from the gradients before they were rounded to steps."""
+
+        def kernel(parts: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, tree.leaves))
+            for b in parts:
+                g, h, rows = prepare(b)
+                rows = np.arange(b.n) if rows is None else rows
+                leaf = nodes.leaf_of(b.x)[rows]
+                total += [np.bincount(leaf, x[rows, k], tree.leaves) for x in (g, h)]
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+        g, h = np.sum([np.frombuffer(r.sums).reshape(2, -1) for r in run(self.blocks, self.layout, self.used, kernel, "sums binary").collect()], axis=0)
+        values = output(g, h, self.p, self.p.lambda_l2)
+        tree.leaf_value, nodes.value = values.tolist(), values
+
     def _linear(self, tree: Tree, nodes: Nodes, k: int, prepare: Callable, columns: list[int]) -> None:
         """Leaves get ridge regressions on the numerical features of their paths, by normal equations summed over blocks.
 
-        Features stand for themselves by their bins' middle values, so blocks need no raw values. Leaves whose equations
-        can't be solved keep their constant.
+        Rows that lack one of these features are left out, and keep the constant, as do leaves whose equations can't be
+        solved. Equations of a leaf are added up before they reach the driver.
         """
         paths: dict[int, list[int]] = {}
         waiting: list[tuple[int, list[int]]] = [(0, [])]
@@ -454,29 +517,30 @@ class Booster:
             f = tree.feature[code]
             more = path if f in path or tree.categories[code] is not None else [*path, f]
             waiting += [(tree.left[code], more), (tree.right[code], more)]
-        middles = {f: middle_values(self.bins.features[f]) for f in {f for path in paths.values() for f in path}}
         used, gradients, pending = self.used, self.gradients, self.pending
+        places = {i: [used.index(f) for f in path] for i, path in paths.items()}
 
         def kernel(parts: Iterator[Block]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
             for b in parts:
                 g, h = gradients(b, pending.scores(b))
                 leaf = nodes.leaf_of(b.x)
-                for i, path in paths.items():
+                for i, own in places.items():
                     rows = np.flatnonzero(leaf == i)
-                    z = np.stack([*[middles[f][b.x[used.index(f), rows]] for f in path], np.ones(len(rows))], 1)
-                    z = z[~np.isnan(z).any(1)] if np.isnan(z).any() else z
-                    if len(z) < len(rows):
-                        rows = rows[~np.isnan(np.stack([*[middles[f][b.x[used.index(f), rows]] for f in path], np.ones(len(rows))], 1)).any(1)]
+                    z = np.concatenate([b.raw[np.ix_(own, rows)], np.ones((1, len(rows)))]) if own else np.ones((1, len(rows)))
+                    whole = ~np.isnan(z).any(0)
+                    z, rows = z[:, whole].T, rows[whole]
                     part = np.column_stack([(z * h[rows, k][:, None]).T @ z, z.T @ g[rows, k]])
                     sums[i] = sums.get(i, 0) + part
             for i, s in sums.items():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.ascontiguousarray(s).tobytes()], pa.binary())], ["leaf", "sums"])
 
-        total: dict[int, np.ndarray] = {}
-        for r in run(self.blocks, self.layout, self.used, kernel, "leaf int, sums binary").collect():
-            size = len(paths[r.leaf]) + 1
-            total[r.leaf] = total.get(r.leaf, 0) + np.frombuffer(r.sums).reshape(size, size + 1)
+        def add(key: tuple, rows: pa.Table) -> pa.Table:
+            total = np.sum([np.frombuffer(s.as_py()) for s in rows["sums"]], axis=0)
+            return pa.table({"leaf": rows["leaf"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+        found = run(self.blocks, self.layout, self.used, kernel, "leaf int, sums binary").groupBy("leaf").applyInArrow(add, "leaf int, sums binary")
+        total = {r.leaf: np.frombuffer(r.sums).reshape(len(paths[r.leaf]) + 1, -1) for r in found.collect()}
         tree.leaf_const, tree.leaf_features, tree.leaf_coeff = list(tree.leaf_value), [[] for _ in range(tree.leaves)], [[] for _ in range(tree.leaves)]
         for i, s in total.items():
             size = len(s)
@@ -553,13 +617,13 @@ class Booster:
 
     def refresh(self) -> None:
         """Writes the rows' scores anew, so that pending trees are counted once more only."""
-        self.blocks = _refreshed(self.blocks, self.layout, self.pending, self.train.blocks(self.k)[0])
+        self.blocks = _refreshed(self.blocks, self.layout, self.pending, self.train.blocks(self.k, bool(self.p.linear_tree))[0])
         self.pending.trees, self.pending.start = [], np.zeros(self.k)
         for i, (name, data, blocks, layout, pending) in enumerate(self.valid):
-            self.valid[i] = name, data, _refreshed(blocks, layout, pending, data.blocks(self.k)[0]), layout, Pending(self.used, start=np.zeros(self.k))
+            self.valid[i] = name, data, _refreshed(blocks, layout, pending, data.blocks(self.k, bool(self.p.linear_tree))[0]), layout, Pending(self.used, start=np.zeros(self.k))
 
     def add_valid(self, data: GbtDataset, name: str) -> None:
-        blocks, layout = data.blocks(self.k)
+        blocks, layout = data.blocks(self.k, bool(self.p.linear_tree))
         pending = Pending(self.used, start=self.pending.start.copy() if self.pending.start is not None and not self.model.trees else self.start.copy())
         pending.trees = [(k, n, f) for tables, factors in zip(self.tables, self.factors, strict=True) for k, (n, f) in enumerate(zip(tables, factors, strict=True))]
         self.valid.append((name, data, blocks, layout, pending))
@@ -611,15 +675,6 @@ class Booster:
         self.stopped = False
 
 
-def middle_values(bins) -> np.ndarray:
-    """A value for each bin of a numerical feature: halfway between its bounds, NaN for the missing bin."""
-    known = np.array([b for b in bins.bounds if not math.isnan(b)])
-    low = np.concatenate([[bins.low], known[:-1]])
-    high = np.minimum(known, max(bins.high, bins.low))
-    out = (np.minimum(low, high) + high) / 2
-    return np.append(out, np.nan) if bins.missing == "nan" else out
-
-
 def _refreshed(blocks: DataFrame, layout: Layout, pending: Pending, own: DataFrame) -> DataFrame:
     """The blocks with their scores brought up to date, written to the shared folder in place of the last ones; those that the
     dataset keeps (own) stay, out of memory."""

@@ -52,10 +52,10 @@ class GbtDataset:
         _ = self.bins
         return self
 
-    def blocks(self, scores: int = 1, start: DataFrame | None = None) -> tuple[DataFrame, Layout]:
-        """Blocks, written once to the shared folder and kept in memory where there is room."""
-        if self._blocks is None or self._blocks[1].scores != scores:
-            frame, layout = build(self.df, self.features, self.label, self.bins, self.weight, self.group, self.row_key, self.init_score, self.position, scores, self.order)
+    def blocks(self, scores: int = 1, raw: bool = False) -> tuple[DataFrame, Layout]:
+        """Blocks, with the features' values too if `raw`; written once to the shared folder and kept in memory where there is room."""
+        if self._blocks is None or self._blocks[1].scores != scores or raw and not self._blocks[1].raw:
+            frame, layout = build(self.df, self.features, self.label, self.bins, self.weight, self.group, self.row_key, self.init_score, self.position, scores, self.order, raw)
             kept = cut(frame).persist()
             layout.parts = kept.rdd.getNumPartitions()
             self._blocks = kept, layout

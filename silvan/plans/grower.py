@@ -36,6 +36,8 @@ class Nodes:
     left: np.ndarray
     right: np.ndarray
     value: np.ndarray
+    #: Linear leaves: constants, and each leaf's features (as places) and coefficients.
+    linear: tuple[np.ndarray, list[list[int]], list[list[float]]] | None = None
 
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
         at = np.zeros(x.shape[1], np.int64) if len(self.feature) else np.full(x.shape[1], -1)
@@ -47,8 +49,17 @@ class Nodes:
             rows = rows[to >= 0]
         return ~at
 
-    def output(self, x: np.ndarray) -> np.ndarray:
-        return self.value[self.leaf_of(x)]
+    def output(self, block: Block) -> np.ndarray:
+        """Of each row; rows that lack a feature of their linear leaf have its constant value."""
+        leaf = self.leaf_of(block.x)
+        out = self.value[leaf]
+        if self.linear is not None:
+            for i, (const, places, factors) in enumerate(zip(*self.linear, strict=True)):
+                rows = np.flatnonzero(leaf == i)
+                z = block.raw[np.ix_(places, rows)]
+                whole = ~np.isnan(z).any(0)
+                out[rows[whole]] = const + np.array(factors) @ z[:, whole] if places else const
+        return out
 
 
 @dataclass
@@ -285,6 +296,8 @@ def grow(blocks: DataFrame, layout: Layout, model: BinModel, jobs: list[TreeJob]
         if hist is None or not features:
             j.nodes = [Growing(Leaf(0.0, 0.0, 0.0))]
             continue
+        if not np.isfinite(hist).all():
+            raise FloatingPointError("gradients or hessians aren't finite; look for extreme labels or weights, lower learning_rate, or regularise more")
         j.begin(hist, float(hist[0, :, 2].sum()))
     while True:
         plan: dict[int, list[tuple[int, int, int]]] = {}

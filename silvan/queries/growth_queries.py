@@ -71,11 +71,14 @@ class Task:
     weight: bool = False
     rising: bool = False
     levels: int = 2
+    bins: int = 0
+    renew: bool = False
     more: dict = field(default_factory=dict)
 
     def parameters(self) -> dict:
         own = {"objective": self.objective, "num_iterations": self.iterations, "learning_rate": self.rate, "num_leaves": 2**self.levels, "max_depth": self.levels, "min_data_in_leaf": self.min_data, "min_data_in_bin": 1, "count_mode": "exact", "lambda_l1": self.l1, "lambda_l2": self.l2, "min_gain_to_split": self.min_gain}
         own |= {"num_class": self.classes} if self.classes > 1 else {}
+        own |= {"use_quantized_grad": True, "num_grad_quant_bins": self.bins, "stochastic_rounding": False, "quant_train_renew_leaf": self.renew} if self.bins else {}
         return own | ({"monotone_constraints": [1, 0, 0, 0]} if self.rising else {}) | self.more
 
 
@@ -128,7 +131,10 @@ def sql(task: Task) -> str:
         for k in scores:
             t = turn * task.classes + k
             g, h = _gradients(task, k)
-            parts.append(f"node_{t}_0 AS MATERIALIZED (SELECT *, w * ({g}) AS g, w * ({h}) AS h, 0 AS node FROM {rows})")
+            whole = f"SELECT *, w * ({g}) AS g0, w * ({h}) AS h0 FROM {rows}"
+            near = lambda x, step: f"sign({x}) * floor(abs({x}) / {step} + 0.5) * {step}" if task.bins else x
+            widths = f", max(abs(g0)) OVER () / {max(1, task.bins // 2)} AS gs, max(abs(h0)) OVER () / {max(1, task.bins)} AS hs"
+            parts.append(f"node_{t}_0 AS MATERIALIZED (SELECT * EXCLUDE (gs, hs), {near('g0', 'gs')} AS g, {near('h0', 'hs')} AS h, 0 AS node FROM (SELECT *{widths} FROM ({whole})))")
             for level in range(task.levels):
                 name, here = f"{t}_{level}", f"node_{t}_{level}"
                 values = " UNION ALL ".join(f"SELECT node, {i} AS f, x{i} AS v, sum(g) AS g, sum(h) AS h, count(*) AS n FROM {here} GROUP BY ALL" for i in range(len(FEATURES)))
@@ -145,13 +151,13 @@ def sql(task: Task) -> str:
                 names = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(FEATURES))
                 found.append(f"SELECT {t}::BIGINT AS tree, CASE f {names} END AS feature, round(cut, 6) AS threshold, sn::BIGINT AS n, NULL::DOUBLE AS value FROM best_{name}")
             renew = LOSSES[task.objective].renew if task.objective in LOSSES else None
-            value = renew.replace("s", f"s{k}").replace(f"s{k}um", "sum") if renew else f"-{soft('sum(g)')} / (sum(h) + {task.l2!r})"
+            value = renew.replace("s", f"s{k}").replace(f"s{k}um", "sum") if renew else f"-{soft('sum(g0)' if task.renew else 'sum(g)')} / (sum({'h0' if task.renew else 'h'}) + {task.l2!r})"
             grown = f"EXISTS (SELECT 1 FROM best_{t}_0)"
             parts.append(f"leaf_{t} AS MATERIALIZED (SELECT node, count(*) AS n, CASE WHEN {grown} THEN {task.rate!r} * ({value}) ELSE 0.0 END AS value FROM node_{t}_{task.levels} GROUP BY node)")
             shift = f" + (SELECT b{k} FROM start)" if not turn else ""
             found.append(f"SELECT {t}, NULL, NULL, n, round(value{shift}, 4) FROM leaf_{t}")
             # scores of the row's other trees change only once the iteration is over
-            parts.append(f"next_{t} AS MATERIALIZED (SELECT r.* EXCLUDE (g, h, node), l.value AS d{k} FROM node_{t}_{task.levels} r JOIN leaf_{t} l ON r.node = l.node)")
+            parts.append(f"next_{t} AS MATERIALIZED (SELECT r.* EXCLUDE (g, h, g0, h0, node), l.value AS d{k} FROM node_{t}_{task.levels} r JOIN leaf_{t} l ON r.node = l.node)")
             rows = f"next_{t}"
         changed = ", ".join(f"s{k} + d{k} AS s{k}" for k in scores)
         parts.append(f"rows_{turn + 1} AS MATERIALIZED (SELECT {', '.join(f'x{i}' for i in range(len(FEATURES)))}, y, w, {changed} FROM {rows})")
@@ -174,6 +180,8 @@ TASKS = {
     "grow_binary_weighted": Task("binary", "flag", weight=True),
     "grow_cross_entropy": Task("cross_entropy", "share"),
     "grow_cross_entropy_lambda": Task("cross_entropy_lambda", "share"),
+    "grow_quantised": Task("binary", "flag", bins=16),
+    "grow_quantised_renewed": Task("regression", "price", bins=64, renew=True),
     "grow_multiclass": Task("multiclass", "class", classes=3, iterations=2),
     "grow_multiclassova": Task("multiclassova", "class", classes=3, iterations=2),
 }
