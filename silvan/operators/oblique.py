@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .percentiles import exact
+
 
 class ObliquePool:
     """A fixed pool of projections: each a list of (feature, weight). Features are scaled by median and quartile range; missing ones count as the median."""
@@ -26,10 +28,12 @@ class ObliquePool:
         return cls(features, pool)
 
     def fit(self, df: DataFrame) -> ObliquePool:
-        """Median and quartile range of each feature, in one aggregate; a range of 0 counts as 1."""
-        row = df.agg(*[F.percentile(F.col(f"`{f}`").cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, f in enumerate(self.features)]).first()
-        self.center = [r[1] if r else 0.0 for r in row]
-        self.scale = [(r[2] - r[0]) or 1.0 if r else 1.0 for r in row]
+        """Median and quartile range of each feature, by running counts of its distinct values; a range of 0 counts as 1."""
+        long = df.select(F.posexplode(F.array(*[F.col(f"`{f}`").cast("double") for f in self.features])).alias("feature", "value"))
+        found = {r.feature: r for r in exact(long, ["feature"], F.col("value"), [0.25, 0.5, 0.75]).collect()}
+        rows = [found.get(i) for i in range(len(self.features))]
+        self.center = [r.q1 if r else 0.0 for r in rows]
+        self.scale = [(r.q2 - r.q0) or 1.0 if r else 1.0 for r in rows]
         return self
 
     def transform(self, df: DataFrame, prefix: str = "oblique_") -> DataFrame:

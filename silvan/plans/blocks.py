@@ -18,7 +18,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from ..operators.binning import BinModel
 
 #: Rows to a block, at most, unless a query needs more, and bytes of their features as doubles, of which wide tables have fewer rows.
-ROWS, BYTES = 1 << 16, 1 << 27
+ROWS, BYTES = 1 << 15, 1 << 27
 
 
 @dataclass

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.binning import BinModel, fit_bins, read_forced_bins
 from ..params import Params, resolve
 from .blocks import Layout, build
-from .shared import cut
+from .shared import cut, drop
 
 
 class GbtDataset:
@@ -56,7 +56,12 @@ class GbtDataset:
         """Blocks, with the features' values too if `raw`; written once to the shared folder and kept in memory where there is room."""
         if self._blocks is None or self._blocks[1].scores != scores or raw and not self._blocks[1].raw:
             frame, layout = build(self.df, self.features, self.label, self.bins, self.weight, self.group, self.row_key, self.init_score, self.position, scores, self.order, raw)
-            kept = cut(frame).persist()
+            kept, cores = cut(frame), self.spark.sparkContext.defaultParallelism
+            if kept.rdd.getNumPartitions() < cores:  # a table of few files or row groups would leave cores idle in every level
+                spread = cut(kept.repartition(cores))
+                drop(kept)
+                kept = spread
+            kept = kept.persist()
             layout.parts = kept.rdd.getNumPartitions()
             self._blocks = kept, layout
         return self._blocks

@@ -193,13 +193,13 @@ for _kind, _y, _sql in (
         return frame(spark, d).agg(F.round(value, 6).alias("value"))
 
     add(f"init_{_kind}", _start, f"SELECT round({_sql}, 6) AS value FROM {FRAME_SQL}")
-add("init_median", lambda spark, d: frame(spark, d).agg(F.round(F.percentile("y", F.lit(0.5)), 6).alias("value")), f"SELECT round(quantile_cont(y, 0.5), 6) AS value FROM {FRAME_SQL}")
-add("init_quantile", lambda spark, d: frame(spark, d).agg(F.round(F.percentile("y", F.lit(0.9)), 6).alias("value")), f"SELECT round(quantile_cont(y, 0.9), 6) AS value FROM {FRAME_SQL}")
+add("init_median", lambda spark, d: percentiles.exact(frame(spark, d), [], F.col("y"), [0.5]).select(F.round("q0", 6).alias("value")), f"SELECT round(quantile_cont(y, 0.5), 6) AS value FROM {FRAME_SQL}")
+add("init_quantile", lambda spark, d: percentiles.exact(frame(spark, d), [], F.col("y"), [0.9]).select(F.round("q0", 6).alias("value")), f"SELECT round(quantile_cont(y, 0.9), 6) AS value FROM {FRAME_SQL}")
 _WEIGHTED = """WITH o AS (SELECT {k} AS k, y, sum(w) OVER (PARTITION BY {k} ORDER BY y, l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS cdf, row_number() OVER (PARTITION BY {k} ORDER BY y, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS r, sum(w) OVER (PARTITION BY {k}) * {a} AS t, count(*) OVER (PARTITION BY {k}) AS n FROM {f}),
   p AS (SELECT k, coalesce(min(CASE WHEN cdf > t THEN r END), any_value(n)) AS r FROM o GROUP BY k)
   SELECT o.k, round(CASE WHEN o.r = 1 OR o.r = o.n THEN o.y WHEN o.cdf - b.cdf >= 1.0 THEN b.y + (o.t - b.cdf) / (o.cdf - b.cdf) * (o.y - b.y) ELSE b.y END, 6) AS value
   FROM o JOIN p ON o.k = p.k AND o.r = p.r LEFT JOIN o b ON b.k = o.k AND b.r = o.r - 1"""
-add("leaf_renew_median", lambda spark, d: frame(spark, d).groupBy((F.col("l_linenumber") % 5).alias("leaf")).agg(F.round(F.percentile(F.col("y") - F.col("s"), F.lit(0.5)), 6).alias("value")), f"SELECT l_linenumber % 5 AS leaf, round(quantile_cont(y - s, 0.5), 6) AS value FROM {FRAME_SQL} GROUP BY 1")
+add("leaf_renew_median", lambda spark, d: percentiles.exact(frame(spark, d).withColumn("leaf", F.col("l_linenumber") % 5), ["leaf"], F.col("y") - F.col("s"), [0.5]).select("leaf", F.round("q0", 6).alias("value")), f"SELECT l_linenumber % 5 AS leaf, round(quantile_cont(y - s, 0.5), 6) AS value FROM {FRAME_SQL} GROUP BY 1")
 add("leaf_renew_weighted", lambda spark, d: percentiles.weighted(frame(spark, d).withColumn("k", F.col("l_linenumber") % 5), ["k"], F.col("y"), F.col("w"), 0.3, [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).select("k", F.round("value", 6).alias("value")), _WEIGHTED.format(k="l_linenumber % 5", a=0.3, f=FRAME_SQL))
 for _o, _sql in (("regression", "raw"), ("poisson", "exp(raw)"), ("binary", "1.0 / (1.0 + exp(-1.5 * raw))"), ("cross_entropy", "1.0 / (1.0 + exp(-raw))"), ("cross_entropy_lambda", "ln(1.0 + exp(raw))")):
     add(f"link_{_o}", lambda spark, d, o=_o: frame(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.round(objectives.OBJECTIVES[o].link(SparkOps, F.col("raw"), _P), 7) + 0.0).alias("value")), f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round({_sql}, 7) + 0.0::DOUBLE AS value FROM {FRAME_SQL}")

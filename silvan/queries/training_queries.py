@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import histogram, sampling
+from ..operators import histogram, percentiles, sampling
 from ..operators.running import before
 from .registry import add, query, table
 
@@ -118,7 +118,7 @@ def _bin_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("bin_transform", _bin_transform, "SELECT CASE WHEN l_linenumber = 7 THEN 4 WHEN l_quantity <= 10.5 THEN 0 WHEN l_quantity <= 20.5 THEN 1 WHEN l_quantity <= 35.5 THEN 2 ELSE 3 END AS bin, count(*) AS n, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY 1")
-add("bin_equal_freq_bounds", lambda s, d: table(s, d, "lineitem").agg(*[F.round(F.percentile("l_extendedprice", F.lit(q / 8)), 4).alias(f"b{q}") for q in range(1, 8)]), "SELECT " + ", ".join(f"round(quantile_cont(l_extendedprice, {q / 8}), 4) AS b{q}" for q in range(1, 8)) + " FROM lineitem")
+add("bin_equal_freq_bounds", lambda s, d: percentiles.exact(table(s, d, "lineitem"), [], F.col("l_extendedprice"), [q / 8 for q in range(1, 8)]).select(*[F.round(f"q{q - 1}", 4).alias(f"b{q}") for q in range(1, 8)]), "SELECT " + ", ".join(f"round(quantile_cont(l_extendedprice, {q / 8}), 4) AS b{q}" for q in range(1, 8)) + " FROM lineitem")
 
 
 @query("WITH c AS (SELECT p_brand AS category, count(*) AS n FROM part GROUP BY 1), r AS (SELECT *, sum(n) OVER (ORDER BY n DESC, category) - n AS before, sum(n) OVER () AS total FROM c) SELECT category, n, row_number() OVER (ORDER BY n DESC, category) AS bin FROM r WHERE before < floor(total * 0.99 + 0.5)")
@@ -132,7 +132,7 @@ def cat_frequency_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("missing_type_stats", lambda s, d: table(s, d, "lineitem").agg(F.count(F.nullif("l_discount", F.lit(0.0))).alias("known"), F.sum((F.col("l_discount") == 0).cast("long")).alias("missing"), F.sum((F.col("l_tax") == 0).cast("long")).alias("zero")), "SELECT count(nullif(l_discount, 0)) AS known, sum((l_discount = 0)::INT)::BIGINT AS missing, sum((l_tax = 0)::INT)::BIGINT AS zero FROM lineitem")
 add("efb_conflicts", lambda s, d: table(s, d, "lineitem").agg(*[F.sum(((F.col(a) != 0) & (F.col(b) != 0)).cast("long")).alias(f"{a}_{b}") for a, b in (("l_discount", "l_tax"), ("l_discount", "l_quantity"), ("l_tax", "l_quantity"))]), "SELECT sum((l_discount <> 0 AND l_tax <> 0)::INT)::BIGINT AS l_discount_l_tax, sum((l_discount <> 0 AND l_quantity <> 0)::INT)::BIGINT AS l_discount_l_quantity, sum((l_tax <> 0 AND l_quantity <> 0)::INT)::BIGINT AS l_tax_l_quantity FROM lineitem")
-add("feature_median_iqr", lambda s, d: table(s, d, "lineitem").agg(F.round(F.percentile("l_quantity", F.lit(0.5)), 6).alias("median"), F.round(F.percentile("l_quantity", F.lit(0.75)) - F.percentile("l_quantity", F.lit(0.25)), 6).alias("iqr")), "SELECT round(quantile_cont(l_quantity, 0.5), 6) AS median, round(quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25), 6) AS iqr FROM lineitem")
+add("feature_median_iqr", lambda s, d: percentiles.exact(table(s, d, "lineitem"), [], F.col("l_quantity"), [0.25, 0.5, 0.75]).select(F.round("q1", 6).alias("median"), F.round(F.col("q2") - F.col("q0"), 6).alias("iqr")), "SELECT round(quantile_cont(l_quantity, 0.5), 6) AS median, round(quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25), 6) AS iqr FROM lineitem")
 
 # sampling and folds
 _U = "((l_orderkey * 31 + l_linenumber * 7 + l_partkey) % 1000) / 1000.0"
