@@ -34,6 +34,8 @@ CONTEXTS, ENTRY = 1 << 20, np.dtype([("place", "<u2"), ("hits", "<u4")])
 BLOCK, SHORT = 4096, 8192
 #: Tokens that a task holds while it counts the words of its blocks.
 HELD_TOKENS = 1 << 22
+#: Tokens of several texts that a task looks up together.
+AT_ONCE = 1 << 17
 #: The end of a document is a token too, which no word equals.
 END = xxhash.xxh64_intdigest(b" end") - (1 << 63)
 #: Weight of the class frequencies in the smoothing of class transitions.
@@ -61,6 +63,26 @@ def tokens(text: bytes) -> np.ndarray:
     return np.append(np.fromiter(map(_tokens.__getitem__, words), np.int64, len(words)), np.int64(END))
 
 
+def sequences(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, text behind the last one, tokens, numbers of tokens) of texts, some AT_ONCE tokens together."""
+    held, first, many = [], 0, 0
+    for i, text in enumerate(texts):
+        held.append(tokens(text))
+        many += len(held[-1])
+        if many >= AT_ONCE or i + 1 == len(texts):
+            yield first, i + 1, np.concatenate(held), np.fromiter(map(len, held), np.int64, len(held))
+            held, first, many = [], i + 1, 0
+
+
+def neighbours(cls: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class before, class behind) of each token of sequences that follow each other; a sequence's end stands before its beginning."""
+    ends = np.cumsum(lengths) - 1
+    starts = ends - lengths + 1
+    before, behind = np.roll(cls, 1), np.roll(cls, -1)
+    before[starts], behind[ends] = cls[ends], cls[starts]
+    return before, behind
+
+
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """Class of each symbol but the last, which keeps class `classes` for itself.
 
@@ -244,18 +266,16 @@ def contexts(docs: DataFrame, model: Model, held: int, wanted: np.ndarray | None
             return pa.RecordBatch.from_arrays([pa.array(word), bodies], ["word", "body"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                if text_fold(doc_id, FOLDS) == held:
-                    continue
-                word = tokens(text)
+            training = [text for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True) if text_fold(doc_id, FOLDS) != held]
+            for _, _, word, lengths in sequences(training):
                 cls = classes_of(word, model)
                 beyond = cls == size - 1
                 if handle.value is not None:
                     beyond[beyond] = in_bloom(handle.value, word[beyond])
-                # the end of a document stands before its first word
+                left, right = neighbours(cls, lengths)
                 words.append(word[beyond])
-                before.append(np.roll(cls, 1)[beyond])
-                behind.append(np.roll(cls, -1)[beyond])
+                before.append(left[beyond])
+                behind.append(right[beyond])
                 many += len(words[-1])
                 if many >= CONTEXTS:
                     yield done()
@@ -304,9 +324,11 @@ def class_bigrams(lines: DataFrame, size: int, kind: np.dtype) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
         for batch in batches:
-            for line in batch.column(0).to_pylist():
-                cls = np.frombuffer(line, kind).astype(np.int64)
-                total += np.bincount(np.roll(cls, 1) * size + cls, minlength=size * size)
+            lines = batch.column(0).to_pylist()
+            if lines:
+                cls = np.frombuffer(b"".join(lines), kind).astype(np.int64)
+                before, _ = neighbours(cls, np.fromiter(map(len, lines), np.int64, len(lines)) // kind.itemsize)
+                total += np.bincount(before * size + cls, minlength=size * size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], ["pair", "hits"])
 
@@ -350,10 +372,14 @@ def scores(docs: DataFrame, seeds: int = SEEDS, classes: int = CLASSES, held: in
         hits, cls = known["hits"].to_numpy()[at], known["cls"].to_numpy()[at]
         cls = np.where(cls >= 0, cls, classes_of(word, model))
         base, own = np.log10((hits + 1) / (model.n + model.v + 1)), np.log10(np.where(cls < size - 1, hits, hits + 1))
-        out = []
-        for doc_id, text in zip(texts["doc_id"].to_pylist(), texts_of(texts["text"]), strict=True):
-            at = np.searchsorted(word, tokens(text))
-            out.append((doc_id, text_fold(doc_id, FOLDS) == held, len(at), int((hits[at] > 0).sum()), float(base[at].sum()), float(own[at].sum()), cls[at].astype(kind).tobytes()))
+        ids, bodies, out = texts["doc_id"].to_pylist(), texts_of(texts["text"]), []
+        for first, last, found, lengths in sequences(bodies):
+            at = np.searchsorted(word, found)
+            ends = np.cumsum(lengths)
+            starts, own_cls = ends - lengths, cls[at].astype(kind)
+            sums = [np.add.reduceat(x, starts).tolist() for x in ((hits[at] > 0).astype(np.int64), base[at], own[at])]
+            lines = [own_cls[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            out += zip(ids[first:last], [text_fold(i, FOLDS) == held for i in ids[first:last]], lengths.tolist(), *sums, lines, strict=True)
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * 7, LINE, strict=True)], schema=LINE)
 
     # every word of the table has its total; classes of the seeds come from the model itself
@@ -367,10 +393,12 @@ def scores(docs: DataFrame, seeds: int = SEEDS, classes: int = CLASSES, held: in
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for mass, body in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
-                cls = np.frombuffer(body, kind).astype(np.int64)
-                out.append(mass + float(move[np.roll(cls, 1), cls].sum() - share[cls].sum()))
+            mass, lines, out = batch.column(5).to_numpy(), batch.column(6).to_pylist(), np.zeros(0)
+            if lines:
+                lengths = np.fromiter(map(len, lines), np.int64, len(lines)) // kind.itemsize
+                cls = np.frombuffer(b"".join(lines), kind).astype(np.int64)
+                before, _ = neighbours(cls, lengths)
+                out = mass + np.add.reduceat(move[before, cls] - share[cls], np.cumsum(lengths) - lengths)
             train = pa.array(np.full(len(batch), model.n, np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], train, batch.column(4), pa.array(out, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
