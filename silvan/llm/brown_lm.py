@@ -31,7 +31,7 @@ PLACED = 5
 #: Tokens whose contexts a task combines at once, and one entry of them: class (of the word before, or, further on, behind) and count.
 CONTEXTS, ENTRY = 1 << 20, np.dtype([("place", "<u2"), ("hits", "<u4")])
 #: Documents to a block, at most, and the bytes up to which a text takes one place in it; texts of twice the bytes are half as many to a block.
-BLOCK, SHORT = 4096, 8192
+BLOCK, SHORT = 4096, 32_768
 #: Tokens that a task holds while it counts the words of its blocks.
 HELD_TOKENS = 1 << 22
 #: Tokens of several texts that a task looks up together.
