@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages from raw documents to packed sequences."""
+"""The corpus pipeline: five stages from raw documents to packed sequences.
+
+Of every stage: an empty table gives an empty one; null and empty texts are documents like others (equal to each other without
+blanks, linked with nothing, without secrets, one token long); rows without doc_id are told apart by their texts alone;
+repeated rows are exact copies; columns beyond those of documents pass through, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from silvan.llm import exact_dedup, ngram_join, packing, queries, secret_scan, toxicity
-from silvan.llm.common import cut, documents
+from silvan.llm.common import cut, documents, drop_since, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir. What each one returns is written to the shared folder and read again by the next."""
-    docs = documents(spark, sf_dir)
+    """All stages over the documents of sf_dir. What each one returns is written to the shared folder and read again by the next;
+    the tables before it are then deleted."""
+    docs, before = documents(spark, sf_dir), written()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = cut(docs)
+            drop_since(before, docs)
     return docs
