@@ -54,11 +54,19 @@ def _build(children: dict[int, tuple[int, int]], split: dict[int, tuple[int, flo
 
 
 def from_xgboost(source: str | dict) -> GbtModel:
-    """There a value goes left if it is below the threshold, compared in single precision; missing values have a side of their own."""
+    """There a value goes left if it is below the threshold, compared in single precision; missing values have a side of their own.
+
+    Boosters of trees are read, with the weights that dropout gave them; start values may be one for all classes or one each.
+    """
     learner = _load(source)["learner"]
     booster = learner["gradient_booster"]
+    if booster.get("name", "gbtree") not in ("gbtree", "dart"):
+        raise ValueError(f"not a booster of trees: {booster['name']}")
     body = booster.get("gbtree", booster)["model"]
+    weights = booster.get("weight_drop") or [1.0] * len(body["trees"])
     params = learner["learner_model_param"]
+    if int(params.get("num_target", 1)) > 1 or any(int(t.get("tree_param", {}).get("size_leaf_vector", 1)) > 1 for t in body["trees"]):
+        raise ValueError("models of several targets are not supported")
     name = learner["objective"]["name"]
     if name not in XGBOOST:
         raise ValueError(f"no such objective here: {name}")
@@ -66,7 +74,7 @@ def from_xgboost(source: str | dict) -> GbtModel:
     count = int(params["num_feature"])
     names = learner.get("feature_names") or [f"Column_{i}" for i in range(count)]
     by_class: list[list[Tree]] = [[] for _ in range(k)]
-    for raw, at in zip(body["trees"], body["tree_info"], strict=True):
+    for raw, at, weight in zip(body["trees"], body["tree_info"], weights, strict=True):
         if any(raw.get("split_type", [])):
             raise ValueError("categorical splits are not supported")
         left, right = raw["left_children"], raw["right_children"]
@@ -75,12 +83,15 @@ def from_xgboost(source: str | dict) -> GbtModel:
         split = {i: (raw["split_indices"][i], below(raw["split_conditions"][i]), bool(raw["default_left"][i]), "nan") for i in inner}
         value = {i: float(raw["base_weights"][i] if left[i] >= 0 else raw["split_conditions"][i]) for i in range(len(left))}
         by_class[at].append(_build({i: (left[i], right[i]) for i in inner}, split, value, dict(enumerate(raw.get("sum_hessian", []))), 0))
-    base = float(str(params.get("base_score", 0)).strip("[]").split(",")[0])
+        by_class[at][-1].scale(float(weight))
+    given = params.get("base_score", 0)
+    bases = [float(x) for x in (given if isinstance(given, list) else str(given).strip("[]").split(","))]
     kind = XGBOOST[name]
-    start = math.log(base / (1 - base)) if kind in ("binary", "cross_entropy") and 0 < base < 1 else math.log(base) if kind in ("poisson", "gamma", "tweedie") and base > 0 else base
-    for trees in by_class:
+    link = {"binary": lambda x: math.log(x / (1 - x)) if 0 < x < 1 else x, "poisson": lambda x: math.log(x) if x > 0 else x}
+    link |= {"cross_entropy": link["binary"], "gamma": link["poisson"], "tweedie": link["poisson"]}
+    for c, trees in enumerate(by_class):
         if trees:
-            trees[0].shift(start)
+            trees[0].shift(link.get(kind, float)(bases[c % len(bases)]))
     return GbtModel([t for step in zip(*by_class, strict=True) for t in step], resolve(objective=kind, num_class=k), names, k)
 
 

@@ -125,3 +125,29 @@ def test_folds_are_dealt_within_labels(spark):
     for label in (0, 1):
         sizes = [r["count"] for r in got if r.y == label]
         assert max(sizes) - min(sizes) <= 1
+
+
+def test_refit_with_scores_that_are_written(spark, monkeypatch):
+    from silvan.plans import refitting
+
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(200, 2))
+    model = train({"num_iterations": 5, "num_leaves": 4, "min_data_in_leaf": 5}, GbtDataset(frame(spark, x, x[:, 0]), "label"))
+    other = GbtDataset(frame(spark, x, x[:, 0] + 1.0), "label")
+    found = []
+    for every in (2, 100):
+        monkeypatch.setattr(refitting, "REFRESH", every)
+        found.append(model.refit(other, 0.3).local(x))
+    assert np.allclose(*found) and not np.allclose(found[0], model.local(x))
+
+
+def test_other_libraries_start_values_and_weights():
+    from silvan.plans.importers import from_xgboost
+
+    leaf = lambda v: {"left_children": [-1], "right_children": [-1], "split_indices": [0], "split_conditions": [v], "default_left": [0], "base_weights": [v], "sum_hessian": [1.0]}
+    body = {"model": {"trees": [leaf(1.0), leaf(2.0), leaf(3.0)], "tree_info": [0, 1, 2]}}
+    learner = {"learner_model_param": {"num_class": "3", "num_feature": "1", "base_score": "[1E-1,2E-1,3E-1]"}, "objective": {"name": "multi:softprob"}, "gradient_booster": {"name": "dart", "gbtree": body, "weight_drop": [0.5, 1.0, 2.0]}}
+    model = from_xgboost({"learner": learner})
+    assert [t.leaf_value[0] for t in model.trees] == pytest.approx([0.6, 2.2, 6.3])
+    with pytest.raises(ValueError):
+        from_xgboost({"learner": {**learner, "gradient_booster": {"name": "gblinear", "model": {"trees": [], "tree_info": []}}}})
