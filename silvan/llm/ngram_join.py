@@ -237,11 +237,13 @@ class Sets(dict):
         return got
 
 
-def dealt(pairs: DataFrame, right: DataFrame) -> DataFrame:
-    """pairs (.., a, b) JOIN right (b, ..). A row of right that many pairs ask for is dealt out in copies, so its pairs spread over tasks."""
+def dealt(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """pairs (a, b) JOIN left (a, ..) JOIN right (b, ..). A row of right that many pairs ask for is dealt out in copies, so its pairs
+    spread over tasks; pairs are told their copies before anything wide joins them."""
     copies = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SERVED).cast("int").alias("copies"))
     given = right.join(copies, "b").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
-    return pairs.join(copies, "b").withColumn("turn", F.pmod(F.hash("a"), F.col("copies"))).drop("copies").join(given, ["b", "turn"])
+    told = pairs.join(copies, "b").withColumn("turn", F.pmod(F.hash("a"), F.col("copies"))).drop("copies")
+    return told.join(left, "a").join(given, ["b", "turn"])
 
 
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -255,8 +257,7 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
         forget()
 
-    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
-    both = dealt(with_a, texts.select(F.col("id").alias("b"), F.col("body").alias("body_b")))
+    both = dealt(pairs, *[texts.select(F.col("id").alias(side), F.col("body").alias(f"body_{side}")) for side in "ab"])
     return cut(both.select("a", "b", "body_a", "body_b").mapInArrow(compare, "a long, b long"))
 
 
@@ -295,11 +296,10 @@ def differences(texts: DataFrame, members: DataFrame, handle: Broadcast) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["rep", "b", "n", "d", "elements"])
         forget()
 
-    with_a = members.join(texts.select(F.col("id").alias("a"), "body"), "a")
     # a group of whose members none was drawn has nothing in common
     nothing = F.lit(zstandard.ZstdCompressor(level=1).compress(b""))
     every = members.select("b").distinct().join(third, "b", "left").select("b", F.coalesce("items", nothing).alias("items"))
-    out = cut(dealt(with_a, every).select("a", "b", "body", "items").mapInArrow(compare, "rep long, b long, n long, d long, elements array<long>"))
+    out = cut(dealt(members, texts.select(F.col("id").alias("a"), "body"), every).select("a", "b", "body", "items").mapInArrow(compare, "rep long, b long, n long, d long, elements array<long>"))
     drop(third)
     return out
 
