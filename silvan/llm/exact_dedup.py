@@ -145,8 +145,14 @@ def keyed(docs: DataFrame, size: int = DIGEST, content: bool = False) -> DataFra
 def deduplicate(docs: DataFrame, salts: int = SALTS, size: int = DIGEST, window: int = WINDOW) -> DataFrame:
     """The rows of docs that stay, with all their columns, as exact_groups() says. Of rows that repeat a doc_id and text that stays, one stays.
 
-    Rows meet the class of their own text, never others of their doc_id, so rows without doc_id are no group.
+    Where every doc_id stands on one row, the rows that go are joined by their doc_id: they are fewer than those that stay, which
+    are not shuffled while the others are small enough to be broadcast. Else rows meet the class of their own text, never
+    others of their doc_id, so rows without doc_id are no group.
     """
+    repeated = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1").limit(1).count()
+    if not repeated:
+        gone = cut(exact_groups(docs, salts, size, window).where("not kept").select(F.col("doc_id").alias("gone_doc")))
+        return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_doc")), "left_anti")
     found = classes(docs.select("doc_id", "text"), salts, size, window)
     many = cut(found.where("group_size > 1 or rivals > 1"))
     drop(found)
@@ -162,8 +168,7 @@ def deduplicate(docs: DataFrame, salts: int = SALTS, size: int = DIGEST, window:
         rows = lookup(rows, many.select("digest", *value), "digest", "group_size")
     alone = F.col("keep_cp").isNull()
     rows = rows.where(alone | F.col("own_id").eqNullSafe(F.col("keep_id")) & (F.col("n_cp") == F.col("keep_cp")))
-    if docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1").limit(1).count():
-        rows = _one_each(cut(rows.select("own_row", "digest", alone.alias("alone"))), clashes)
+    rows = _one_each(cut(rows.select("own_row", "digest", alone.alias("alone"))), clashes)
     return rows.select(*[F.col("own_row")[n].alias(n) for n in docs.columns])
 
 

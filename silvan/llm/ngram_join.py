@@ -544,9 +544,11 @@ def _row_components(docs: DataFrame, rounds: int) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id is their component's smallest, one row for each such id; rows without doc_id all stay."""
     joined = join_components(docs)
-    found = cut(joined.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_doc")).agg(F.count(F.lit(1)).alias("kept_rows")))
+    left_out = cut(joined.where("doc_id <> component_id").select(F.col("doc_id").alias("left_out")).distinct())
+    repeated = joined.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").limit(1).count()
     drop(joined)
-    out = docs.join(found, F.col("doc_id").cast("long") == F.col("kept_doc"), "left_semi")
-    if found.where("kept_rows > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where(F.col("doc_id").isNull()))
+    # few rows go, so these are the ones to join: what stays is then not shuffled while they are small enough to be broadcast
+    out = docs.join(left_out, F.col("doc_id").cast("long") == F.col("left_out"), "left_anti")
+    if not repeated:
+        return out
+    return out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(out.where(F.col("doc_id").isNull()))
