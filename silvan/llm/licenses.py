@@ -8,6 +8,8 @@ match of it contains. Where detections overlap, one that lies within another of
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -254,8 +256,10 @@ SENTENCES = (
     ("public-domain", 0.8, "public domain", "(is|are) (hereby )?(placed in|released into|dedicated to) the public domain"),
     ("public-domain", 0.7, "united states government", "this (software|work) is a work of the united states government"),
 )
-#: A text without any of these has no detection beyond the phrases' places.
-GATE = "|".join(dict.fromkeys([*(held for _, _, held in FORMS), *(held for _, _, held, _ in SENTENCES)]))
+#: A text without any of these has no notice, so no detection beyond sentences and the phrases' places.
+GATE = "|".join(dict.fromkeys(held for _, _, held in FORMS))
+#: Nor without one of these; plain strings, since many alternatives make a pattern slow at every place of a text.
+GATES = tuple(dict.fromkeys(held for _, _, held, _ in SENTENCES))
 
 
 def rules() -> list[tuple[tuple[str, ...], str, int, float, str]]:
@@ -298,7 +302,8 @@ def detections(norm: Column) -> Column:
     found = F.flatten(F.transform(F.flatten(F.transform(open_, lambda f: f["rules"])), lambda r: _places(norm, r)))
     inside = lambda d, e: (e["start"] <= d["start"]) & (e["end"] >= d["end"])
     best = F.transform(F.array(found), lambda all_: F.filter(all_, lambda d: ~F.exists(all_, lambda e: (e["priority"] < d["priority"]) & inside(d, e))))[0]
-    return F.when(norm.rlike(GATE), best).otherwise(F.array().cast("array<struct<priority:int,start:int,end:int,label:string,confidence:double>>"))
+    some = reduce(or_, [F.contains(norm, F.lit(k)) for k in GATES], norm.rlike(GATE))
+    return F.when(some, best).otherwise(F.array().cast("array<struct<priority:int,start:int,end:int,label:string,confidence:double>>"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
