@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,10 @@ from ..plans.shared import cut, drop, drop_since, written  # noqa: F401  for the
 HOT_KEYS = 1000
 #: Bits of a Bloom filter, at most, as a power of two; and the factors that give the two places of an id in it.
 BLOOM, _FACTORS = 26, np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+#: Rows that a kernel takes, and sends, at once.
+PIECE = 512
+
+Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +43,31 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most PIECE rows; an empty batch stays one."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), PIECE):
+            yield batch.slice(at, PIECE)
+
+
+def release() -> None:
+    """Gives memory that is free back to the system. Workers outlive their tasks, beside executors that need the room for joins."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(kernel: Kernel) -> Kernel:
+    """kernel, which must not depend on how rows are cut into batches, in little memory: it sees and sends a few rows at a time, so
+    what it makes of a batch (texts, sets) never exists for the whole of it, and its worker keeps nothing afterwards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from pieces(kernel(pieces(batches)))
+        release()
+
+    return run
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, size: str) -> DataFrame:
     """left LEFT JOIN right on key, safe when one key holds a large part of left.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, drop, lookup, texts_of
+from .common import cut, drop, lean, lookup, texts_of
 
 #: Bytes that normalisation deletes: U+0020 and U+0009 to U+000D.
 BLANK = b" \t\n\x0b\x0c\r"
@@ -67,7 +67,7 @@ def local_groups(docs: DataFrame, salts: int, size: int, window: int) -> DataFra
         yield flush()
 
     picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_cp"))
-    return picked.mapInArrow(combine, "digest binary, salt int, content binary, n_cp long, doc_id long, copies long")
+    return picked.mapInArrow(lean(combine), "digest binary, salt int, content binary, n_cp long, doc_id long, copies long")
 
 
 def classes(docs: DataFrame, salts: int = SALTS, size: int = DIGEST, window: int = WINDOW) -> DataFrame:
@@ -94,7 +94,7 @@ def members(docs: DataFrame, size: int = DIGEST, content: bool = False) -> DataF
             yield pa.RecordBatch.from_arrays(columns, names)
 
     picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_cp"))
-    return picked.mapInArrow(digests, "doc_id long, n_cp long, digest binary, text_sha256 string" + ", content binary" * content)
+    return picked.mapInArrow(lean(digests), "doc_id long, n_cp long, digest binary, text_sha256 string" + ", content binary" * content)
 
 
 def exact_groups(docs: DataFrame, salts: int = SALTS, size: int = DIGEST, window: int = WINDOW) -> DataFrame:
@@ -139,7 +139,7 @@ def keyed(docs: DataFrame, size: int = DIGEST, content: bool = False) -> DataFra
             yield pa.RecordBatch.from_arrays(columns, names)
 
     fields = [T.StructField("own_row", docs.schema), T.StructField("own_id", T.LongType()), T.StructField("n_cp", T.LongType()), T.StructField("digest", T.BinaryType())]
-    return docs.mapInArrow(key, T.StructType(fields + [T.StructField("content", T.BinaryType())] * content))
+    return docs.mapInArrow(lean(key), T.StructType(fields + [T.StructField("content", T.BinaryType())] * content))
 
 
 def deduplicate(docs: DataFrame, salts: int = SALTS, size: int = DIGEST, window: int = WINDOW) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, cut, drop, drop_since, in_bloom, lookup, matched, texts_of, written
+from .common import bloom, cut, drop, drop_since, in_bloom, lean, lookup, matched, texts_of, written
 from .graph import components
 
 WORDS = 4
@@ -117,11 +117,16 @@ def bucket_counts(docs: DataFrame, bits: int, tasks: int) -> np.ndarray:
     opened = lambda body: np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total, waiting, room = np.zeros(1 << bits, np.int64), [], 1 << bits
         for batch in batches:
-            sets = [shingles(hashed(t)) for t in texts_of(batch.column(0))]
-            if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            for text in texts_of(batch.column(0)):
+                waiting.append((shingles(hashed(text)) >> np.uint64(64 - bits)).astype(np.int32))
+                room -= len(waiting[-1]) + 1
+                if room < 0:  # as many as the table has buckets, so that adding them up takes time in proportion to them
+                    total += np.bincount(np.concatenate(waiting), minlength=1 << bits)
+                    waiting, room = [], 1 << bits
+        if waiting:
+            total += np.bincount(np.concatenate(waiting), minlength=1 << bits)
         forget()
         used = [i for i in range(len(total) // width) if total[i * width : (i + 1) * width].any()]
         for i in used:
@@ -133,7 +138,7 @@ def bucket_counts(docs: DataFrame, bits: int, tasks: int) -> np.ndarray:
             total += opened(body.as_py())
         return pa.table({"part": parts["part"][:1], "counts": pa.array([packed(total)], pa.binary())})
 
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "part long, counts binary")
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(lean(count), "part long, counts binary")
     counted = counted.withColumn("sender", F.spark_partition_id())
     while tasks > FAN_IN:
         tasks = -(-tasks // FAN_IN)
@@ -201,7 +206,7 @@ def prefixes(docs: DataFrame, handle: Broadcast) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(matches, pa.int32()), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "matches", "prefix"])
         forget()  # the worker may go on to another operator
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(measure, "doc_id long, n long, sig binary, matches int, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(measure), "doc_id long, n long, sig binary, matches int, prefix array<long>")
 
 
 def texts_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -216,7 +221,7 @@ def texts_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 batch = batch.filter(pa.array(in_bloom(flags, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(pack, texts_of(batch.column(1))), pa.binary())], ["id", "body"])
 
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pick, "id long, body binary")
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(pick), "id long, body binary")
     out = cut(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]))
     drop(ids)
     return out
@@ -258,7 +263,7 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
         forget()
 
     both = dealt(pairs, *[texts.select(F.col("id").alias(side), F.col("body").alias(f"body_{side}")) for side in "ab"])
-    return cut(both.select("a", "b", "body_a", "body_b").mapInArrow(compare, "a long, b long"))
+    return cut(both.select("a", "b", "body_a", "body_b").mapInArrow(lean(compare), "a long, b long"))
 
 
 def consensus(texts: DataFrame, members: DataFrame) -> DataFrame:
@@ -299,7 +304,7 @@ def differences(texts: DataFrame, members: DataFrame, handle: Broadcast) -> Data
     # a group of whose members none was drawn has nothing in common
     nothing = F.lit(zstandard.ZstdCompressor(level=1).compress(b""))
     every = members.select("b").distinct().join(third, "b", "left").select("b", F.coalesce("items", nothing).alias("items"))
-    out = cut(dealt(members, texts.select(F.col("id").alias("a"), "body"), every).select("a", "b", "body", "items").mapInArrow(compare, "rep long, b long, n long, d long, elements array<long>"))
+    out = cut(dealt(members, texts.select(F.col("id").alias("a"), "body"), every).select("a", "b", "body", "items").mapInArrow(lean(compare), "rep long, b long, n long, d long, elements array<long>"))
     drop(third)
     return out
 

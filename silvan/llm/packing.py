@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import lean
 
 LENGTH = 1024
 #: Documents to a group. Groups are packed on their own, in one task each.
@@ -103,5 +104,5 @@ def pack(docs: DataFrame, path: str, ranks: str | None = None, length: int = LEN
         columns = [[ids[d] for d in doc.tolist()], part * length, lengths, checks, n[doc], sequences, offsets]
         return pa.table({name.split()[0]: pa.array(c, pa.int64()) for name, c in zip(PIECES.split(", "), columns, strict=True)})
 
-    cuts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "pack_group long, doc_id long, n long, sums array<long>")
+    cuts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(cut), "pack_group long, doc_id long, n long, sums array<long>")
     return cuts.groupBy("pack_group").applyInArrow(place, PIECES)

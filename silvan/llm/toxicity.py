@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of, text_fold
+from .common import lean, text_fold, texts_of
 
 #: Labelled documents that the field is fitted on, at most.
 SAMPLE = 8000
@@ -272,4 +272,4 @@ def without_toxic(docs: DataFrame, model: Field) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([model.tag(t)[0] < 0.5 for t in texts_of(batch.column(text))], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

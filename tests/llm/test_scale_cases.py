@@ -4,14 +4,16 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from silvan.llm import brown_lm, exact_dedup, licenses, media, ngram_join, packing, queries, secret_scan
+from silvan.llm import brown_lm, exact_dedup, licenses, media, ngram_join, packing, queries, secret_scan, toxicity
 
 from .data import SCHEMA, documents, empty
 from .test_text_operators import alternatives, brute_components, near_texts
@@ -215,3 +217,51 @@ def test_classifiers_without_documents_or_labels(spark, tmp_path):
         for query in (queries.op2_quality, queries.op9_toxicity):
             got = query(spark, f"{tmp_path}/{name}").collect()
             assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
+
+
+class Kernels:
+    """Stands for a frame, its session and a broadcast value; keeps the kernels that it is given."""
+
+    def __init__(self, value=None, schema=None):
+        self.found, self.value, self.schema, self.columns = [], value, schema, ["doc_id", "text"]
+
+    def mapInArrow(self, kernel, schema):
+        self.found.append(kernel)
+        raise NotImplementedError
+
+    def select(self, *columns):
+        return self
+
+
+def test_kernels_hold_a_few_rows_of_a_batch(spark):
+    """Of a batch of 20 MB of texts, as Spark sends them, little stands in Python's memory at once, and what goes back is cut small."""
+    draw = np.random.default_rng(9)
+    texts = [" ".join(map(str, draw.integers(0, 1000, 640))) for _ in range(8000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    size = batch.nbytes
+    assert size > 18e6
+    table = np.ones(1 << 16, np.int32)
+    model = toxicity.Field({b"vilescum": 9.0}, {}, -4.0, ((1.0, -1.0), (0.0, 0.0)), -2.0, (-5.0, 10.0))
+    cases = {
+        "prefixes": (lambda docs: ngram_join.prefixes(docs, Kernels(table)), batch), "counts": (lambda docs: ngram_join.bucket_counts(docs, 16, 1), batch.select(["text"])),
+        "toxicity": (lambda docs: toxicity.without_toxic(docs, model), batch),
+    }
+    for name, (build, rows) in cases.items():
+        docs = Kernels()
+        with pytest.raises(NotImplementedError):
+            build(docs)
+        tracemalloc.start()
+        sent = [out.num_rows for out in docs.found[0](iter([rows]))]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < size / 2, (name, most)
+        assert name == "counts" or sum(sent) == len(texts) and max(sent) <= 1000, name
+
+
+def test_counts_of_buckets_are_whole(spark):
+    """Added up in many parts, with rows without words between them, in one task and in several that are added up before."""
+    texts = [f"a{i} b{i % 7} c{i % 5} d{i % 3} e f{i} g" * (1 + i % 4) if i % 6 else [None, "", "one"][i // 6 % 3] for i in range(3000)]
+    want = np.bincount(np.concatenate([(x >> np.uint64(60)).astype(np.int64) for x in sets_of([t or "" for t in texts])]), minlength=16)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for tasks in (1, 3):
+        assert ngram_join.bucket_counts(df.repartition(tasks), 4, tasks).tolist() == want.tolist()
